@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm import lines, mixing
+from vireo.llm import fingerprint, lines, mixing
 from vireo.llm.common import documents
 
 
@@ -18,9 +18,14 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edit_probe(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 QUERIES = {
     "op3_source_mixing": op3_source_mixing,
     "op8_line_dedup": op8_line_dedup,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE_SQL = {
