@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vireo.llm.common import free_name, map_arrow
+from vireo.llm.common import cut, free_name, map_arrow
 
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -79,7 +79,8 @@ def dedup_lines(
     names = list(df.columns)
     keyed = df.withColumn(key, document_key(F.col(id_col), F.col(text_col)))
     pairs = _pairs(keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text")), min_chars)
-    common = line_counts(df, text_col, min_chars).where(F.col("documents") >= min_docs).select("line")
+    # Cut, so that the join below has a shuffle of its own on either side and AQE can split a hot line.
+    common = cut(line_counts(df, text_col, min_chars).where(F.col("documents") >= min_docs).select("line"))
     dropped = (
         pairs.join(common, "line")
         .groupBy(F.col("key").alias(key))
