@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vireo-checkpoint-"))
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.basename(root)
+    path = os.path.join(tempfile.mkdtemp(prefix="vireo-ship-"), f"{name}.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, files in os.walk(root):
+            for x in files:
+                if x.endswith(".py"):
+                    full = os.path.join(folder, x)
+                    out.write(full, os.path.join(name, os.path.relpath(full, root)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -50,6 +73,7 @@ def map_arrow(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     target = to_arrow_schema(schema)
+    ship(df.sparkSession)
 
     def run(batches):
         for batch in batches:

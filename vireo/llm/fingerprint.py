@@ -24,6 +24,7 @@ import unicodedata
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,9 +47,9 @@ def canonical(text: str | None) -> str:
     return " ".join(text.split())
 
 
-def digest(form: str) -> str:
-    """Wide xxhash of a canonical text, as 32 hex digits."""
-    return xxhash.xxh3_128_hexdigest(form.encode("utf-8", "surrogatepass"))
+def digest(form: str) -> bytes:
+    """Wide xxhash of a canonical text."""
+    return xxhash.xxh3_128_digest(form.encode("utf-8", "surrogatepass"))
 
 
 def add_digest(df: DataFrame, text_col: str, out: str, digest_fn=digest) -> DataFrame:
@@ -57,9 +58,9 @@ def add_digest(df: DataFrame, text_col: str, out: str, digest_fn=digest) -> Data
 
     def run(batch: pa.RecordBatch) -> dict:
         cols = {c: batch.column(c) for c in names}
-        return cols | {out: pa.array([digest_fn(canonical(t)) for t in batch.column(text_col).to_pylist()], pa.string())}
+        return cols | {out: pa.array([digest_fn(canonical(t)) for t in batch.column(text_col).to_pylist()], pa.binary())}
 
-    return map_arrow(df, run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
+    return map_arrow(df, run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
 def _bitmap_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
@@ -77,39 +78,52 @@ def _bitmap_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return joined.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("map_no", "map_bits")
 
 
-def _collisions(rows: DataFrame, docs: DataFrame, digest_of: dict[str, str], digest_fn=digest) -> DataFrame:
+def _collisions(rows: DataFrame, docs: DataFrame, edits: bool, digest_fn=digest) -> DataFrame:
     """(key, next_key, kind, nth): texts whose digest belongs to a smaller, different form.
 
-    ``rows`` has ``key``, ``next_key`` and the digest columns that ``digest_of``
-    names by kind (``own``: the text; ``edited``: its edit). ``docs`` has
-    (``key``, ``text``). Only repeated digests are looked at; their texts are
-    fetched by key and their canonical bytes compared. Empty as long as the
-    hash holds.
+    ``rows`` has ``key``, ``next_key`` and the digests ``own`` (of the text)
+    and, with ``edits``, ``edited``; ``docs`` has (``key``, ``text``). Only the
+    members of repeated digests are read again. Per digest the least and the
+    greatest canonical bytes are kept (partial minima in every task): they are
+    equal unless the hash has failed, and only then are its texts told apart.
     """
-    every = None
-    for kind, col in digest_of.items():
-        part = rows.select("key", "next_key", F.lit(kind).alias("kind"), F.col(col).alias("digest"))
-        every = part if every is None else every.unionByName(part)
+    every = rows.select("key", "next_key", F.lit("own").alias("kind"), F.col("own").alias("digest"))
+    if edits:
+        every = every.unionByName(rows.select("key", "next_key", F.lit("edited").alias("kind"), F.col("edited").alias("digest")))
     repeated = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    held = every.join(repeated, "digest", "left_semi").distinct()
-    wanted = held.select("key").union(held.where("kind = 'edited'").select("next_key")).distinct()
-    texts = cut(_bitmap_filter(docs, "key", wanted).join(wanted, "key", "left_semi").distinct())
-    held = held.join(texts, "key").join(texts.select(F.col("key").alias("next_key"), F.col("text").alias("following")), "next_key", "left")
-
-    def forms(batch: pa.RecordBatch) -> dict:
-        cols = {c: batch.column(c) for c in ("key", "next_key", "kind", "digest")}
-        kinds, texts, after = (batch.column(c).to_pylist() for c in ("kind", "text", "following"))
-        made = [canonical(edited_half(t, f or "") if k == "edited" else t) for k, t, f in zip(kinds, texts, after, strict=True)]
-        return cols | {"form": pa.array([x.encode("utf-8", "surrogatepass") for x in made], pa.binary())}
-
-    held = map_arrow(held, forms, "key binary, next_key binary, kind string, digest string, form binary")
-    least = held.groupBy("digest").agg(F.min("form").alias("least"))
-    other = held.join(least, "digest").where("form <> least")
+    held = cut(_bitmap_filter(every, "digest", repeated).join(repeated, "digest", "left_semi").distinct())
+
+    def own_forms(batch: pa.RecordBatch) -> dict:
+        made = [canonical(t) for t in batch.column("text").to_pylist()]
+        return {"key": batch.column("key"), "next_key": batch.column("key"), "kind": pa.array(["own"] * len(made)), "digest": pa.array([digest_fn(x) for x in made], pa.binary()), "form": pa.array([_bytes(x) for x in made], pa.binary())}
+
+    def edited_forms(batch: pa.RecordBatch) -> dict:
+        made = [canonical(edited_half(t, f)) for t, f in zip(batch.column("text").to_pylist(), batch.column("following").to_pylist(), strict=True)]
+        return {"key": batch.column("key"), "next_key": batch.column("next_key"), "kind": pa.array(["edited"] * len(made)), "digest": batch.column("digest"), "form": pa.array([_bytes(x) for x in made], pa.binary())}
+
+    shape = "key binary, next_key binary, kind string, digest binary, form binary"
+    # What the bitmap lets through besides stands alone in its digest and changes nothing.
+    forms = map_arrow(_bitmap_filter(docs, "key", held.where("kind = 'own'").select("key")), own_forms, shape)
+    if edits:
+        pairs = held.where("kind = 'edited'")
+        wanted = pairs.select("key").union(pairs.select("next_key")).distinct()
+        texts = _bitmap_filter(docs, "key", wanted).join(wanted, "key", "left_semi").distinct()
+        after = texts.select(F.col("key").alias("next_key"), F.col("text").alias("following"))
+        forms = forms.unionByName(map_arrow(pairs.join(texts, "key").join(after, "next_key"), edited_forms, shape))
+    ends = forms.groupBy("digest").agg(F.min("form").alias("least"), F.max("form").alias("greatest"))
+    failed = cut(ends.where("least <> greatest").select("digest", "least"))
+    other = _bitmap_filter(forms, "digest", failed.select("digest")).join(failed, "digest").where("form <> least")
     return other.select("key", "next_key", "kind", F.dense_rank().over(W.partitionBy("digest").orderBy("form")).alias("nth")).distinct()
 
 
+def _bytes(form: str) -> bytes:
+    return form.encode("utf-8", "surrogatepass")
+
+
 def _named(digest_col: str, nth: str):
-    return F.when(F.col(nth).isNull(), F.col(digest_col)).otherwise(F.concat_ws("-", digest_col, F.col(nth).cast("string")))
+    """Digest as hex, with the number of its text form in a collision."""
+    shown = F.lower(F.hex(digest_col))
+    return F.when(F.col(nth).isNull(), shown).otherwise(F.concat_ws("-", shown, F.col(nth).cast("string")))
 
 
 def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", out: str = "fingerprint", digest_fn=digest) -> DataFrame:
@@ -121,7 +135,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     base = add_digest(df.withColumn(key, document_key(F.col(id_col), F.col(text_col))), text_col, plain, digest_fn)
     rows = base.select(F.col(key).alias("key"), F.col(key).alias("next_key"), F.col(plain).alias("own"))
     docs = df.select(document_key(F.col(id_col), F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    clash = _collisions(rows, docs, {"own": "own"}, digest_fn).select(F.col("key").alias(key), F.col("nth").alias(nth)).distinct()
+    clash = _collisions(rows, docs, False, digest_fn).select(F.col("key").alias(key), F.col("nth").alias(nth)).distinct()
     return base.join(clash, key, "left").withColumn(out, _named(plain, nth)).select(*df.columns, out)
 
 
@@ -170,36 +184,40 @@ def edited_half(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-
-
 def edit_probe(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", digest_fn=digest) -> DataFrame:
     """Fingerprints of all texts and of their edits (see ``edited_half``), with likenesses.
 
     Returns (id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next). The texts are shuffled once, by ranges of ids.
+    near_edited, near_next). The texts are shuffled once, by
+    ranges of ids, each compressed by itself.
     """
     named = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("key", document_key(F.col("id"), F.col("text")))
-    paired = next_by_id(add_digest(named, "text", "own", digest_fn), "id", {"following": "text", "next_own": "own", "next_key": "key"}, ("text",))
-    schema = T.StructType([named.schema["id"], *T._parse_datatype_string("key binary, next_key binary, n_chars long, edited_sha256 string, own string, edited string, next_own string").fields])
+
+    def pack(batch: pa.RecordBatch) -> dict:
+        press = zstandard.ZstdCompressor(level=3)
+        texts = batch.column("text").to_pylist()
+        return {"id": batch.column("id"), "key": batch.column("key"), "own": pa.array([digest_fn(canonical(t)) for t in texts], pa.binary()), "text": pa.array([press.compress(t.encode()) for t in texts], pa.binary())}
 
     def probe(batch: pa.RecordBatch) -> dict:
-        texts, after = batch.column("text").to_pylist(), batch.column("following").to_pylist()
+        press = zstandard.ZstdDecompressor()
+        texts, after = ([press.decompress(t).decode() for t in batch.column(c).to_pylist()] for c in ("text", "following"))
         made = [edited_half(t, f) for t, f in zip(texts, after, strict=True)]
         return {c: batch.column(c) for c in ("id", "key", "next_key", "own", "next_own")} | {
             "n_chars": pa.array([len(t) for t in texts], pa.int64()),
-            "edited_sha256": pa.array([sha256(x) for x in made], pa.string()),
-            "edited": pa.array([digest_fn(canonical(x)) for x in made], pa.string()),
+            "edited_sha256": pa.array([hashlib.sha256(x.encode()).digest() for x in made], pa.binary()),
+            "edited": pa.array([digest_fn(canonical(x)) for x in made], pa.binary()),
         }
 
+    packed = map_arrow(named, pack, T.StructType([named.schema["id"], *T._parse_datatype_string("key binary, own binary, text binary").fields]))
+    paired = next_by_id(packed, "id", {"following": "text", "next_own": "own", "next_key": "key"}, ("key",))
+    schema = T.StructType([named.schema["id"], *T._parse_datatype_string("key binary, next_key binary, n_chars long, edited_sha256 binary, own binary, edited binary, next_own binary").fields])
     rows = cut(map_arrow(paired, probe, schema))
-    clash = cut(_collisions(rows, named.select("key", "text"), {"own": "own", "edited": "edited"}, digest_fn))
+    clash = cut(_collisions(rows, named.select("key", "text"), True, digest_fn))
     own = clash.where("kind = 'own'").select("key", F.col("nth").alias("own_nth")).distinct()
     following = own.select(F.col("key").alias("next_key"), F.col("own_nth").alias("next_nth"))
     edited = clash.where("kind = 'edited'").select("key", "next_key", F.col("nth").alias("edited_nth"))
     joined = rows.join(own, "key", "left").join(following, "next_key", "left").join(edited, ["key", "next_key"], "left")
-    printed = joined.select("id", "n_chars", "edited_sha256", _named("own", "own_nth").alias("fingerprint"), _named("edited", "edited_nth").alias("edited_fingerprint"), _named("next_own", "next_nth").alias("next_fingerprint"))
+    printed = joined.select("id", "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), _named("own", "own_nth").alias("fingerprint"), _named("edited", "edited_nth").alias("edited_fingerprint"), _named("next_own", "next_nth").alias("next_fingerprint"))
     alike = lambda a, b: (F.col(a) == F.col(b)).cast("double")
     return printed.select(
         F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
