@@ -5,14 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm import fingerprint, lines, mixing
+from vireo.llm import fingerprint, langid, lines, mixing, urlrules
 from vireo.llm.common import documents
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    labels = urlrules.page_labels(pages, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return urlrules.judge(pages, labels).select("page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
+    profiles = langid.train(docs.where(~F.col("held_out")), "text", "lang")
+    return langid.predict(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), min_docs=10, min_chars=1)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -23,7 +35,9 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_url_rules": op2_url_rules,
     "op3_source_mixing": op3_source_mixing,
+    "op6_language_id": op6_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
