@@ -25,6 +25,7 @@ import unicodedata
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,7 +69,7 @@ def _bitmap_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
     A bitmap of 2^23 hashed keys, 1 MB at most whatever the input, goes to all
     tasks before anything is shuffled; what it lets through is exact only
-    after a semi-join.
+    after a join with ``wanted`` (an inner one: a semi-join would be pushed below).
     """
     bit = F.pmod(F.xxhash64(key), F.lit(1 << 23))
     maps = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("map_no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map_bits"))
@@ -91,7 +92,7 @@ def _collisions(rows: DataFrame, docs: DataFrame, edits: bool, digest_fn=digest)
     if edits:
         every = every.unionByName(rows.select("key", "next_key", F.lit("edited").alias("kind"), F.col("edited").alias("digest")))
     repeated = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    held = cut(_bitmap_filter(every, "digest", repeated).join(repeated, "digest", "left_semi").distinct())
+    held = cut(_bitmap_filter(every, "digest", repeated).join(repeated, "digest").distinct())
 
     def own_forms(batch: pa.RecordBatch) -> dict:
         made = [canonical(t) for t in batch.column("text").to_pylist()]
@@ -107,7 +108,7 @@ def _collisions(rows: DataFrame, docs: DataFrame, edits: bool, digest_fn=digest)
     if edits:
         pairs = held.where("kind = 'edited'")
         wanted = pairs.select("key").union(pairs.select("next_key")).distinct()
-        texts = _bitmap_filter(docs, "key", wanted).join(wanted, "key", "left_semi").distinct()
+        texts = _bitmap_filter(docs, "key", wanted).join(wanted, "key").distinct()
         after = texts.select(F.col("key").alias("next_key"), F.col("text").alias("following"))
         forms = forms.unionByName(map_arrow(pairs.join(texts, "key").join(after, "next_key"), edited_forms, shape))
     ends = forms.groupBy("digest").agg(F.min("form").alias("least"), F.max("form").alias("greatest"))
@@ -139,34 +140,38 @@ def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     return base.join(clash, key, "left").withColumn(out, _named(plain, nth)).select(*df.columns, out)
 
 
-def next_by_id(df: DataFrame, id_col: str, carry: dict[str, str], ties: tuple[str, ...] = ()) -> DataFrame:
+def next_by_id(df: DataFrame, id_col: str, carry: dict[str, str], ties: tuple[str, ...] = (), ids: DataFrame | None = None) -> DataFrame:
     """``df`` with columns of the next row in descending id order, the first row's after the last.
 
     ``carry`` maps new column names to the columns they bring over. Equal ids
     are ordered by ``ties``, null ids come last. No global sort: rows are dealt to
     ranges of ids, each range also gets the first row of the range below it
     (the lowest gets the very first row), and one window per range looks ahead.
+    ``ids``, if given, is a cheaper plan of the same ids, to find the ranges by.
     """
-    n, low, high, nulls = df.agg(F.count(F.lit(1)), F.min(id_col), F.max(id_col), F.count(F.when(F.col(id_col).isNull(), 1))).first()
+    ids = (df if ids is None else ids).select(id_col)
+    n, low = ids.agg(F.count(F.lit(1)), F.min(id_col)).first()
     if not n:
         return df.select("*", *[F.col(c).alias(new) for new, c in carry.items()])
     bucket, dest, guest = free_name(df, "id_range"), free_name(df, "id_dest"), free_name(df, "id_guest")
     ranges = max(1, min(MAX_RANGES, n // DOCS_PER_RANGE))
     ends: list[int] = []
     if low is not None and ranges > 1:
-        ends = sorted(set(df.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges))).first()[0]))
+        ends = sorted(set(ids.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], max(10_000, 4 * ranges))).first()[0]))
     # Range 0 is of null ids; range k holds ids in (ends[k-2], ends[k-1]].
     place = F.when(F.col(id_col).isNull(), F.lit(0))
-    if ends:
-        from pyspark.ml.feature import Bucketizer
-
-        cells = Bucketizer(splits=[-float("inf"), *map(float, ends), float("inf")], inputCol=f"{bucket}_id", outputCol=f"{bucket}_cell", handleInvalid="keep")
-        dealt = cells.transform(df.withColumn(f"{bucket}_id", F.col(id_col).cast("double")))
-        dealt = dealt.withColumn(bucket, place.otherwise(F.col(f"{bucket}_cell").cast("int") + 1)).drop(f"{bucket}_id", f"{bucket}_cell")
-    else:
-        dealt = df.withColumn(bucket, place.otherwise(F.lit(1)))
+    cell = f"{bucket}_cell"
+
+    def deal(frame: DataFrame) -> DataFrame:
+        if not ends:
+            return frame.withColumn(bucket, place.otherwise(F.lit(1)))
+        cells = Bucketizer(splits=[-float("inf"), *map(float, ends), float("inf")], inputCol=f"{cell}_id", outputCol=cell, handleInvalid="keep")
+        put = cells.transform(frame.withColumn(f"{cell}_id", F.col(id_col).cast("double")))
+        return put.withColumn(bucket, place.otherwise(F.col(cell).cast("int") + 1)).drop(cell, f"{cell}_id")
+
+    dealt = deal(df)
     # The first row of each range that has rows: at most MAX_RANGES + 1 of them.
-    tops = sorted(((r[0], r[1]) for r in dealt.groupBy(bucket).agg(F.max(id_col)).collect()), reverse=True)
+    tops = sorted(((r[0], r[1]) for r in deal(ids).groupBy(bucket).agg(F.max(id_col)).collect()), reverse=True)
     heads = [(tops[i][1], tops[i - 1][0] if i else tops[-1][0]) for i in range(len(tops))]
     at, to = free_name(df, "head_id"), free_name(df, "head_dest")
     heads = df.sparkSession.createDataFrame(heads, T.StructType([T.StructField(at, df.schema[id_col].dataType), T.StructField(to, T.IntegerType())]))
@@ -209,7 +214,7 @@ def edit_probe(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", di
         }
 
     packed = map_arrow(named, pack, T.StructType([named.schema["id"], *T._parse_datatype_string("key binary, own binary, text binary").fields]))
-    paired = next_by_id(packed, "id", {"following": "text", "next_own": "own", "next_key": "key"}, ("key",))
+    paired = next_by_id(packed, "id", {"following": "text", "next_own": "own", "next_key": "key"}, ("key",), named)
     schema = T.StructType([named.schema["id"], *T._parse_datatype_string("key binary, next_key binary, n_chars long, edited_sha256 binary, own binary, edited binary, next_own binary").fields])
     rows = cut(map_arrow(paired, probe, schema))
     clash = cut(_collisions(rows, named.select("key", "text"), True, digest_fn))
