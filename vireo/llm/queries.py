@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm import fingerprint, langid, lines, mixing, urlrules
+from vireo.llm import decontam, fingerprint, langid, licenses, lines, mixing, urlrules
 from vireo.llm.common import documents
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     labels = urlrules.page_labels(pages, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -19,6 +23,10 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir).select("doc_id", "source", "text"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
     profiles = langid.train(docs.where(~F.col("held_out")), "text", "lang")
@@ -35,8 +43,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_url_rules": op2_url_rules,
     "op3_source_mixing": op3_source_mixing,
+    "op4_decontamination": op4_decontamination,
     "op6_language_id": op6_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op10_fingerprints": op10_fingerprints,

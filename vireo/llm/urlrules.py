@@ -83,11 +83,12 @@ def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_rows: int =
     rule must hold in ``min_support`` of the labelled rows and in ``min_rows``.
     """
     spark = labelled.sparkSession
-    min_support = min(1.0, max(min_support, min_rows / max(1, labelled.count())))
+    n = labelled.count()
+    min_support = min(1.0, max(min_support, min_rows / max(1, n)))
     items = F.when(F.col("block") == 1, F.concat(tokens(F.col("url")), F.array(F.lit(BLOCK)))).otherwise(tokens(F.col("url")))
     growth = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence, numPartitions=int(spark.conf.get("spark.sql.shuffle.partitions")))
     model = growth.fit(labelled.select(items.alias("items")))
-    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK))
+    rules = model.associationRules.where((F.size("consequent") == 1) & (F.col("consequent")[0] == BLOCK) & (F.round(F.col("support") * n) >= min_rows))
     rules = rules.select(F.array_join(F.array_sort("antecedent"), "\t").alias("rule_id"), "antecedent", "confidence", "support")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq"))
     filed = rules.withColumn("token", F.explode("antecedent")).join(single, "token")
