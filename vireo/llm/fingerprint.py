@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vireo.llm.common import cut, free_name, map_arrow
+from vireo.llm.common import cut, free_name, map_arrow, may_be_in
 from vireo.llm.lines import document_key
 
 DOCS_PER_RANGE = 512
@@ -64,21 +64,6 @@ def add_digest(df: DataFrame, text_col: str, out: str, digest_fn=digest) -> Data
     return map_arrow(df, run, T.StructType([*df.schema.fields, T.StructField(out, T.BinaryType())]))
 
 
-def _bitmap_filter(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose binary ``key`` may be in ``wanted``; none of those is lost.
-
-    A bitmap of 2^23 hashed keys, 1 MB at most whatever the input, goes to all
-    tasks before anything is shuffled; what it lets through is exact only
-    after a join with ``wanted`` (an inner one: a semi-join would be pushed below).
-    """
-    bit = F.pmod(F.xxhash64(key), F.lit(1 << 23))
-    maps = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("map_no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map_bits"))
-    at = F.bitmap_bit_position(bit)
-    byte = F.conv(F.hex(F.substring("map_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    joined = df.join(F.broadcast(maps), F.bitmap_bucket_number(bit) == F.col("map_no"))
-    return joined.where(F.getbit(byte, (at % 8).cast("int")) == 1).drop("map_no", "map_bits")
-
-
 def _collisions(rows: DataFrame, docs: DataFrame, edits: bool, digest_fn=digest) -> DataFrame:
     """(key, next_key, kind, nth): texts whose digest belongs to a smaller, different form.
 
@@ -92,7 +77,7 @@ def _collisions(rows: DataFrame, docs: DataFrame, edits: bool, digest_fn=digest)
     if edits:
         every = every.unionByName(rows.select("key", "next_key", F.lit("edited").alias("kind"), F.col("edited").alias("digest")))
     repeated = every.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
-    held = cut(_bitmap_filter(every, "digest", repeated).join(repeated, "digest").distinct())
+    held = cut(may_be_in(every, "digest", repeated).join(repeated, "digest").distinct())
 
     def own_forms(batch: pa.RecordBatch) -> dict:
         made = [canonical(t) for t in batch.column("text").to_pylist()]
@@ -104,16 +89,16 @@ def _collisions(rows: DataFrame, docs: DataFrame, edits: bool, digest_fn=digest)
 
     shape = "key binary, next_key binary, kind string, digest binary, form binary"
     # What the bitmap lets through besides stands alone in its digest and changes nothing.
-    forms = map_arrow(_bitmap_filter(docs, "key", held.where("kind = 'own'").select("key")), own_forms, shape)
+    forms = map_arrow(may_be_in(docs, "key", held.where("kind = 'own'").select("key")), own_forms, shape)
     if edits:
         pairs = held.where("kind = 'edited'")
         wanted = pairs.select("key").union(pairs.select("next_key")).distinct()
-        texts = _bitmap_filter(docs, "key", wanted).join(wanted, "key").distinct()
+        texts = may_be_in(docs, "key", wanted).join(wanted, "key").distinct()
         after = texts.select(F.col("key").alias("next_key"), F.col("text").alias("following"))
         forms = forms.unionByName(map_arrow(pairs.join(texts, "key").join(after, "next_key"), edited_forms, shape))
     ends = forms.groupBy("digest").agg(F.min("form").alias("least"), F.max("form").alias("greatest"))
     failed = cut(ends.where("least <> greatest").select("digest", "least"))
-    other = _bitmap_filter(forms, "digest", failed.select("digest")).join(failed, "digest").where("form <> least")
+    other = may_be_in(forms, "digest", failed.select("digest")).join(failed, "digest").where("form <> least")
     return other.select("key", "next_key", "kind", F.dense_rank().over(W.partitionBy("digest").orderBy("form")).alias("nth")).distinct()
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm import decontam, fingerprint, langid, licenses, lines, mixing, urlrules
+from vireo.llm import decontam, fingerprint, langid, licenses, lines, mixing, neardup, urlrules
 from vireo.llm.common import documents
 
 
@@ -27,6 +27,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.with_class(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang", langid.held_out(F.col("doc_id")).alias("held_out"))
     profiles = langid.train(docs.where(~F.col("held_out")), "text", "lang")
@@ -47,6 +51,7 @@ QUERIES = {
     "op2_url_rules": op2_url_rules,
     "op3_source_mixing": op3_source_mixing,
     "op4_decontamination": op4_decontamination,
+    "op5_near_duplicates": op5_near_duplicates,
     "op6_language_id": op6_language_id,
     "op8_line_dedup": op8_line_dedup,
     "op10_fingerprints": op10_fingerprints,
