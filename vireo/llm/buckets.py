@@ -1,0 +1,68 @@
+"""Links inside hash buckets without expanding a bucket to all its pairs."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vireo.llm.common import cut
+from vireo.llm.components import components
+
+LEADER_ROUNDS = 8
+#: Remaining pairs may be this many times the entries of the open buckets before they are made.
+LINEAR = 4
+
+
+def bucket_roots(members: DataFrame, verified: Callable[[DataFrame], DataFrame], size_ratio: float = 0.0) -> DataFrame:
+    """(node, root): components of the links among nodes that share a bucket.
+
+    ``members`` has (bucket, node, n) with at least two nodes a bucket, on a
+    plan that is cheap to run again. ``verified`` turns pairs (a, b) into those
+    of them that are links. Sizes ``n`` of linked nodes differ by a factor of
+    ``size_ratio`` at least, which prunes pairs before they are verified.
+
+    Every member meets its bucket's leader. Then only members outside a
+    bucket's largest component can still join components, by meeting members
+    of other components; these pairs are made once they are in proportion to
+    the bucket entries, or after LEADER_ROUNDS rounds of further leaders. No
+    pair that could join two components is left out.
+    """
+
+    def near_enough(n1: str, n2: str):
+        return F.least(n1, n2) >= F.greatest(n1, n2) * size_ratio - 1e-9
+
+    def pair(frame: DataFrame) -> DataFrame:
+        return frame.where(near_enough("n_a", "n_b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+    first = F.min(F.struct(F.xxhash64("node").alias("h"), "node", "n")).alias("lead")
+    leaders = cut(members.groupBy("bucket").agg(first, F.count(F.lit(1)).alias("m")).select("bucket", "m", F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a")))
+    led = members.join(leaders, "bucket").where("node <> a")
+    done = cut(pair(led.select("a", "n_a", F.col("node").alias("b"), F.col("n").alias("n_b"))))
+    roots = components(verified(done))
+    # All pairs with a first leader are compared. What else can join components?
+    others = cut(led.where("m > 2").select("bucket", "node", "n"))
+    for turn in range(LEADER_ROUNDS + 1):
+        held = others.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+        parts = held.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"))
+        top = parts.groupBy("bucket").agg(F.sum("part").alias("m"), F.max(F.struct("part", "root")).alias("top"))
+        top = cut(top.where("top.part < m").select("bucket", "m", F.col("top.part").alias("part"), F.col("top.root").alias("top_root")))
+        buckets, pairs_left, entries = top.selectExpr("count(1)", "sum((m - part) * m)", "sum(m)").first()
+        if not buckets:
+            break
+        last = turn == LEADER_ROUNDS or pairs_left <= LINEAR * entries
+        held = cut(held.join(top, "bucket"))
+        rest = held.where("root <> top_root").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+        if not last:
+            salted = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), "a", "n_a", "root_a")
+            rest = rest.groupBy("bucket").agg(F.min(salted).alias("lead")).select("bucket", "lead.a", "lead.n_a", "lead.root_a")
+        met = rest.join(held.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")), "bucket").where("root_a <> root_b")
+        pairs = cut(pair(met).join(done, ["a", "b"], "left_anti"))
+        new = cut(verified(pairs))
+        if not new.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
+        if last:
+            break
+        done = done.unionByName(pairs)
+    return roots

@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from vireo.llm.buckets import bucket_roots
 from vireo.llm.common import cut, free_name, map_arrow, may_be_in
-from vireo.llm.components import components
 from vireo.llm.lines import document_key
 from vireo.llm.words import lowered, mix, run_shingles, words
 
@@ -44,7 +44,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 14
 MINIMA = 3
-LEADER_ROUNDS = 8
 
 
 def labelled(x: np.ndarray) -> np.ndarray:
@@ -168,8 +167,7 @@ def classes(
     # Equal texts have equal sketches: grouping by all three columns leaves one row of each.
     nodes = cut(map_arrow(named, sketched, "tid binary, n int, keys array<long>").where(F.size("keys") > 0).distinct())
     entries = nodes.select("tid", "n", F.explode("keys").alias("bucket"))
-    lead = F.min(F.struct(F.xxhash64("tid").alias("h"), "tid"))
-    shared = cut(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), lead.alias("lead")).where("m > 1").select("bucket", "m", F.col("lead.tid").alias("leader")))
+    shared = cut(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket"))
     members = cut(entries.join(shared, "bucket"))
 
     wanted = cut(members.select("tid").distinct())
@@ -203,39 +201,7 @@ def classes(
         both = pairs.join(texts.select(F.col("tid").alias("a"), F.col("packed").alias("text_a")), "a").join(texts.select(F.col("tid").alias("b"), F.col("packed").alias("text_b")), "b")
         return map_arrow(both.select("a", "b", "text_a", "text_b"), run, "a binary, b binary")
 
-    def near_enough(n1: str, n2: str):
-        return F.least(n1, n2) >= F.greatest(n1, n2) * similarity - 1e-9
-
-    sizes = nodes.select(F.col("tid").alias("leader"), F.col("n").alias("leader_n"))
-    stars = members.where("tid <> leader").select("leader", "tid", "n").distinct().join(sizes, "leader").where(near_enough("n", "leader_n"))
-    done = cut(stars.select(F.col("leader").alias("a"), F.col("tid").alias("b")))
-    links = cut(verified(done))
-    roots = components(links)
-    # All pairs with a first leader are compared. What else can join components?
-    open_members = members.where("m > 2").where("tid <> leader").select("bucket", "tid", "n")
-    for round_no in range(LEADER_ROUNDS + 1):
-        held = cut(open_members.join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").select("bucket", "tid", "n", F.coalesce("root", "tid").alias("root")))
-        parts = held.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"))
-        top = parts.groupBy("bucket").agg(F.sum("part").alias("m"), F.max(F.struct("part", "root")).alias("top")).where(F.col("top.part") < F.col("m"))
-        top = cut(top.select("bucket", "m", F.col("top.part").alias("part"), F.col("top.root").alias("top_root")))
-        todo = top.agg(F.count(F.lit(1)), F.sum((F.col("m") - F.col("part")) * F.col("m")), F.sum("m")).first()
-        if not todo[0]:
-            break
-        held = held.join(top, "bucket")
-        rest = held.where("root <> top_root").select("bucket", F.col("tid").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
-        last = round_no == LEADER_ROUNDS or todo[1] <= 4 * todo[2]
-        if not last:
-            salt = F.xxhash64("a", F.lit(round_no))
-            rest = rest.groupBy("bucket").agg(F.min(F.struct(salt.alias("h"), "a", "n_a", "root_a")).alias("lead")).select("bucket", "lead.a", "lead.n_a", "lead.root_a")
-        pairs = rest.join(held.select("bucket", F.col("tid").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")), "bucket").where("root_a <> root_b").where(near_enough("n_a", "n_b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = cut(pairs.join(done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-        new = cut(verified(pairs))
-        if not new.isEmpty():
-            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
-        if last:
-            break
-        done = done.unionByName(pairs)
+    roots = bucket_roots(members.select("bucket", F.col("tid").alias("node"), "n"), verified, similarity)
     return roots.select(F.col("node").alias("text_id"), "root")
 
 
