@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm import decontam, fingerprint, langid, licenses, lines, mixing, neardup, urlrules
+from vireo.llm import decontam, fingerprint, langid, licenses, lines, mixing, neardup, passages, urlrules
 from vireo.llm.common import documents
 
 
@@ -42,6 +42,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.spans(passages.repeats(documents(spark, sf_dir).select("doc_id", "text")))
+    words = lambda p: p["end"] - p["start"]
+    add = lambda a, p: a + words(p)
+    return found.select(
+        "doc_id",
+        F.size("passages").alias("n_passages"),
+        F.aggregate("passages", F.lit(0), add).alias("repeated_words"),
+        F.aggregate(F.filter("passages", lambda p: p["removed"]), F.lit(0), add).alias("removed_words"),
+        F.transform("passages", lambda p: p["passage_id"]).alias("passage_ids"),
+    )
+
+
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_probe(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -54,6 +67,7 @@ QUERIES = {
     "op5_near_duplicates": op5_near_duplicates,
     "op6_language_id": op6_language_id,
     "op8_line_dedup": op8_line_dedup,
+    "op9_repeated_passages": op9_repeated_passages,
     "op10_fingerprints": op10_fingerprints,
 }
 
