@@ -7,19 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vireo.llm.common import cut
+from vireo.llm.common import cut, release
 from vireo.llm.components import components
 
-LEADER_ROUNDS = 8
+LEADER_ROUNDS = 3
 #: Remaining pairs may be this many times the entries of the open buckets before they are made.
-LINEAR = 4
+LINEAR = 2
 
 
-def bucket_roots(members: DataFrame, verified: Callable[[DataFrame], DataFrame], size_ratio: float = 0.0) -> DataFrame:
+def bucket_roots(members: DataFrame, keys: DataFrame, verified: Callable[[DataFrame], DataFrame], size_ratio: float = 0.0) -> DataFrame:
     """(node, root): components of the links among nodes that share a bucket.
 
     ``members`` has (bucket, node, n) with at least two nodes a bucket, on a
-    plan that is cheap to run again. ``verified`` turns pairs (a, b) into those
+    plan that is cheap to run again; ``keys`` has (node, keys), all buckets of
+    a node in a fixed order, so that a pair is made in its first shared bucket
+    only. ``verified`` turns pairs (a, b) into those
     of them that are links. Sizes ``n`` of linked nodes differ by a factor of
     ``size_ratio`` at least, which prunes pairs before they are verified.
 
@@ -43,6 +45,7 @@ def bucket_roots(members: DataFrame, verified: Callable[[DataFrame], DataFrame],
     roots = components(verified(done))
     # All pairs with a first leader are compared. What else can join components?
     others = cut(led.where("m > 2").select("bucket", "node", "n"))
+    release(members.sparkSession)
     for turn in range(LEADER_ROUNDS + 1):
         held = others.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
         parts = held.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"))
@@ -52,12 +55,15 @@ def bucket_roots(members: DataFrame, verified: Callable[[DataFrame], DataFrame],
         if not buckets:
             break
         last = turn == LEADER_ROUNDS or pairs_left <= LINEAR * entries
-        held = cut(held.join(top, "bucket"))
-        rest = held.where("root <> top_root").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"))
+        held = cut(held.join(top, "bucket").join(keys, "node"))
+        rest = held.where("root <> top_root").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("keys").alias("keys_a"))
         if not last:
-            salted = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), "a", "n_a", "root_a")
-            rest = rest.groupBy("bucket").agg(F.min(salted).alias("lead")).select("bucket", "lead.a", "lead.n_a", "lead.root_a")
-        met = rest.join(held.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b")), "bucket").where("root_a <> root_b")
+            salted = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), "a", "n_a", "root_a", "keys_a")
+            rest = rest.groupBy("bucket").agg(F.min(salted).alias("lead")).select("bucket", "lead.a", "lead.n_a", "lead.root_a", "lead.keys_a")
+        met = rest.join(held.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("keys").alias("keys_b")), "bucket")
+        met = met.where((F.col("root_a") != F.col("root_b")) & near_enough("n_a", "n_b"))
+        if last:
+            met = met.where(F.col("bucket") == F.array_intersect("keys_a", "keys_b")[0])
         pairs = cut(pair(met).join(done, ["a", "b"], "left_anti"))
         new = cut(verified(pairs))
         if not new.isEmpty():
@@ -65,4 +71,5 @@ def bucket_roots(members: DataFrame, verified: Callable[[DataFrame], DataFrame],
         if last:
             break
         done = done.unionByName(pairs)
+        release(members.sparkSession)
     return roots

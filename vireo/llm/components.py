@@ -1,8 +1,8 @@
 """Connected components of a link table, by alternating large and small stars.
 
 Every round points each node's larger neighbours, then its smaller ones, at the
-smallest node it knows; rounds end when the links no longer change, after
-O(log^2) rounds at most. Links stay distributed; each round is cut to the
+smallest node it knows; rounds end when the links are stars, after O(log^2)
+rounds at most. Links stay distributed; each round is cut to the
 shared checkpoint folder. A hub with a third of all links is a partial minimum
 per task and a skewed inner join with one row on the other side.
 """
@@ -12,24 +12,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vireo.llm.common import cut
+from vireo.llm.common import cut, release
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every node that has a link; the root is the least node of its component."""
     big, small = F.greatest(a, b), F.least(a, b)
     links = cut(links.where(F.col(a) != F.col(b)).select(big.alias("a"), small.alias("b")).distinct())
-    state = _state(links)
-    while True:
+    while not _stars(links):
         links = cut(_small_star(_large_star(links)))
-        now = _state(links)
-        if now == state:
-            return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b").distinct())
-        state = now
+        release(links.sparkSession)
+    return links.select(F.col("a").alias("node"), F.col("b").alias("root")).union(links.select("b", "b").distinct())
 
 
-def _state(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _stars(links: DataFrame) -> bool:
+    """Whether every node points at one root, and no root at anything."""
+    ends = links.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(links.select("b", F.lit(0), F.lit(1)))
+    bad = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)")
+    return bad.isEmpty()
 
 
 def _large_star(links: DataFrame) -> DataFrame:

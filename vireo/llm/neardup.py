@@ -9,8 +9,8 @@ the similarity is m / (n1 + n2 - m), the Jaccard similarity of the occurrence-
 labelled shingles as far as they stand in the same order. Pairs at
 SIMILARITY or more are links; classes are the components of the links.
 
-At similarity 0.8 a pair misses one bucket with probability 1 - 0.8^3 = 0.49
-and all 14 with 4e-5.
+At similarity 0.8 a pair misses one bucket with probability 1 - 0.8^4 = 0.59
+and all 18 with 8e-5.
 
 Scale: equal texts are one node, so copies are never compared. Buckets are not
 expanded to pairs: first every member meets its bucket's leader; then, in
@@ -42,8 +42,8 @@ from vireo.llm.words import lowered, mix, run_shingles, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 14
-MINIMA = 3
+BANDS = 18
+MINIMA = 4
 
 
 def labelled(x: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ def classes(
         both = pairs.join(texts.select(F.col("tid").alias("a"), F.col("packed").alias("text_a")), "a").join(texts.select(F.col("tid").alias("b"), F.col("packed").alias("text_b")), "b")
         return map_arrow(both.select("a", "b", "text_a", "text_b"), run, "a binary, b binary")
 
-    roots = bucket_roots(members.select("bucket", F.col("tid").alias("node"), "n"), verified, similarity)
+    roots = bucket_roots(members.select("bucket", F.col("tid").alias("node"), "n"), nodes.select(F.col("tid").alias("node"), "keys"), verified, similarity)
     return roots.select(F.col("node").alias("text_id"), "root")
 
 
