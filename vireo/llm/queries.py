@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm import decontam, fingerprint, langid, licenses, lines, mixing, neardup, passages, urlrules
+from vireo.llm import decontam, fingerprint, langid, licenses, lines, lm, mixing, neardup, passages, urlrules
 from vireo.llm.common import documents
 
 
@@ -37,6 +37,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir).select("doc_id", "text"), held_out=langid.held_out(F.col("doc_id"), 7, 2))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), min_docs=10, min_chars=1)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -66,6 +70,7 @@ QUERIES = {
     "op4_decontamination": op4_decontamination,
     "op5_near_duplicates": op5_near_duplicates,
     "op6_language_id": op6_language_id,
+    "op7_lm_scores": op7_lm_scores,
     "op8_line_dedup": op8_line_dedup,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_fingerprints": op10_fingerprints,
