@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vireo.llm.common import cut, release
 from vireo.llm.components import components
 
-LEADER_ROUNDS = 3
+SAMPLE_ROUNDS = 4
 #: Remaining pairs may be this many times the entries of the open buckets before they are made.
 LINEAR = 2
 
@@ -28,8 +28,10 @@ def bucket_roots(members: DataFrame, keys: DataFrame, verified: Callable[[DataFr
     Every member meets its bucket's leader. Then only members outside a
     bucket's largest component can still join components, by meeting members
     of other components; these pairs are made once they are in proportion to
-    the bucket entries, or after LEADER_ROUNDS rounds of further leaders. No
-    pair that could join two components is left out.
+    the bucket entries. Until then, for SAMPLE_ROUNDS rounds at most, a sample
+    of each bucket meets the members of other components, which joins most of
+    what is left of a large group. No pair that could join two components is
+    left out.
     """
 
     def near_enough(n1: str, n2: str):
@@ -46,7 +48,7 @@ def bucket_roots(members: DataFrame, keys: DataFrame, verified: Callable[[DataFr
     # All pairs with a first leader are compared. What else can join components?
     others = cut(led.where("m > 2").select("bucket", "node", "n"))
     release(members.sparkSession)
-    for turn in range(LEADER_ROUNDS + 1):
+    for turn in range(SAMPLE_ROUNDS + 1):
         held = others.join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
         parts = held.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("part"))
         top = parts.groupBy("bucket").agg(F.sum("part").alias("m"), F.max(F.struct("part", "root")).alias("top"))
@@ -54,16 +56,14 @@ def bucket_roots(members: DataFrame, keys: DataFrame, verified: Callable[[DataFr
         buckets, pairs_left, entries = top.selectExpr("count(1)", "sum((m - part) * m)", "sum(m)").first()
         if not buckets:
             break
-        last = turn == LEADER_ROUNDS or pairs_left <= LINEAR * entries
+        last = turn == SAMPLE_ROUNDS or pairs_left <= LINEAR * entries
         held = cut(held.join(top, "bucket").join(keys, "node"))
-        rest = held.where("root <> top_root").select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("keys").alias("keys_a"))
-        if not last:
-            salted = F.struct(F.xxhash64("a", F.lit(turn)).alias("h"), "a", "n_a", "root_a", "keys_a")
-            rest = rest.groupBy("bucket").agg(F.min(salted).alias("lead")).select("bucket", "lead.a", "lead.n_a", "lead.root_a", "lead.keys_a")
+        # Short of the last round, a sample of each bucket that makes a linear number of pairs.
+        share = F.least(F.lit(1.0), F.lit(LINEAR) / (F.col("m") - F.col("part"))) * (1 << 30)
+        chosen = F.col("root") != F.col("top_root") if last else F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), F.lit(1 << 30)) < share
+        rest = held.where(chosen).select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("keys").alias("keys_a"))
         met = rest.join(held.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("keys").alias("keys_b")), "bucket")
-        met = met.where((F.col("root_a") != F.col("root_b")) & near_enough("n_a", "n_b"))
-        if last:
-            met = met.where(F.col("bucket") == F.array_intersect("keys_a", "keys_b")[0])
+        met = met.where((F.col("root_a") != F.col("root_b")) & near_enough("n_a", "n_b") & (F.col("bucket") == F.array_intersect("keys_a", "keys_b")[0]))
         pairs = cut(pair(met).join(done, ["a", "b"], "left_anti"))
         new = cut(verified(pairs))
         if not new.isEmpty():
