@@ -15,13 +15,13 @@ SAMPLE_ROUNDS = 4
 LINEAR = 2
 
 
-def bucket_roots(members: DataFrame, keys: DataFrame, verified: Callable[[DataFrame], DataFrame], size_ratio: float = 0.0) -> DataFrame:
+def bucket_roots(members: DataFrame, keys: DataFrame, verified: Callable[[DataFrame], DataFrame], size_ratio: float = 0.0, agree: int = 1) -> DataFrame:
     """(node, root): components of the links among nodes that share a bucket.
 
     ``members`` has (bucket, node, n) with at least two nodes a bucket, on a
     plan that is cheap to run again; ``keys`` has (node, keys), all buckets of
     a node in a fixed order, so that a pair is made in its first shared bucket
-    only. ``verified`` turns pairs (a, b) into those
+    only, and if it shares ``agree`` of them. ``verified`` turns pairs (a, b) into those
     of them that are links. Sizes ``n`` of linked nodes differ by a factor of
     ``size_ratio`` at least, which prunes pairs before they are verified.
 
@@ -63,7 +63,9 @@ def bucket_roots(members: DataFrame, keys: DataFrame, verified: Callable[[DataFr
         chosen = F.col("root") != F.col("top_root") if last else F.pmod(F.xxhash64("node", "bucket", F.lit(turn)), F.lit(1 << 30)) < share
         rest = held.where(chosen).select("bucket", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("root").alias("root_a"), F.col("keys").alias("keys_a"))
         met = rest.join(held.select("bucket", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("root").alias("root_b"), F.col("keys").alias("keys_b")), "bucket")
-        met = met.where((F.col("root_a") != F.col("root_b")) & near_enough("n_a", "n_b") & (F.col("bucket") == F.array_intersect("keys_a", "keys_b")[0]))
+        met = met.where((F.col("root_a") != F.col("root_b")) & near_enough("n_a", "n_b"))
+        common = F.array_intersect("keys_a", "keys_b")
+        met = met.where(F.when(F.size(common) >= agree, common[0] == F.col("bucket")))
         pairs = cut(pair(met).join(done, ["a", "b"], "left_anti"))
         new = cut(verified(pairs))
         if not new.isEmpty():

@@ -101,14 +101,14 @@ def map_arrow(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def may_be_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+def may_be_in(df: DataFrame, key: str, wanted: DataFrame, bits: int = 23) -> DataFrame:
     """Rows of ``df`` whose binary ``key`` may be in ``wanted``; none of those is lost.
 
-    A bitmap of 2^23 hashed keys, 1 MB at most whatever the input, goes to all
+    A bitmap of 2^bits hashed keys, 2^bits / 8 bytes at most whatever the input, goes to all
     tasks before anything is shuffled; what it lets through is exact only
     after a join with ``wanted`` (an inner one: a semi-join would be pushed below).
     """
-    bit = F.pmod(F.xxhash64(key), F.lit(1 << 23))
+    bit = F.pmod(F.xxhash64(key), F.lit(1 << bits))
     maps = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("map_no")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map_bits"))
     at = F.bitmap_bit_position(bit)
     byte = F.conv(F.hex(F.substring("map_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
