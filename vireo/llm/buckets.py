@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from vireo.llm.common import cut, release
 from vireo.llm.components import components
 
-SAMPLE_ROUNDS = 4
+SAMPLE_ROUNDS = 2
 #: Remaining pairs may be this many times the entries of the open buckets before they are made.
 LINEAR = 2
+#: Pairs that are verified in one go; what is shuffled for them is dropped before the next lot.
+LOT = 200_000
 
 
 def bucket_roots(members: DataFrame, keys: DataFrame, verified: Callable[[DataFrame], DataFrame], size_ratio: float = 0.0, agree: int = 1) -> DataFrame:
@@ -44,7 +46,7 @@ def bucket_roots(members: DataFrame, keys: DataFrame, verified: Callable[[DataFr
     leaders = cut(members.groupBy("bucket").agg(first, F.count(F.lit(1)).alias("m")).select("bucket", "m", F.col("lead.node").alias("a"), F.col("lead.n").alias("n_a")))
     led = members.join(leaders, "bucket").where("node <> a")
     done = cut(pair(led.select("a", "n_a", F.col("node").alias("b"), F.col("n").alias("n_b"))))
-    roots = components(verified(done))
+    roots = components(_in_lots(done, verified))
     # All pairs with a first leader are compared. What else can join components?
     others = cut(led.where("m > 2").select("bucket", "node", "n"))
     release(members.sparkSession)
@@ -67,7 +69,7 @@ def bucket_roots(members: DataFrame, keys: DataFrame, verified: Callable[[DataFr
         common = F.array_intersect("keys_a", "keys_b")
         met = met.where(F.when(F.size(common) >= agree, common[0] == F.col("bucket")))
         pairs = cut(pair(met).join(done, ["a", "b"], "left_anti"))
-        new = cut(verified(pairs))
+        new = _in_lots(pairs, verified)
         if not new.isEmpty():
             roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new))
         if last:
@@ -75,3 +77,15 @@ def bucket_roots(members: DataFrame, keys: DataFrame, verified: Callable[[DataFr
         done = done.unionByName(pairs)
         release(members.sparkSession)
     return roots
+
+
+def _in_lots(pairs: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The linked ones of ``pairs`` (a cut plan), LOT at a time, so that disk doesn't grow with the pairs."""
+    lots = max(1, -(-pairs.count() // LOT))
+    out = None
+    for k in range(lots):
+        own = pairs if lots == 1 else pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(lots)) == k)
+        part = cut(verified(own))
+        out = part if out is None else out.unionByName(part)
+        release(pairs.sparkSession)
+    return out
