@@ -1,0 +1,74 @@
+"""Links among sets that share a bucket, by a leader and prefix keys.
+
+Nodes are sets; two are linked if their Jaccard similarity is at least ``s``.
+Every member of a bucket meets the bucket's smallest set L, its leader. What is
+left rests on a bound. Let r and x be no smaller than L, with J(r, L) < s. If r
+and x have no element in common outside L, then J(r, x) < s. For r & x lies
+inside L then, so |r & x| <= |r & L|; and as |x| >= |L|, what x lacks of L it
+makes up for by as many elements outside L, which are outside r too, so
+|r | x| >= |r | L|.
+
+Hence a pair that the leader does not decide shares an element outside L. More
+than that: |r & x| >= s |r| is needed, and |r & L| of it at most is inside L, so
+r and x share s |r| - |r & L| elements outside L at least, and by the prefix
+principle one of the first few of them in a fixed order, |r| / 5 or so at
+s = 0.8. These few are the keys of a second set of buckets, in which pairs are
+made outright where they can still join two components.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from vireo.llm.common import cut, release
+from vireo.llm.components import components
+
+
+def outside(leader: np.ndarray, own: np.ndarray, s: float) -> tuple[float, np.ndarray]:
+    """(Jaccard similarity, the elements of ``own`` outside ``leader`` that it is filed under).
+
+    Both are sorted and without repeats; the keys are in the order of the elements.
+    """
+    rest = np.setdiff1d(own, leader, assume_unique=True)
+    inside = len(own) - len(rest)
+    share = inside / max(1, len(leader) + len(rest))
+    need = max(1, math.ceil(s * len(own) - inside - 1e-9))
+    return share, rest[: max(0, len(rest) - need + 1)]
+
+
+def prefix_roots(members: DataFrame, examined: Callable[[DataFrame], DataFrame], verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root): components of the links among nodes that share a bucket.
+
+    ``members`` has (bucket, node, n), two nodes a bucket at least, n the size
+    of the set. ``examined`` turns pairs (a, b), a the leader, into (a, b,
+    linked, keys) with ``outside``'s keys of b; ``verified`` turns pairs into
+    those that are linked. No pair that could join two components is left out.
+    """
+    spark = members.sparkSession
+    first = F.min(F.struct("n", F.xxhash64("node").alias("h"), "node")).alias("lead")
+    leaders = cut(members.groupBy("bucket").agg(first, F.count(F.lit(1)).alias("m")).select("bucket", "m", F.col("lead.node").alias("a")))
+    led = members.join(leaders, "bucket").where("node <> a").groupBy("a", F.col("node").alias("b")).agg(F.max(F.col("m") > 2).alias("more"))
+    seen = cut(examined(led))
+    release(spark)
+    roots = components(seen.where("linked").select("a", "b"))
+    # A leader of two members leaves nothing open.
+    filed = seen.where("more").join(roots.select(F.col("node").alias("b"), "root"), "b", "left")
+    entries = filed.select("a", "b", F.coalesce("root", "b").alias("root"), "keys", F.explode("keys").alias("key"))
+    mixed = entries.groupBy("a", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    entries = cut(entries.join(mixed.select("a", "key"), ["a", "key"]))
+    release(spark)
+    left = entries.select("a", "key", F.col("b").alias("x"), F.col("root").alias("root_x"), F.col("keys").alias("keys_x"))
+    right = entries.select("a", "key", F.col("b").alias("y"), F.col("root").alias("root_y"), F.col("keys").alias("keys_y"))
+    # A pair is made once for each leader, at the first key that both are filed under.
+    met = left.join(right, ["a", "key"]).where((F.col("x") < F.col("y")) & (F.col("root_x") != F.col("root_y")))
+    pairs = met.where(F.col("key") == F.array_intersect("keys_x", "keys_y")[0]).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    new = cut(verified(pairs.distinct()))
+    release(spark)
+    if new.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new.select("a", "b")))
