@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vireo.functions.vectors import let
+
 
 def strip(c: Column) -> Column:
     """Trim all Unicode white space, not only blanks."""
@@ -66,7 +68,7 @@ def bucket(token: Column, dim: int) -> Column:
 def hash_features(c: Column, dim: int) -> Column:
     """Token counts in ``dim`` hash buckets, as a dense array."""
     places = F.transform(tokens(c), lambda t: bucket(t, dim))
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.size(F.filter(places, lambda p: p == j)).cast("double"))
+    return let(places, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.size(F.filter(own, lambda p: p == j)).cast("double")))
 
 
 def statistics(c: Column) -> Column:

@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 TINY = 1e-12
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row.
+
+    What a lambda captures is computed again for each element, so every norm or
+    dot product that a lambda uses is bound by this first.
+    """
+    return F.transform(F.array(value), body)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -18,7 +27,7 @@ def norm(a: Column) -> Column:
 
 def scale(a: Column, k) -> Column:
     k = k if isinstance(k, Column) else F.lit(float(k))
-    return F.transform(a, lambda x: x * k)
+    return let(k, lambda c: F.transform(a, lambda x: x * c))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -29,10 +38,14 @@ def sub(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x - y)
 
 
+def _by_norm(a: Column, factor) -> Column:
+    """a times ``factor(norm)``."""
+    return let(a, lambda v: scale(v, factor(norm(v))))
+
+
 def l2_normalize(a: Column) -> Column:
     """x / max(|x|, 1e-12)."""
-    n = F.greatest(norm(a), F.lit(TINY))
-    return F.transform(a, lambda x: x / n)
+    return let(a, lambda v: let(F.greatest(norm(v), F.lit(TINY)), lambda n: F.transform(v, lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -44,41 +57,49 @@ def sigmoid(x: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - top))
-    total = F.greatest(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), F.lit(TINY))
-    return F.transform(e, lambda x: x / total)
+    shifted = let(a, lambda v: let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x - top))))
+    total = lambda e: F.greatest(F.aggregate(e, F.lit(0.0), lambda s, x: s + x), F.lit(TINY))
+    return let(shifted, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def exp0(a: Column) -> Column:
     """Exponential map at the origin of the Poincare ball: tanh(|x|) x / |x|."""
-    n = F.greatest(norm(a), F.lit(TINY))
-    return F.transform(a, lambda x: F.tanh(n) * x / n)
+    return _by_norm(a, lambda n: F.tanh(F.greatest(n, F.lit(TINY))) / F.greatest(n, F.lit(TINY)))
+
+
+def _inside(n: Column) -> Column:
+    return F.least(F.greatest(n, F.lit(TINY)), F.lit(1 - 1e-6))
 
 
 def log0(a: Column) -> Column:
     """Logarithmic map at the origin; the norm is clipped to [1e-12, 1 - 1e-6] throughout."""
-    n = F.least(F.greatest(norm(a), F.lit(TINY)), F.lit(1 - 1e-6))
-    return F.transform(a, lambda x: F.atanh(n) * x / n)
+    return _by_norm(a, lambda n: F.atanh(_inside(n)) / _inside(n))
 
 
 def clip_radius(a: Column, most: float = 1 - 1e-5) -> Column:
-    n = norm(a)
-    return F.when(n > most, F.transform(a, lambda x: x * (most / n))).otherwise(a)
+    return _by_norm(a, lambda n: F.when(n > most, most / n).otherwise(1.0))
 
 
 def mobius_add(a: Column, b: Column) -> Column:
     """Moebius addition, denominator at least 1e-12, radius clipped."""
-    ab, aa, bb = dot(a, b), dot(a, a), dot(b, b)
-    den = F.greatest(1.0 + 2.0 * ab + aa * bb, F.lit(TINY))
-    left, right = (1.0 + 2.0 * ab + bb) / den, (1.0 - aa) / den
-    return clip_radius(F.zip_with(a, b, lambda x, y: left * x + right * y))
+
+    def body(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        dots = F.struct(dot(x, y).alias("xy"), dot(x, x).alias("xx"), dot(y, y).alias("yy"))
+
+        def combined(d: Column) -> Column:
+            den = F.greatest(1.0 + 2.0 * d["xy"] + d["xx"] * d["yy"], F.lit(TINY))
+            k = F.struct(((1.0 + 2.0 * d["xy"] + d["yy"]) / den).alias("left"), ((1.0 - d["xx"]) / den).alias("right"))
+            return let(k, lambda f: F.zip_with(x, y, lambda u, v: f["left"] * u + f["right"] * v))
+
+        return let(dots, combined)
+
+    return clip_radius(let(F.struct(a.alias("x"), b.alias("y")), body))
 
 
 def mobius_scale(w: Column, a: Column) -> Column:
     """Moebius scalar product tanh(w atanh(|x|)) x / |x|, radius clipped."""
-    n = F.least(F.greatest(norm(a), F.lit(TINY)), F.lit(1 - 1e-6))
-    return clip_radius(F.transform(a, lambda x: F.tanh(w * F.atanh(n)) * x / n))
+    return clip_radius(_by_norm(a, lambda n: F.tanh(w * F.atanh(_inside(n))) / _inside(n)))
 
 
 def fuse(gate: Column, structure: Column, attributes: Column) -> Column:

@@ -67,7 +67,7 @@ def clean_labels(nodes: DataFrame, mode: str = "off", min_support: int = 5) -> L
     if classes < 2:
         kept, rows, classes = kept.limit(0), 0, 0
     dense = kept.select("label", (F.dense_rank().over(W.orderBy("label")) - 1).alias("_dense"))
-    out = nodes.join(F.broadcast(dense), "label", "left").withColumn("label", F.coalesce("_dense", F.lit(-1))).select(*nodes.columns)
+    out = nodes.join(F.broadcast(dense), "label", "left").withColumn("label", F.coalesce("_dense", F.lit(-1)).cast("long")).select(*nodes.columns)
     counts |= {"labeled_nodes": rows, "eval_dropped_labeled_nodes": raw_rows - rows, "eval_class_count": classes, "eval_dropped_class_count": raw_classes - classes}
     return LabelCleanup(out, counts)
 

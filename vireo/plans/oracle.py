@@ -147,7 +147,7 @@ SELECT id, score FROM again ORDER BY score DESC, year DESC, id LIMIT 300""",
 SELECT count(*) FILTER (ref IN (SELECT id FROM kept)) AS resolved, count(*) FILTER (ref NOT IN (SELECT id FROM kept)) AS unresolved_references FROM r""",
     "record_counters": "SELECT count(*) AS records_total, 0::BIGINT AS missing_id, 0::BIGINT AS invalid_year, count(*) FILTER (year(o_orderdate) NOT BETWEEN 1996 AND 2000) AS out_of_range, count(*) FILTER (year(o_orderdate) BETWEEN 1996 AND 2000) AS accepted FROM orders",
     "label_cleanup": """WITH n AS (SELECT d.doc_id AS node_id, coalesce(quality * 2 + toxic, -1)::BIGINT AS label FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id),
-s AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS dense FROM n WHERE label >= 0 GROUP BY label HAVING count(*) >= 20) SELECT node_id, coalesce(dense, -1) AS label FROM n LEFT JOIN s USING (label)""",
+s AS (SELECT label, row_number() OVER (ORDER BY label) - 1 AS dense FROM n WHERE label >= 0 GROUP BY label HAVING count(*) >= 20) SELECT node_id, coalesce(CASE WHEN (SELECT count(*) FROM s) >= 2 THEN dense END, -1) AS label FROM n LEFT JOIN s USING (label)""",
     "stratified_split": f"WITH {SPLIT} SELECT node_id, label, train FROM split",
     "random_split": f"WITH {EMB}, r AS (SELECT node_id, row_number() OVER (ORDER BY md5('42|' || node_id), node_id) AS nth, count(*) OVER () AS n FROM emb) SELECT node_id, nth <= floor(n * 0.7::DOUBLE) AS train FROM r",
     "centroid_predict": f"WITH {PREDICTED} SELECT node_id, label, pred FROM predicted",
@@ -166,8 +166,8 @@ e AS (SELECT DISTINCT a.i AS u, b.i AS v FROM k a JOIN k b USING (o) WHERE a.i <
     "global_quantiles": "WITH q AS (SELECT unnest([0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0])::DOUBLE AS q, unnest(quantile_cont(value, [0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0])) AS value FROM events) SELECT q, round(value, 9) AS value FROM q",
     "results_alias_merge": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN user_id::VARCHAR WHEN event_id % 3 = 0 THEN event_type ELSE '' END AS model, event_id::VARCHAR AS nodes FROM events",
     "history_patch_mean": """WITH d AS (SELECT user_id, day(ts) AS t, avg(value) AS y FROM events WHERE event_type = 'view' GROUP BY ALL), h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t DESC) AS late FROM d QUALIFY late <= 8),
-p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS at, count(*) OVER (PARTITION BY user_id) AS n FROM h)
-SELECT user_id, (at // 3)::BIGINT AS patch, round(sum(y * CASE WHEN late = 1 THEN 1 + (3 - n % 3) % 3 ELSE 1 END) / 3, 6) AS y0 FROM p GROUP BY ALL""",
+p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY t) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS n FROM h)
+SELECT user_id, ((pos - pos % 3) / 3)::BIGINT AS patch, round(sum(y * CASE WHEN late = 1 THEN 1 + (3 - n % 3) % 3 ELSE 1 END) / 3, 6) AS y0 FROM p GROUP BY ALL""",
     "last_wins_upsert": "SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id",
     "dense_labels": "WITH k AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS label FROM (SELECT DISTINCT p_brand FROM part)) SELECT p_partkey, label FROM part JOIN k USING (p_brand)",
     "argmax_label": f"WITH {EMB} SELECT node_id, (list_position(vec, list_max(vec)) - 1)::BIGINT AS place FROM emb",
