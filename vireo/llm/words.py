@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _WHITE = b" \t\n\x0b\x0c\r"
