@@ -80,8 +80,9 @@ def prefix(records: DataFrame, n_ids: int, seq: str = "seq") -> DataFrame:
     if not n_ids:
         return records
     first = records.groupBy("id").agg(F.min(seq).alias(seq))
-    last = first.orderBy(seq).limit(n_ids).agg(F.count(F.lit(1)).alias("n"), F.max(seq).alias("last")).first()
-    return records if last["n"] < n_ids else records.where(F.col(seq) <= F.lit(last["last"]))
+    last = first.orderBy(seq).limit(n_ids).agg(F.count(F.lit(1)).alias("_n"), F.max(seq).alias("_last"))
+    kept = records.join(F.broadcast(last), F.lit(True)).where((F.col("_n") < n_ids) | (F.col(seq) <= F.col("_last")))
+    return kept.select(*records.columns)
 
 
 def first_per_id(records: DataFrame, seq: str = "seq") -> DataFrame:
