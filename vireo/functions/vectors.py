@@ -131,6 +131,8 @@ def standard_stats(df: DataFrame, vec: str = "vec", d: int | None = None) -> tup
     """(means, population standard deviations) by position, to freeze and reuse."""
     if d is None:
         d = df.select(F.max(F.size(vec))).first()[0] or 0
+    if not d:
+        return [], []
     row = df.agg(*[F.avg(F.col(vec)[j]) for j in range(d)], *[F.stddev_pop(F.col(vec)[j]) for j in range(d)]).first()
     return [float(x or 0.0) for x in row[:d]], [float(x or 0.0) for x in row[d:]]
 

@@ -15,6 +15,7 @@ from vireo.operators import graph as g
 from vireo.operators import quantize as qz
 from vireo.operators import similarity as sim
 from vireo.operators import snapshots as sn
+from vireo.runtime import cut
 
 K = 4
 SEED = 42
@@ -212,7 +213,7 @@ def incremental_struct_update(spark, sf_dir):
     before, delta = _delta_edges(spark, sf_dir)
     after = sn.apply_delta(before, delta)
     nodes = g.universe(*[g.both_ways(e).select("u") for e in (before, after)])
-    old = random_projection(nodes, d, 0.5, SEED)
+    old = cut(random_projection(nodes, d, 0.5, SEED))
     out = incremental_structure(old, delta, after, d, 0.55)
     return out.select("node_id", *[r6(f"y{j}").alias(f"y{j}") for j in range(d)])
 
