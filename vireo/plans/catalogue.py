@@ -60,6 +60,11 @@ def r6(c):
     return F.round(c, 6)
 
 
+def r6_unsigned_zero(c):
+    """Rounded sums, where the order of terms decides the sign of a zero."""
+    return F.round(c, 6) + F.lit(0.0)
+
+
 # ---- queries -------------------------------------------------------------
 
 
@@ -140,7 +145,7 @@ def anchor_propagation(spark, sf_dir):
     edges = first_snapshot(spark, sf_dir)
     nodes = g.both_ways(edges).select(F.col("u").alias("node_id")).distinct()
     out = anchor(g.normalized(edges), random_projection(nodes, d, density, SEED), d, 2)
-    return out.select("node_id", *[r6(f"y{j}").alias(f"y{j}") for j in range(d)])
+    return out.select("node_id", *[r6_unsigned_zero(f"y{j}").alias(f"y{j}") for j in range(d)])
 
 
 def feature_standardize(spark, sf_dir):
@@ -202,8 +207,8 @@ def binary_quantize(spark, sf_dir):
 
 
 def _delta_edges(spark, sf_dir):
-    snaps = windows(spark, sf_dir)
-    return snaps.where("snap = 0").select("u", "v"), sn.deltas(snaps).where("snap = 1")
+    snaps = cut(windows(spark, sf_dir))
+    return snaps.where("snap = 0").select("u", "v"), cut(sn.deltas(snaps).where("snap = 1"))
 
 
 def incremental_struct_update(spark, sf_dir):
@@ -215,7 +220,7 @@ def incremental_struct_update(spark, sf_dir):
     nodes = g.universe(*[g.both_ways(e).select("u") for e in (before, after)])
     old = cut(random_projection(nodes, d, 0.5, SEED))
     out = incremental_structure(old, delta, after, d, 0.55)
-    return out.select("node_id", *[r6(f"y{j}").alias(f"y{j}") for j in range(d)])
+    return out.select("node_id", *[r6_unsigned_zero(f"y{j}").alias(f"y{j}") for j in range(d)])
 
 
 def text_hash_features(spark, sf_dir):

@@ -56,7 +56,7 @@ def _anchor() -> str:
     step = lambda name, src: f"{name} AS (SELECT x.u AS node_id, " + ", ".join(f"sum(x.w * r.y{j}) AS y{j}" for j in cols) + f" FROM entries x JOIN {src} r ON r.node_id = x.v GROUP BY x.u)"
     total = ", ".join(f"r0.y{j} * 6.0::DOUBLE / 11 + r1.y{j} * 3.0::DOUBLE / 11 + r2.y{j} * 2.0::DOUBLE / 11 AS y{j}" for j in cols)
     norm = "greatest(sqrt(" + " + ".join(f"y{j} * y{j}" for j in cols) + "), 1e-12)"
-    return f"WITH {SCALED}, r0 AS (SELECT node_id, {start} FROM ids), {step('r1', 'r0')}, {step('r2', 'r1')}, total AS (SELECT r0.node_id, {total} FROM r0 JOIN r1 USING (node_id) JOIN r2 USING (node_id)) SELECT node_id, " + ", ".join(f"round(y{j} / {norm}, 6) AS y{j}" for j in cols) + " FROM total"
+    return f"WITH {SCALED}, r0 AS (SELECT node_id, {start} FROM ids), {step('r1', 'r0')}, {step('r2', 'r1')}, total AS (SELECT r0.node_id, {total} FROM r0 JOIN r1 USING (node_id) JOIN r2 USING (node_id)) SELECT node_id, " + ", ".join(f"round(y{j} / {norm}, 6) + 0.0::DOUBLE AS y{j}" for j in cols) + " FROM total"
 
 
 def _incremental() -> str:
@@ -65,7 +65,7 @@ def _incremental() -> str:
     push = ", ".join(f"sum(w * o.y{j}) AS d{j}" for j in cols)
     moved = ", ".join(f"CASE WHEN p.d0 IS NULL THEN o.y{j} ELSE o.y{j} + 0.55::DOUBLE / greatest(coalesce(g.n, 0), 1) * p.d{j} END AS y{j}" for j in cols)
     norm = "greatest(sqrt(" + " + ".join(f"y{j} * y{j}" for j in cols) + "), 1e-12)"
-    final = ", ".join(f"round(CASE WHEN changed THEN y{j} / {norm} ELSE y{j} END, 6) AS y{j}" for j in cols)
+    final = ", ".join(f"round(CASE WHEN changed THEN y{j} / {norm} ELSE y{j} END, 6) + 0.0::DOUBLE AS y{j}" for j in cols)
     return f"""WITH {WINDOWS}, {DELTA}, d1 AS (SELECT op, u, v FROM delta WHERE snap = 1),
 after AS (SELECT u, v FROM snaps WHERE snap = 1), before AS (SELECT u, v FROM snaps WHERE snap = 0),
 ids AS (SELECT u AS node_id FROM after UNION SELECT v FROM after UNION SELECT u FROM before UNION SELECT v FROM before),
