@@ -321,3 +321,18 @@ def test_word_kernel():
     got = [run.of(i) for run in words(pa.array(texts), chunk=4) for i in range(run.n)]
     assert [len(x) for x in got] == [3, 0, 0, 1, 2, 1] and got[0][0] == got[4][1] and got[0][2] == got[4][0]
     assert (mixing.count_words(pa.array(texts)) == [3, 0, 0, 1, 2, 1]).all()
+
+
+@pytest.mark.parametrize("size", [51, 55, 60, 70, 100])
+def test_edited_passages(spark, vocab, size):
+    """A passage with one word changed in the middle, at similarity 0.8 or more as a whole, is found every time."""
+    rows = []
+    for k in range(12):
+        shared = prose(vocab, 1000 + k, size)
+        rows.append((2 * k, f"{prose(vocab, 2000 + k, 40)} {shared} {prose(vocab, 3000 + k, 30)}", "en", "a"))
+        rows.append((2 * k + 1, f"{prose(vocab, 4000 + k, 33)} {changed(shared, [size // 2], k)} {prose(vocab, 5000 + k, 45)}", "en", "a"))
+    found = {r["doc_id"]: r["passages"] for r in passages.spans(passages.repeats(docs(spark, rows))).collect()}
+    assert set(found) == set(range(24))
+    for i, own in found.items():
+        first = 33 if i % 2 else 40
+        assert [(p["start"], p["end"], p["removed"]) for p in own] == [(first, first + size, i % 2 == 1)]
