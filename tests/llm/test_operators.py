@@ -336,3 +336,14 @@ def test_edited_passages(spark, vocab, size):
     for i, own in found.items():
         first = 33 if i % 2 else 40
         assert [(p["start"], p["end"], p["removed"]) for p in own] == [(first, first + size, i % 2 == 1)]
+
+
+def test_short_near_duplicates(spark, vocab):
+    """All pairs of short texts at similarity 0.8 or more are compared: 4 and 5 shingles, 5 and 6, 8 of 10."""
+    rows, want = [], {}
+    for k in range(40):
+        base = prose(vocab, 6000 + k, 60).split()
+        texts = [base[:8], base[:9], base[20:29], base[20:30], base[40:53], base[41:54]]
+        rows += [(10 * k + i, " ".join(t), "en", "a") for i, t in enumerate(texts)]
+        want |= {10 * k + i: 10 * k + i // 2 * 2 for i in range(6)}
+    assert {r["doc_id"]: r["class_id"] for r in neardup.with_class(docs(spark, rows)).collect()} == want

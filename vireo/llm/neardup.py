@@ -9,9 +9,13 @@ the similarity is m / (n1 + n2 - m), the Jaccard similarity of the occurrence-
 labelled shingles as far as they stand in the same order. Pairs at
 SIMILARITY or more are links; classes are the components of the links.
 
-At similarity 0.8 a pair shares a bucket with probability 0.8^6 = 0.26, and at
-least AGREE of 32 with 0.9993; at 0.9 the loss is below 1e-9. At 0.5, as of
-texts that share one passage, it shares two with 0.09.
+Of long texts, a pair at similarity 0.8 shares a bucket with probability
+0.8^6 = 0.26, and at least AGREE of 32 with 0.9993; at 0.9 the loss is below
+1e-9. At 0.5, as of texts that share one passage, it shares two with 0.09.
+Minima are drawn without repeats, which lowers these odds for few shingles.
+So where one text of a pair has SHORT shingles or fewer, buckets are exact: by
+the prefix principle two sets at SIMILARITY or more share one of the first
+n - ceil(SIMILARITY n) + 1 labelled shingles of each in a common order.
 
 Scale: equal texts are one node, so copies are never compared. Buckets are not
 expanded to pairs: first every member meets its bucket's leader; then, in
@@ -45,6 +49,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 MINIMA = 6
+#: Texts of so many labelled shingles are filed under shingles, so that no pair with one of them is missed.
+SHORT = 64
 #: Buckets that a pair shares at least to be compared.
 AGREE = 2
 
@@ -89,6 +95,19 @@ def sketch(x: np.ndarray, bands: int = BANDS, minima: int = MINIMA) -> np.ndarra
     return mix(keys)
 
 
+def bucket_keys(x: np.ndarray, similarity: float = SIMILARITY, bands: int = BANDS, minima: int = MINIMA) -> np.ndarray:
+    """The buckets of a text with labelled shingles ``x``; linked texts share AGREE of them, for sure if one is SHORT."""
+    n, out = len(x), np.zeros(0, dtype=np.uint64)
+    if n > SHORT:
+        out = sketch(x, bands, minima)
+    if n * similarity <= SHORT + 1e-9:  # what may be linked to a short text
+        least = np.sort(x)[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
+        with np.errstate(over="ignore"):
+            # One shingle in common is enough: it counts as AGREE buckets.
+            out = np.concatenate((out, *[mix(least + np.uint64(k + 1) * np.uint64(0xD6E8FEB86659FD93)) for k in range(AGREE)]))
+    return out
+
+
 def banded_lcs(a: list, b: list, band: int) -> int:
     """Longest common subsequence with |i - j| <= band, bit-parallel over ``a``."""
     places: dict = {}
@@ -164,7 +183,7 @@ def classes(
         tids, ns, keys = batch.column("tid"), [], []
         for x in _shingle_lists(batch.column("text"), shingle):
             ns.append(len(x))
-            keys.append(sketch(labelled(x), bands, minima).view(np.int64).tolist() if len(x) else [])
+            keys.append(bucket_keys(labelled(x), similarity, bands, minima).view(np.int64).tolist() if len(x) else [])
         return {"tid": tids, "n": pa.array(ns, pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64()))}
 
     # Equal texts have equal sketches: grouping by all three columns leaves one row of each.
