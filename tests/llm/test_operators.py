@@ -347,3 +347,11 @@ def test_short_near_duplicates(spark, vocab):
         rows += [(10 * k + i, " ".join(t), "en", "a") for i, t in enumerate(texts)]
         want |= {10 * k + i: 10 * k + i // 2 * 2 for i in range(6)}
     assert {r["doc_id"]: r["class_id"] for r in neardup.with_class(docs(spark, rows)).collect()} == want
+
+
+def test_passages_of_rows_with_one_id(spark, vocab):
+    """Rows of one id with different texts are different documents."""
+    shared = prose(vocab, 7000, 60)
+    rows = [(1, f"{prose(vocab, 7001, 30)} {shared}", "en", "a"), (1, f"{shared} {prose(vocab, 7002, 30)}", "en", "a")]
+    found = passages.repeats(docs(spark, rows))
+    assert found.select("doc", "removed").distinct().count() == 2 and found.where("removed").select("doc").distinct().count() == 1
