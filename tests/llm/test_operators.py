@@ -182,7 +182,7 @@ def test_patience_never_beats_lcs():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        assert licenses.patience(a, b)[0] <= best[-1][-1] == licenses.lcs_pairs(a, b) == neardup.banded_lcs(a, b, 12)
+        assert licenses.patience(a, b)[0] <= best[-1][-1] == licenses.lcs_pairs(a, b)
 
 
 def brute_tiles(p, t, k):
@@ -237,7 +237,7 @@ def test_near_duplicates(spark, awkward, empty, vocab):
     rows += [(200, changed(base, range(0, 200, 9), 5), "en", "a")]
     got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in neardup.with_class(docs(spark, rows)).collect()}
     sets = {i: hash_words([t.lower()], "alnum")[0] for i, t, _, _ in rows}
-    sets = {i: shingles(h, 5) for i, h in sets.items()}
+    sets = {i: neardup.labelled(shingles(h, 5)) for i, h in sets.items()}
     root = {i: i for i in sets}
     for i in sets:
         for j in sets:
@@ -251,6 +251,89 @@ def test_near_duplicates(spark, awkward, empty, vocab):
     assert neardup.with_class(empty).count() == 0 and neardup.keep_one(empty).count() == 0
 
 
+def test_banded_chain_against_lcs():
+    rng = random.Random(9)
+    for _ in range(200):
+        a, b = (np.array(rng.sample(range(14), rng.randrange(1, 14))) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        _, at_a, at_b = np.intersect1d(a, b, return_indices=True)
+        assert neardup.banded_chain(at_a, at_b, 14) == best[-1][-1]
+
+
+def edited(base, vocab, rng, most):
+    w = list(base)
+    for _ in range(rng.randint(1, most)):
+        k, op = rng.randrange(len(w)), rng.random()
+        if op < 0.7:
+            w[k] = rng.choice(vocab)
+        elif op < 0.85:
+            del w[k]
+        else:
+            w.insert(k, rng.choice(vocab))
+    return " ".join(w)
+
+
+def brute_classes(texts, similarity=0.8):
+    """Least id of the component of each text, over all pairs."""
+    sets = {i: neardup.labelled(shingles(hash_words([t.lower()], "alnum")[0], 5)) for i, t in texts.items()}
+    ids = sorted(sets)
+    values = np.unique(np.concatenate(list(sets.values())))
+    m = np.zeros((len(ids), len(values)), np.float32)
+    for k, i in enumerate(ids):
+        m[k, np.searchsorted(values, sets[i])] = 1
+    n, both = m.sum(axis=1), m @ m.T
+    root = list(range(len(ids)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i, j in zip(*np.nonzero(np.triu(both >= similarity * (n[:, None] + n - both) - 1e-6, 1)), strict=True):
+        a, b = find(int(i)), find(int(j))
+        if a != b and neardup.alignment_similarity(sets[ids[i]], sets[ids[j]], similarity):
+            root[max(a, b)] = min(a, b)
+    return {i: ids[find(k)] for k, i in enumerate(ids)}
+
+
+@pytest.mark.parametrize("with_base", [True, False])
+def test_group_of_near_copies_against_all_pairs(spark, vocab, with_base):
+    """One large group around a text: many links, many members too far from all others, some in another order."""
+    rng = random.Random(12)
+    base = prose(vocab, 7100, 150).split()
+    texts = {i: edited(base, vocab, rng, 9) for i in range(600)} | {600 + i: " ".join(base[k:] + base[:k]) for i, k in enumerate(range(30, 120, 15))}
+    if with_base:
+        texts[700] = " ".join(base)
+    got = neardup.with_class(docs(spark, [(i, t, "en", "a") for i, t in texts.items()]))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == brute_classes(texts)
+
+
+def test_filing_loses_no_link():
+    """Any two linked texts that the leader does not join have a key of fitting roles in common."""
+    rng, np_rng = random.Random(13), np.random.default_rng(13)
+    for _ in range(60):
+        base = np_rng.integers(1, 2**60, 40).astype(np.uint64)
+        own = []
+        for _ in range(14):
+            x = base.copy()
+            at = np_rng.choice(40, rng.randint(0, 12), replace=False)
+            x[at] = np_rng.integers(1, 40, len(at)).astype(np.uint64) * np.uint64(7)
+            own.append(np.unique(x[rng.randint(0, 3) :]))
+        reference = rng.choice([own[0], neardup.majority(own), own[3]])
+        leader = min(own, key=lambda x: neardup.excess(x, reference, 0.8)) if rng.random() < 0.7 else rng.choice(own)
+        near = [neardup.alignment_similarity(leader, x) > 0 for x in own]
+        filed = [dict(zip(*(k.tolist() for k in neardup.filed(leader, x, reference, 0.8, n)), strict=True)) for x, n in zip(own, near, strict=True)]
+        for i, x in enumerate(own):
+            for j in range(i):
+                if not (near[i] and near[j]) and not np.array_equal(leader, x) and not np.array_equal(leader, own[j]) and neardup.alignment_similarity(x, own[j]):
+                    roles = {(filed[i][k], filed[j][k]) for k in filed[i].keys() & filed[j].keys()}
+                    assert roles & {(0, 1), (1, 0), (1, 1), (0, 2), (2, 0)}
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(60), 100 + rng.randrange(60)) for _ in range(45)]

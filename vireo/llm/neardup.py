@@ -4,55 +4,62 @@ A text's k-mers are its five-word shingles, each labelled with its occurrence
 number. For each of BANDS hash functions the MINIMA least labelled k-mers are
 kept in text order; their joint hash is a bucket key. Texts that share a bucket
 are compared by a banded alignment of their shingle sequences: with ``m``
-shingles in the longest common subsequence of sequences of ``n1`` and ``n2``,
-the similarity is m / (n1 + n2 - m), the Jaccard similarity of the occurrence-
+labelled shingles in the longest common subsequence of sequences of ``n1`` and
+``n2``, the similarity is m / (n1 + n2 - m), the Jaccard similarity of the
 labelled shingles as far as they stand in the same order. Pairs at
 SIMILARITY or more are links; classes are the components of the links.
 
 Of long texts, a pair at similarity 0.8 shares a bucket with probability
-0.8^6 = 0.26, and at least AGREE of 32 with 0.9993; at 0.9 the loss is below
-1e-9. At 0.5, as of texts that share one passage, it shares two with 0.09.
+0.8^6 = 0.26, and one of 24 with 0.9993; at 0.9 the loss is below 1e-8.
 Minima are drawn without repeats, which lowers these odds for few shingles.
 So where one text of a pair has SHORT shingles or fewer, buckets are exact: by
 the prefix principle two sets at SIMILARITY or more share one of the first
 n - ceil(SIMILARITY n) + 1 labelled shingles of each in a common order.
 
 Scale: equal texts are one node, so copies are never compared. Buckets are not
-expanded to pairs: first every member meets its bucket's leader; then, in
-buckets that still hold several components, the members outside the largest
-one meet the members of other components, which is all that can still join
-components. While that would make more pairs than there are bucket entries,
-further leaders are compared first. Nothing is capped. Texts are fetched only
-for members of shared buckets, compressed, and cut to the checkpoint folder.
+expanded to pairs: members meet their bucket's leader, and then those that
+differ from it in a common way, see ``stars`` and ``filed``. All pairs under a
+common leader are decided so, whether they share a bucket or not. Nothing is
+capped. Texts are fetched only for members of shared buckets, compressed, and
+cut to the checkpoint folder.
 
 Defined results: null text reads as empty; equal texts (also empty ones) share
 a class; texts without words link to nothing else; texts of 1 to 4 words have
-one shingle, all of it; the class id is the least id in the class, null only
-if all ids in it are null; an empty table gives an empty table.
+one shingle, all of it; a very long text is one node with as many buckets as
+any other; the class id is the least id in the class, null only if all ids in
+it are null; columns of the table other than id and text are not looked at by
+``with_class`` and kept by ``keep_one``, whatever their names; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vireo.llm.buckets import bucket_roots
 from vireo.llm.common import cut, free_name, map_arrow, may_be_in
 from vireo.llm.lines import document_key
+from vireo.llm.stars import CORE, OPEN, OPEN_TO_CORE, SEEN, beside_leaders, bucket_roots
 from vireo.llm.words import lowered, mix, run_shingles, words
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS = 32
+BANDS = 24
 MINIMA = 6
 #: Texts of so many labelled shingles are filed under shingles, so that no pair with one of them is missed.
 SHORT = 64
-#: Buckets that a pair shares at least to be compared.
-AGREE = 2
+#: Compressed texts that are spelt out at a time.
+LOT_BYTES = 4 << 20
+#: Keys of all core texts of a star, and of those between which the leader stands.
+HOME = 0x6C62272E07BB0142, 0x62B821756295C58D
 
 
 def labelled(x: np.ndarray) -> np.ndarray:
@@ -96,61 +103,99 @@ def sketch(x: np.ndarray, bands: int = BANDS, minima: int = MINIMA) -> np.ndarra
 
 
 def bucket_keys(x: np.ndarray, similarity: float = SIMILARITY, bands: int = BANDS, minima: int = MINIMA) -> np.ndarray:
-    """The buckets of a text with labelled shingles ``x``; linked texts share AGREE of them, for sure if one is SHORT."""
+    """The buckets of a text with labelled shingles ``x``; linked texts share one, for sure if one of them is SHORT."""
     n, out = len(x), np.zeros(0, dtype=np.uint64)
     if n > SHORT:
         out = sketch(x, bands, minima)
     if n * similarity <= SHORT + 1e-9:  # what may be linked to a short text
         least = np.sort(x)[: n - int(np.ceil(similarity * n - 1e-9)) + 1]
         with np.errstate(over="ignore"):
-            # One shingle in common is enough: it counts as AGREE buckets.
-            out = np.concatenate((out, *[mix(least + np.uint64(k + 1) * np.uint64(0xD6E8FEB86659FD93)) for k in range(AGREE)]))
+            out = np.concatenate((out, mix(least + np.uint64(0xD6E8FEB86659FD93))))
     return out
 
 
-def banded_lcs(a: list, b: list, band: int) -> int:
-    """Longest common subsequence with |i - j| <= band, bit-parallel over ``a``."""
-    places: dict = {}
-    for i, x in enumerate(a):
-        places[x] = places.get(x, 0) | (1 << i)
-    full = (1 << len(a)) - 1
-    width = (1 << (2 * band + 1)) - 1
-    v = full
-    for j, x in enumerate(b):
-        hit = places.get(x)
-        if hit is None:
-            continue
-        hit &= width << (j - band) if j >= band else width >> (band - j)
-        u = v & hit
-        if u:
-            v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+def banded_chain(at_a: np.ndarray, at_b: np.ndarray, band: int) -> int:
+    """Longest chain of matches that rises in both sequences, with |i - j| <= band."""
+    near = np.abs(at_a - at_b) <= band
+    rising = at_b[near][np.argsort(at_a[near])]
+    if (np.diff(rising) > 0).all():
+        return len(rising)
+    ends: list[int] = []
+    for x in rising.tolist():
+        k = bisect_left(ends, x)
+        ends[k : k + 1] = [x]
+    return len(ends)
 
 
 def alignment_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
-    """Similarity of two shingle sequences; 0 if it is below ``least``."""
+    """Similarity of two sequences of labelled shingles; 0 if it is below ``least``."""
     n1, n2 = len(a), len(b)
     if not n1 or not n2:
         return 0.0
     need = least / (1 + least) * (n1 + n2)
     if min(n1, n2) < need - 1e-9:
         return 0.0
-    la, lb = labelled(a), labelled(b)
-    common, at_a, at_b = np.intersect1d(la, lb, assume_unique=True, return_indices=True)
-    most = len(common)
-    if most < need - 1e-9:
+    common, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    if len(common) < need - 1e-9:
         return 0.0
-    order = np.argsort(at_a)
-    rising = at_b[order]
-    if (np.diff(rising) > 0).all():
-        m = most  # all that is common stands in the same order: the alignment takes it all
-    else:
-        # Unmatched shingles on either side bound how far an alignment that reaches ``need`` strays.
-        band = int(n1 + n2 - 2 * need) + 1
-        m = banded_lcs(a.tolist(), b.tolist(), band)
+    # Unmatched shingles on either side bound how far an alignment that reaches ``need`` strays.
+    m = banded_chain(at_a, at_b, int(n1 + n2 - 2 * need) + 1)
     return m / (n1 + n2 - m) if m >= need - 1e-9 else 0.0
 
 
+def excess(own: np.ndarray, reference: np.ndarray, similarity: float) -> int:
+    """``filed``'s e of a text, in whole numbers."""
+    s = Fraction(str(similarity))
+    n = len(np.setxor1d(own, reference, assume_unique=True))
+    return (s.denominator + s.numerator) * n - (s.denominator - s.numerator) * len(own)
+
+
+def filed(leader: np.ndarray, own: np.ndarray, reference: np.ndarray, similarity: float, linked: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, roles) of a text by how its labelled shingles differ from the reference of its star.
+
+    With D(x) for what only one of x and the reference has, two sets differ by
+    D(r) ^ D(x), whatever the reference is. So they have similarity s or more only if
+    |D(r) & D(x)| >= (e(r) + e(x)) / 2, with e(x) = |D(x)| - c |x| and c = (1 - s) / (1 + s).
+    No text has e < -h, h = c |reference|. Let g = -e(leader), or 0 if that is
+    less. Texts with e <= g are core: the leader alone is likely to join them.
+    Those with e > g are open: among themselves they must share more than
+    (e + g) / 2 differences, a core text and an open one more than that with the
+    core one's e, and of an open one at least (e - h) / 2. By the prefix principle,
+    in one order of all elements (those that the reference lacks first), two sets that
+    share t elements share one of the first |D| - t + 1 of each.
+
+    What that leaves out are pairs whose e sum up to 0 or less. Those of two core texts
+    are under a key of all core ones, where those not linked with the leader (as
+    their shingles stand in another order, say) meet the others. Those of a text
+    nearer than the leader and an open one with e <= h are under another key.
+    """
+    s = Fraction(str(similarity))
+    p, q = s.numerator, s.denominator
+
+    differ = np.concatenate((np.sort(np.setdiff1d(own, reference, assume_unique=True)), np.sort(np.setdiff1d(reference, own, assume_unique=True))))
+    n, h = len(differ), (q - p) * len(reference)  # e, g and h are times p + q
+    e = excess(own, reference, similarity)
+    g = h if reference is leader else max(0, -excess(leader, reference, similarity))
+    short = min(n, n - (e + g) // (2 * (p + q)))
+    home, between = (np.uint64(x) for x in HOME)
+    if e <= g:
+        keys, roles = [*differ[:short], home], [CORE] * short + [CORE if linked else OPEN]
+        if e < -g:
+            keys, roles = [*keys, between], [*roles, CORE]
+    else:
+        long = max(short, n + 1 - max(1, -((h - e) // (2 * (p + q)))))
+        keys, roles = [*differ[:long]], [OPEN] * short + [OPEN_TO_CORE] * (long - short)
+        if e <= h and g < h:
+            keys, roles = [*keys, between], [*roles, OPEN_TO_CORE]
+    return np.array(keys, dtype=np.uint64), np.array(roles, dtype=np.int8)
+
+
+def majority(sets: list[np.ndarray]) -> np.ndarray:
+    """What more than half of the sets have."""
+    values, counts = np.unique(np.concatenate(sets), return_counts=True)
+    return values[counts * 2 > len(sets)]
+
+
 def _unpacked(column: pa.Array) -> pa.Array:
     press = zstandard.ZstdDecompressor()
     return pa.array([press.decompress(x) for x in column.to_pylist()], pa.binary()).cast(pa.string())
@@ -180,53 +225,97 @@ def classes(
     named = df.select(text_id(F.col(text_col)).alias("tid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def sketched(batch: pa.RecordBatch) -> dict:
-        tids, ns, keys = batch.column("tid"), [], []
+        tids, keys = batch.column("tid"), []
         for x in _shingle_lists(batch.column("text"), shingle):
-            ns.append(len(x))
             keys.append(bucket_keys(labelled(x), similarity, bands, minima).view(np.int64).tolist() if len(x) else [])
-        return {"tid": tids, "n": pa.array(ns, pa.int32()), "keys": pa.array(keys, pa.list_(pa.int64()))}
+        return {"tid": tids, "keys": pa.array(keys, pa.list_(pa.int64()))}
 
-    # Equal texts have equal sketches: grouping by all three columns leaves one row of each.
-    nodes = cut(map_arrow(named, sketched, "tid binary, n int, keys array<long>").where(F.size("keys") > 0).distinct())
-    entries = nodes.select("tid", "n", F.explode("keys").alias("bucket"))
-    shared = cut(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("bucket"))
+    # Equal texts have equal sketches: grouping by all columns leaves one row of each.
+    nodes = cut(map_arrow(named, sketched, "tid binary, keys array<long>").where(F.size("keys") > 0).distinct())
+    entries = nodes.select("tid", F.explode("keys").alias("bucket"))
+    shared = cut(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
     members = cut(may_be_in(entries, "bucket", shared, 26).join(shared, "bucket"))
-
-    wanted = cut(members.select("tid").distinct())
+    # The text that shares its buckets with most others leads.
+    weights = cut(members.groupBy("tid").agg(F.sum("m").alias("weight")))
+    members = members.join(weights, "tid").select("bucket", F.col("tid").alias("node"), "weight")
 
     def packed(batch: pa.RecordBatch) -> dict:
         press = zstandard.ZstdCompressor(level=3)
         return {"tid": batch.column("tid"), "packed": pa.array([press.compress(x.encode()) for x in batch.column("text").to_pylist()], pa.binary())}
 
+    wanted = weights.select("tid")
     texts = map_arrow(may_be_in(named, "tid", wanted), packed, "tid binary, packed binary").distinct()
     texts = cut(texts.join(wanted, "tid"))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that are links."""
+    def spelt(k: str) -> DataFrame:
+        return texts.select(F.col("tid").alias(k), F.col("packed").alias(f"text_{k}"))
+
+    def centred(crowd: DataFrame, sample: DataFrame) -> DataFrame:
+        def run(batch: pa.RecordBatch) -> dict:
+            refs = [majority([labelled(x) for x in _shingle_lists(_unpacked(pa.array(held)), shingle)]).tobytes() for held in batch.column("held").to_pylist()]
+            return {"star": batch.column("star"), "ref": pa.array(refs, pa.binary())}
+
+        def measure(batch: pa.RecordBatch):
+            for part, heads, own in compared(batch):
+                yield {"star": part.column("star"), "b": part.column("b"), "e": pa.array([excess(y, x[2], similarity) for x, y in zip(heads, own, strict=True)], pa.int64())}
+
+        refs = map_arrow(sample.join(spelt("node"), "node").groupBy("star").agg(F.collect_list("text_node").alias("held")), run, "star binary, ref binary")
+        refs = cut(refs)
+        both = beside_leaders(crowd.withColumnRenamed("node", "b"), spelt("b"), refs)
+        near = map_arrow(both.select("star", "b", "text_b", "ref"), measure, "star binary, b binary, e long")
+        return near.groupBy("star").agg(F.min(F.struct("e", "b")).alias("least")).select("star", F.col("least.b").alias("a")).join(refs, "star")
+
+    def compared(batch: pa.RecordBatch):
+        """(part, labelled shingles of a and b, reference or none by row) of a batch, some texts at a time."""
+        texts = [batch.column(x) for x in ("text_a", "text_b") if x in batch.schema.names]
+        size = np.cumsum(sum(pc.binary_length(x).to_numpy().astype(np.int64) for x in texts)) // LOT_BYTES
+        known: tuple = (None, None)
+        for lot in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(size)) + 1):
+            part = batch.slice(int(lot[0]), len(lot))
+            heads = []
+            for k, x in enumerate(part.column("star").to_pylist()):  # the rows of a star follow each other
+                if x != known[0]:
+                    ref = part.column("ref")[k].as_py()
+                    head = labelled(_shingle_lists(_unpacked(part.column("text_a").slice(k, 1)), shingle)[0]) if len(texts) > 1 else None
+                    known = x, head, None if ref is None else np.frombuffer(ref, np.uint64)
+                heads.append(known)
+            own = _shingle_lists(_unpacked(part.column("text_b")), shingle)
+            yield part, heads, [labelled(x) for x in own]
+
+    def judged(pairs: DataFrame, centres: DataFrame) -> DataFrame:
+        def run(batch: pa.RecordBatch):
+            for part, heads, own in compared(batch):
+                links, weights, keys, roles = [], [], [], []
+                for (star, x, ref), y, more in zip(heads, own, part.column("more").to_pylist(), strict=True):
+                    links.append(alignment_similarity(x, y, similarity) >= similarity)
+                    k, r = filed(x, y, x if ref is None else ref, similarity, links[-1]) if more else (np.zeros(0, np.uint64), np.zeros(0, np.int8))
+                    weights.append(-excess(y, x if ref is None else ref, similarity) if more else 0)
+                    keys.append(mix(k ^ np.frombuffer(star[:8], np.uint64)).view(np.int64))
+                    roles.append(r)
+                yield {"a": part.column("a"), "b": part.column("b"), "linked": pa.array(links), "weight": pa.array(weights, pa.int64()), "keys": _lists(keys, pa.int64()), "roles": _lists(roles, pa.int8())}
+
+        heads = pairs.select("star", "a").distinct().join(spelt("a"), "a").join(centres.select("star", "ref"), "star", "left")
+        both = beside_leaders(pairs.drop("a"), spelt("b"), heads)
+        return map_arrow(both.select("star", "a", "b", "more", "text_a", "text_b", "ref"), run, f"a binary, b binary, {SEEN}")
 
+    def verified(pairs: DataFrame) -> DataFrame:
         def run(batch: pa.RecordBatch):
-            # A leader's text is in many pairs of a batch: it is cut to shingles once.
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            known: dict[bytes, np.ndarray] = {}
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            first: dict[bytes, int] = {}
-            for i, x in enumerate(a):
-                first.setdefault(x, i)
-            rows = list(first.values())
-            heads = _shingle_lists(_unpacked(batch.column("text_a").take(pa.array(rows, pa.int64()))), shingle)
-            known = dict(zip(first, heads, strict=True))
-            for i, own in enumerate(_shingle_lists(_unpacked(batch.column("text_b")), shingle)):
-                keep[i] = alignment_similarity(known[a[i]], own, similarity) >= similarity
-            mask = pa.array(keep)
-            return {"a": batch.column("a").filter(mask), "b": batch.column("b").filter(mask)}
-
-        both = pairs.join(texts.select(F.col("tid").alias("a"), F.col("packed").alias("text_a")), "a").join(texts.select(F.col("tid").alias("b"), F.col("packed").alias("text_b")), "b")
-        return map_arrow(both.select("a", "b", "text_a", "text_b"), run, "a binary, b binary")
-
-    roots = bucket_roots(members.select("bucket", F.col("tid").alias("node"), "n"), nodes.select(F.col("tid").alias("node"), "keys"), verified, similarity, AGREE)
+            for part, heads, own in compared(batch):
+                mask = pa.array([alignment_similarity(x[1], y, similarity) >= similarity for x, y in zip(heads, own, strict=True)])
+                yield {"a": part.column("star").filter(mask), "b": part.column("b").filter(mask)}
+
+        both = beside_leaders(pairs.select(F.col("a").alias("star"), "b"), spelt("b"), spelt("a").withColumnRenamed("a", "star"))
+        return map_arrow(both.select("star", "b", "text_a", "text_b", F.lit(None).cast("binary").alias("ref")), run, "a binary, b binary")
+
+    roots = bucket_roots(members, centred, judged, verified)
     return roots.select(F.col("node").alias("text_id"), "root")
 
 
+def _lists(items: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in items])))
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(items) if items else [], kind))
+
+
 def with_class(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", out: str = "class_id", **options) -> DataFrame:
     """(id, class id, class size) of every row of ``df``."""
     roots = classes(df, text_col, **options)
