@@ -16,13 +16,16 @@ exactly: a tile is made of shared seeds, so an item whose shared seeds cover
 too few words can't reach the threshold.
 
 Defined results: null or empty texts match nothing; items under ``MIN_TILE``
-words match nothing; rows that repeat each get their rows; an empty table on
-either side gives no pair.
+words match nothing; rows that repeat each get their rows; a very long text is
+tiled only where it has seeds, and one word over and over makes a match for each
+diagonal; columns other than id and text aren't looked at by ``overlaps`` and kept by
+``drop_contaminated``, whatever their names; an empty table on either side gives no pair.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vireo.llm.common import map_arrow
+from vireo.llm.common import cut, map_arrow
 from vireo.llm.words import hash_words, lowered, run_shingles, shingles, words
 
 MIN_TILE = 5
@@ -75,56 +78,70 @@ def tile(item: np.ndarray, text: np.ndarray, min_tile: int = MIN_TILE, free_text
     free_t = np.ones(len(text), dtype=bool) if free_text is None else free_text.copy()
     tiles: list[tuple[int, int, int]] = []
     s = max(min_tile, min(len(item), len(text)))
-    while True:
-        found = _matches(p, t, free_p, free_t, s)
+    while len(_free_windows(free_p, min_tile)):
+        found = [(-n, i, j) for n, i, j in _matches(p, t, free_p, free_t, s)]
+        heapify(found)
         # All matches of s words or more are known. Mark them, longest first; one that
         # has lost words to a longer one is cut to what is left and waits for its turn.
         while found:
-            length, i, j = max(found, key=lambda m: (m[0], -m[1], -m[2]))
-            found.remove((length, i, j))
-            own = free_p[i : i + length] & free_t[j : j + length]
+            length, i, j = heappop(found)
+            own = free_p[i : i - length] & free_t[j : j - length]
             if own.all():
-                free_p[i : i + length] = False
-                free_t[j : j + length] = False
-                tiles.append((i, j, length))
+                free_p[i : i - length] = False
+                free_t[j : j - length] = False
+                tiles.append((i, j, -length))
+                if not len(_free_windows(free_p, s)):
+                    break
                 continue
             edge = np.flatnonzero(np.diff(np.concatenate(([0], own.astype(np.int8), [0]))))
-            found += [(b - a, i + a, j + a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if b - a >= s]
+            for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+                if b - a >= s:
+                    heappush(found, (a - b, i + a, j + a))
         if s == min_tile:
-            return tiles
+            break
         s = s // 2 if s > 2 * min_tile else min_tile
+    return tiles
 
 
 def _matches(p: Rolling, t: Rolling, free_p: np.ndarray, free_t: np.ndarray, s: int) -> list[tuple[int, int, int]]:
-    """Maximal free matches (length, item start, text start) of ``s`` words or more."""
+    """Maximal free matches (length, item start, text start) of ``s`` words or more.
+
+    Only pairs of windows that begin a match are made: those whose words before
+    differ, or aren't free. So a run of one word over and over makes as many as
+    it has diagonals, not one for each pair of windows.
+    """
     at_p, at_t = _free_windows(free_p, s), _free_windows(free_t, s)
     if not len(at_p) or not len(at_t):
         return []
-    hash_p = p.windows(at_p, s)
-    order = np.argsort(hash_p, kind="stable")
-    ranked = hash_p[order]
+    classes, kind_p = np.unique(p.windows(at_p, s), return_inverse=True)
     hash_t = t.windows(at_t, s)
-    low, high = np.searchsorted(ranked, hash_t, "left"), np.searchsorted(ranked, hash_t, "right")
-    n = high - low
-    hit = np.flatnonzero(n)
-    if not len(hit):
-        return []
-    rep = np.repeat(hit, n[hit])
-    step = np.arange(len(rep)) - np.repeat(np.concatenate(([0], np.cumsum(n[hit])[:-1])), n[hit])
-    i, j = at_p[order[low[rep] + step]], at_t[rep]
-    same = p.h[i] == t.h[j]
-    for k in range(1, s):
+    kind_t = np.searchsorted(classes, hash_t)
+    kind_t[kind_t == len(classes)] = 0
+    at_t, kind_t = at_t[classes[kind_t] == hash_t], kind_t[classes[kind_t] == hash_t]
+    # The word before: 0 and 1 where there is none to go on with, which never are the same.
+    before = np.unique(np.concatenate((p.h, t.h)))
+    prev_p = np.where((at_p > 0) & free_p[at_p - 1], np.searchsorted(before, p.h[at_p - 1]) + 2, 0)
+    prev_t = np.where((at_t > 0) & free_t[at_t - 1], np.searchsorted(before, t.h[at_t - 1]) + 2, 1)
+    code_p, code_t, span = kind_p * (len(before) + 2) + prev_p, kind_t * (len(before) + 2), len(before) + 2
+    order = np.argsort(code_p, kind="stable")
+    ranked = code_p[order]
+    low, high = np.searchsorted(ranked, code_t), np.searchsorted(ranked, code_t + span)
+    same_low, same_high = np.searchsorted(ranked, code_t + prev_t), np.searchsorted(ranked, code_t + prev_t, "right")
+    starts, counts = np.concatenate((low, same_high)), np.concatenate((same_low - low, high - same_high))
+    rep = np.repeat(np.arange(len(starts)), counts)
+    step = np.arange(len(rep)) - np.repeat(np.cumsum(counts) - counts, counts)
+    i, j = at_p[order[starts[rep] + step]], at_t[rep % max(1, len(at_t))]
+    same = np.ones(len(i), dtype=bool)
+    for k in range(s):
         same &= p.h[i + k] == t.h[j + k]
     i, j = i[same], j[same]
-    if not len(i):
-        return []
-    # Windows that follow each other on a diagonal are one longer match.
-    by = np.lexsort((i, j - i))
-    i, j = i[by], j[by]
-    new = np.concatenate(([True], (np.diff(i) != 1) | (np.diff(j - i) != 0)))
-    first = np.flatnonzero(new)
-    last = np.concatenate((first[1:], [len(i)])) - 1
-    return list(zip((i[last] - i[first] + s).tolist(), i[first].tolist(), j[first].tolist(), strict=True))
+    length, live = np.full(len(i), s), np.arange(len(i))
+    while len(live):
+        a, b = i[live] + length[live], j[live] + length[live]
+        live, a, b = (x[(a < len(p.h)) & (b < len(t.h))] for x in (live, a, b))
+        live = live[free_p[a] & free_t[b] & (p.h[a] == t.h[b])]
+        length[live] += 1
+    return list(zip(length.tolist(), i.tolist(), j.tolist(), strict=True))
 
 
 class Seeds:
@@ -158,12 +175,13 @@ class Seeds:
 
     def pairs(self, h: np.ndarray, found: np.ndarray, maybe: np.ndarray, min_coverage: float) -> Iterator[tuple[int, float, int]]:
         """(item number, coverage, tiles) of the items that ``h`` covers enough of."""
-        low, high = np.searchsorted(self.seeds, found[maybe], "left"), np.searchsorted(self.seeds, found[maybe], "right")
+        seen, back = np.unique(found[maybe], return_inverse=True)
+        low, high = np.searchsorted(self.seeds, seen, "left"), np.searchsorted(self.seeds, seen, "right")
         n = high - low
         if not n.any():
             return
-        pos = np.repeat(maybe, n)
-        entry = np.repeat(low, n) + np.arange(len(pos)) - np.repeat(np.cumsum(n) - n, n)
+        which = np.repeat(np.arange(len(seen)), n)
+        entry = np.repeat(low, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         owner, at = self.owner[entry], self.at[entry]
         for k in np.unique(owner).tolist():
             mine = owner == k
@@ -171,7 +189,9 @@ class Seeds:
             covered = _spread(at[mine], self.min_tile, len(item))
             if covered.mean() < min_coverage:
                 continue
-            free = _spread(pos[mine], self.min_tile, len(h))
+            hit = np.zeros(len(seen), dtype=bool)
+            hit[which[mine]] = True
+            free = _spread(maybe[hit[back]], self.min_tile, len(h))
             near = np.flatnonzero(free)
             part = slice(int(near[0]), int(near[-1]) + 1)
             tiles = tile(item, h[part], self.min_tile, free[part])
@@ -226,8 +246,11 @@ def overlaps(
 ) -> DataFrame:
     """(id, item, coverage, tiles) for every document that covers enough of an item."""
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField(item_col, benchmark.schema[item_col].dataType), T.StructField("coverage", T.DoubleType()), T.StructField("tiles", T.IntegerType())])
-    out = df.sparkSession.createDataFrame([], schema)
+    out, waiting, held = df.sparkSession.createDataFrame([], schema), None, None
     for seeds in _blocks(benchmark, item_col, item_text_col, min_tile):
+        if waiting is not None:  # a benchmark of several blocks: one broadcast at a time
+            out = out.unionByName(cut(waiting))
+            held.unpersist()
         held = df.sparkSession.sparkContext.broadcast(seeds)
 
         def run(batch: pa.RecordBatch, held=held) -> dict:
@@ -240,8 +263,8 @@ def overlaps(
                 "tiles": pa.array([r[3] for r in rows], pa.int32()),
             }
 
-        out = out.unionByName(map_arrow(df.select(id_col, text_col), run, schema))
-    return out
+        waiting = map_arrow(df.select(id_col, text_col), run, schema)
+    return out if waiting is None else out.unionByName(waiting)
 
 
 def drop_contaminated(
@@ -254,7 +277,11 @@ def drop_contaminated(
 ) -> DataFrame:
     """Rows of ``df`` that don't cover ``min_coverage`` of any benchmark item."""
     numbered = benchmark.select(F.lit(0).alias("item_id"), F.col(item_text_col).alias("text"))
+    held = None
     for seeds in _blocks(numbered, "item_id", "text", min_tile):
+        if held is not None:
+            df = cut(df)
+            held.unpersist()
         held = df.sparkSession.sparkContext.broadcast(seeds)
 
         def run(batch: pa.RecordBatch, held=held) -> dict:

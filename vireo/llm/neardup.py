@@ -234,10 +234,10 @@ def classes(
     nodes = cut(map_arrow(named, sketched, "tid binary, keys array<long>").where(F.size("keys") > 0).distinct())
     entries = nodes.select("tid", F.explode("keys").alias("bucket"))
     shared = cut(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-    members = cut(may_be_in(entries, "bucket", shared, 26).join(shared, "bucket"))
+    members = cut(may_be_in(entries, "bucket", shared, 24).join(shared, "bucket"))
     # The text that shares its buckets with most others leads.
     weights = cut(members.groupBy("tid").agg(F.sum("m").alias("weight")))
-    members = members.join(weights, "tid").select("bucket", F.col("tid").alias("node"), "weight")
+    members = cut(members.join(weights, "tid").select("bucket", F.col("tid").alias("node"), "weight"))
 
     def packed(batch: pa.RecordBatch) -> dict:
         press = zstandard.ZstdCompressor(level=3)
