@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from vireo.llm import decontam, fingerprint, langid, licenses, lines, lm, mixing, neardup, passages, urlrules
 from vireo.llm.components import components
@@ -166,7 +167,7 @@ def test_language(spark, awkward, empty, sf_dir):
 
 def test_licenses(spark, awkward, empty):
     mit = dict(licenses.TEMPLATES[::-1])["MIT"]
-    rows = [(1, "Foo. Released under the MIT License. Bar", "en", "a"), (2, "released under the bsd license", "en", "a"), (3, dict(enumerate(t for _, t in licenses.TEMPLATES))[4].replace("copy", "duplicate"), "en", "a"), (4, "Licensed under CC BY-NC 4.0.", "en", "a")]
+    rows = [(1, "Foo. Released under the MIT License. Bar", "en", "a"), (2, "released under the bsd license", "en", "a"), (3, max((t for n, t in licenses.TEMPLATES if n == "MIT"), key=len).replace("copy", "duplicate"), "en", "a"), (4, "Licensed under CC BY-NC 4.0.", "en", "a")]
     got = {r["doc_id"]: r for r in licenses.scan(docs(spark, rows)).collect()}
     assert mit and got[1]["license"] == "MIT" and (got[1]["first_word"], got[1]["last_word"]) == (1, 6)
     assert got[2]["license"] is None and got[3]["license"] == "MIT" and got[3]["coverage"] > 0.9
@@ -182,7 +183,58 @@ def test_patience_never_beats_lcs():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
-        assert licenses.patience(a, b)[0] <= best[-1][-1] == licenses.lcs_pairs(a, b)
+        places = licenses.lcs_pairs(a, b)
+        assert len(licenses.patience(a, b)) <= best[-1][-1] == len(places) and places == sorted(set(places))
+        rest = iter(a)
+        assert all(b[k] in rest for k in places)
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row = [0] + [0] * len(b) if not b else _next_row(row, x, b)
+    return row[-1]
+
+
+def _next_row(row, x, b):
+    out = [0]
+    for j, y in enumerate(b):
+        out.append(row[j] + 1 if x == y else max(row[j + 1], out[j]))
+    return out
+
+
+def test_scan_against_all_windows():
+    """A template is found just where some window aligns with it in full at the threshold."""
+    rng = random.Random(11)
+    found = 0
+    for _ in range(150):
+        own = [f"w{k}" for k in range(rng.randint(4, 12))]
+        own += rng.sample(["the", "of", "a"], 2)
+        rng.shuffle(own)
+        body = list(own)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(body))
+            body[k : k + 1] = rng.choice([[], ["other"], [body[k], "more"]]) if len(body) > 1 else body[k : k + 1]
+        text = [rng.choice(["the", "of", "a", "x", "y"]) for _ in range(8)] + body + [rng.choice(["the", "of", "a", "x"]) for _ in range(8)]
+        scanner = licenses.Scanner((("T", " ".join(own)),), 0.8)
+        h = hash_words([" ".join(text)], "alnum")[0]
+        need = math.ceil(0.8 * len(own) - 1e-9)
+        want = max((n for i in range(len(text)) for j in range(i + 1, min(len(text), i + int(len(own) * 1.1 + 1e-9)) + 1) if (n := longest_common(own, text[i:j])) >= need), default=0)
+        got = scanner.find(h, scanner.known(h))
+        assert bool(got) == bool(want) and (not got or math.isclose(got[0][1], want / len(own)))
+        found += bool(want)
+    assert 50 < found < 150
+
+
+def test_edited_notices(spark):
+    """A notice with its last word replaced, common words after it; one with an inner word replaced."""
+    mit = max((t for n, t in licenses.TEMPLATES if n == "MIT"), key=len)
+    rows = [(i, f"some words {mit.rsplit(' ', 1)[0]} CODE " + " ".join(random.Random(i).choice(["the", "a", "of", "software", "and"]) for _ in range(100)), "en", "a") for i in range(20)]
+    rows.append((20, "Licensed under the Apache Licence, Version 2.0.", "en", "a"))
+    got = {r["doc_id"]: (r["license"], r["coverage"]) for r in licenses.scan(docs(spark, rows).withColumn("license_1", F.lit(1))).collect()}
+    assert all(got[i][0] == "MIT" and got[i][1] > 0.98 for i in range(20)) and got[20][0] == "Apache-2.0"
+    clash = docs(spark, rows[:1]).selectExpr("*", "1 as license", "2 as coverage")
+    assert licenses.scan(clash).first()["license_1"] == "MIT"
 
 
 def brute_tiles(p, t, k):

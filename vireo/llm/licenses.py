@@ -5,7 +5,8 @@ cluster, the stretch is aligned to the template: words unique to both sides
 are anchors, the longest increasing subsequence of anchor pairs is kept, and
 the gaps between them are aligned again in the same way. A gap without unique
 words is aligned by its longest common subsequence, bit-parallel. The share of
-template words that are matched is the coverage; a template is found where it
+template words that are matched is the coverage, counted in the fullest stretch that
+is a tenth longer than the template at most; a template is found where it
 reaches its threshold.
 
 Scale: one pass over the whole texts, no shuffle; the templates are a fixed,
@@ -15,7 +16,8 @@ what that drops can't match.
 
 Defined results: null, empty or unlicensed texts have no license, coverage 0
 and no span; of equal coverages the longer template wins, then the name; rows
-that repeat get equal results; an empty table gives an empty table.
+that repeat get equal results; a very long text is searched where a template's
+words cluster; all other columns pass through, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,10 +30,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vireo.llm.common import map_arrow
+from vireo.llm.common import free_name, map_arrow
 from vireo.llm.words import hash_words, lowered, words
 
 #: Public license notices, by SPDX identifier.
+BSD_TERMS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, "
+    "INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR "
+    "PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+    "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
@@ -53,50 +68,93 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
         "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
     (
         "GPL-3.0-or-later",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
         "Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be "
         "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
     ),
+    (
+        "GPL-2.0-or-later",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free "
+        "Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be "
+        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+    (
+        "LGPL-2.1-or-later",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free "
+        "Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be "
+        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    ),
+    (
+        "AGPL-3.0-or-later",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free "
+        "Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be "
+        "useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    ),
     (
         "ISC",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
-        "copyright notice and this permission notice appear in all copies.",
+        "copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO "
+        "THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+        "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS "
+        "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    ("BSD-2-Clause", BSD_TERMS + BSD_DISCLAIMER),
+    (
+        "BSD-3-Clause",
+        BSD_TERMS + "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission. " + BSD_DISCLAIMER,
     ),
     (
-        "BSD-2-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
-        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
-        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
-        "and/or other materials provided with the distribution.",
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of "
+        "this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it "
+        "freely, subject to the following restrictions: The origin of this software must not be misrepresented; you must not claim that you wrote the original software. "
+        "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. Altered source versions must be "
+        "plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or altered from any source distribution.",
     ),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
 COVERAGE = 0.85
-#: Matched words make up this share of the stretch from the first to the last of them.
-DENSITY = 0.9
+#: The stretch that is matched is longer than the template by this share at most, so "BY-NC" is not found as "BY".
+EXTRA = 0.1
 SLACK = 1.5
 
 
-def lcs_pairs(a: list, b: list) -> int:
-    """Length of the longest common subsequence, bit-parallel over ``a``."""
+def lcs_pairs(a: list, b: list) -> list[int]:
+    """Places in ``b`` of a longest common subsequence, bit-parallel over ``a``."""
     places: dict = {}
     for i, x in enumerate(a):
         places[x] = places.get(x, 0) | (1 << i)
     full = (1 << len(a)) - 1
-    v = full
+    rows = [full]
     for x in b:
+        v = rows[-1]
         u = v & places.get(x, 0)
-        v = ((v + u) | (v - u)) & full
-    return len(a) - v.bit_count()
+        rows.append(((v + u) | (v - u)) & full)
+    out, i, j = [], len(a), len(b)
+    while i and j:
+        if rows[j] >> (i - 1) & 1:
+            i -= 1
+        elif not rows[j - 1] >> (i - 1) & 1:
+            j -= 1
+        else:
+            i, j = i - 1, j - 1
+            out.append(j)
+    return out[::-1]
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -120,33 +178,44 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def patience(template: list, text: list) -> tuple[int, int, int]:
-    """(matched words, first and last+1 matched position of ``text``)."""
-    matched, low, high = 0, len(text), 0
+def patience(template: list, text: list) -> list[int]:
+    """Places in ``text`` of the words that are matched, in order."""
+    matched: list[int] = []
     gaps = [(0, len(template), 0, len(text))]
     while gaps:
         a0, a1, b0, b1 = gaps.pop()
         while a0 < a1 and b0 < b1 and template[a0] == text[b0]:
-            matched, low, high = matched + 1, min(low, b0), max(high, b0 + 1)
+            matched.append(b0)
             a0, b0 = a0 + 1, b0 + 1
         while a0 < a1 and b0 < b1 and template[a1 - 1] == text[b1 - 1]:
-            matched, low, high = matched + 1, min(low, b1 - 1), max(high, b1)
+            matched.append(b1 - 1)
             a1, b1 = a1 - 1, b1 - 1
         if a0 >= a1 or b0 >= b1:
             continue
         once_a, once_b = _once(template, a0, a1), _once(text, b0, b1)
         anchors = increasing(sorted((i, once_b[w]) for w, i in once_a.items() if i >= 0 and once_b.get(w, -1) >= 0))
         if not anchors:
-            n = lcs_pairs(template[a0:a1], text[b0:b1])
-            if n:
-                matched, low, high = matched + n, min(low, b0), max(high, b1)
+            matched += [b0 + k for k in lcs_pairs(template[a0:a1], text[b0:b1])]
             continue
         for i, j in anchors:
-            matched, low, high = matched + 1, min(low, j), max(high, j + 1)
+            matched.append(j)
             gaps.append((a0, i, b0, j))
             a0, b0 = i + 1, j + 1
         gaps.append((a0, a1, b0, b1))
-    return matched, low, high
+    return sorted(matched)
+
+
+def fullest(places: list[int], most: int) -> tuple[int, int, int]:
+    """(matches, first, last + 1) of the stretch of ``most`` words at most that has most of ``places``; the first such.
+
+    Matches far off at either end, such as a common word long after the notice, are left out so.
+    """
+    best, a = (0, 0, 0), 0
+    for b, last in enumerate(places):
+        while last + 1 - places[a] > most:
+            a += 1
+        best = max(best, (b + 1 - a, places[a], last + 1), key=lambda x: x[0])
+    return best
 
 
 def _once(items: list, start: int, end: int) -> dict:
@@ -180,16 +249,22 @@ class Scanner:
     def find(self, h: np.ndarray, at: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(template number, coverage, first word, last word + 1) of each template found.
 
-        ``at`` are the positions of known words. Each template's best stretch counts.
+        ``at`` are the positions of known words. Each template's best stretch counts, the best template first.
         """
         ids = np.searchsorted(self.vocabulary, h[at])
         have = np.bincount(ids, minlength=len(self.vocabulary))
         bound = np.minimum(have, self.counts).sum(axis=1)
-        out = []
+        found = []
         for k in np.flatnonzero(bound >= self.need).tolist():
             best = self._best(k, h, at[self.counts[k][ids] > 0])
             if best:
-                out.append((k, *best))
+                found.append((k, *best))
+        # A stretch goes to the template that it covers most of.
+        found.sort(key=lambda x: (-x[1], -self.sizes[x[0]], self.names[x[0]]))
+        out: list[tuple[int, float, int, int]] = []
+        for x in found:
+            if all(x[2] >= y[3] or y[2] >= x[3] for y in out):
+                out.append(x)
         return out
 
     def _best(self, k: int, h: np.ndarray, at: np.ndarray) -> tuple[float, int, int] | None:
@@ -208,10 +283,10 @@ class Scanner:
                 continue
             start = int(at[s])
             text = h[start : start + width].tolist()
-            matched, low, high = patience(self.words[k], text)
-            if matched >= need and matched >= DENSITY * (high - low) and (best is None or matched > best[0]):
-                best = (matched, start + low, start + high)
-                if matched == size:
+            got = fullest(patience(self.words[k], text), int(size * (1 + EXTRA) + 1e-9))
+            if got[0] >= need and (best is None or got[0] > best[0]):
+                best = (got[0], start + got[1], start + got[2])
+                if got[0] == size:
                     break
         return (best[0] / size, best[1], best[2]) if best else None
 
@@ -220,10 +295,12 @@ def scan(df: DataFrame, text_col: str = "text", templates=TEMPLATES, coverage: f
     """``df`` with the best license of each text and all that were found.
 
     Adds license, coverage, first_word, last_word (span of the best, in words)
-    and licenses (all names found, sorted). Drops the text unless told not to.
+    and licenses (all names found, sorted), with a number after the name where
+    ``df`` has such a column. Drops the text unless told not to.
     """
     names = [c for c in df.columns if c != text_col or not drop_text]
-    extra = T._parse_datatype_string("license string, coverage double, first_word long, last_word long, licenses array<string>")
+    made_cols = [free_name(df, c) for c in ("license", "coverage", "first_word", "last_word", "licenses")]
+    kinds = (T.StringType(), T.DoubleType(), T.LongType(), T.LongType(), T.ArrayType(T.StringType()))
     made: list[Scanner] = []
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -238,10 +315,11 @@ def scan(df: DataFrame, text_col: str = "text", templates=TEMPLATES, coverage: f
             for i in np.flatnonzero(np.diff(cuts)).tolist():
                 found = own.find(part.of(i), known[cuts[i] : cuts[i + 1]] - part.bounds[i])
                 if found:
-                    k, covered, low, high = min(found, key=lambda x: (-x[1], -own.sizes[x[0]], own.names[x[0]]))
+                    k, covered, low, high = found[0]
                     r = part.first + i
                     name[r], share[r], first[r], final[r] = own.names[k], covered, low, high
                     every[r] = sorted({own.names[x[0]] for x in found})
-        return {c: batch.column(c) for c in names} | {"license": pa.array(name, pa.string()), "coverage": pa.array(share, pa.float64()), "first_word": pa.array(first, pa.int64()), "last_word": pa.array(final, pa.int64()), "licenses": pa.array(every, pa.list_(pa.string()))}
+        found_cols = (pa.array(name, pa.string()), pa.array(share, pa.float64()), pa.array(first, pa.int64()), pa.array(final, pa.int64()), pa.array(every, pa.list_(pa.string())))
+        return {c: batch.column(c) for c in names} | dict(zip(made_cols, found_cols, strict=True))
 
-    return map_arrow(df, run, T.StructType([*(df.schema[c] for c in names), *extra.fields]))
+    return map_arrow(df, run, T.StructType([*(df.schema[c] for c in names), *(T.StructField(c, k) for c, k in zip(made_cols, kinds, strict=True))]))
