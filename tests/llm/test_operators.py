@@ -449,6 +449,28 @@ def test_model_sums_to_one():
     assert np.allclose(whole, parts, atol=1e-6)
 
 
+def test_gradients_against_differences():
+    from vireo.llm import gru
+
+    rng = np.random.default_rng(3)
+    model = gru.Model(gru.Shape(60), np.ones(gru.Shape(60).end + 1), hidden=5)
+    model.p = {k: v.astype(np.float64) for k, v in model.p.items()}
+    source, target = (rng.integers(0, 60 + gru.ENDINGS, (7, 3)) for _ in range(2))
+    target[5, 1] = -1
+    fresh, h = rng.random((7, 3)) < 0.2, rng.normal(size=(3, 5))
+    _, grads, _ = model._window(source, target, fresh, h)
+    live = (target >= 0).sum()
+    for name, v in model.p.items():
+        for at in np.argwhere(np.abs(grads[name]) > 1e-6)[:: max(1, np.count_nonzero(grads[name]) // 12)]:
+            at, old = tuple(at), v[tuple(at)]
+            losses = []
+            for d in (1e-5, -1e-5):
+                v[at] = old + d
+                losses.append(model._window(source, target, fresh, h)[0])
+            v[at] = old
+            assert live and math.isclose((losses[0] - losses[1]) / 2e-5, grads[name][at], rel_tol=1e-3, abs_tol=1e-6)
+
+
 def test_word_kernel():
     texts = ["Hello wOrld\x0bfoo", None, "", "  x  ", "foo hello", "a b"]
     from vireo.llm.words import words

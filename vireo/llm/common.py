@@ -101,6 +101,22 @@ def map_arrow(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def map_partitions_arrow(df: DataFrame, fn, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` where ``fn`` turns all batches of a partition, one at a time, into dicts of columns."""
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    target = to_arrow_schema(schema)
+    ship(df.sparkSession)
+
+    def run(batches):
+        for cols in fn(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(cols[f.name], type=f.type) for f in target], schema=target)
+
+    return df.mapInArrow(run, schema)
+
+
 def may_be_in(df: DataFrame, key: str, wanted: DataFrame, bits: int = 23) -> DataFrame:
     """Rows of ``df`` whose binary ``key`` may be in ``wanted``; none of those is lost.
 
