@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -374,11 +375,12 @@ def test_filing_loses_no_link():
             x = base.copy()
             at = np_rng.choice(40, rng.randint(0, 12), replace=False)
             x[at] = np_rng.integers(1, 40, len(at)).astype(np.uint64) * np.uint64(7)
-            own.append(np.unique(x[rng.randint(0, 3) :]))
-        reference = rng.choice([own[0], neardup.majority(own), own[3]])
+            own.append(np.unique(np.concatenate((x[rng.randint(0, 3) :], np_rng.integers(1, 90, rng.choice([0, 0, 30])).astype(np.uint64)))))
+        most, usual = neardup.majority(own)
+        reference = rng.choice([own[0], most, own[3]])
         leader = min(own, key=lambda x: neardup.excess(x, reference, 0.8)) if rng.random() < 0.7 else rng.choice(own)
         near = [neardup.alignment_similarity(leader, x) > 0 for x in own]
-        filed = [dict(zip(*(k.tolist() for k in neardup.filed(leader, x, reference, 0.8, n)), strict=True)) for x, n in zip(own, near, strict=True)]
+        filed = [dict(zip(*(k.tolist() for k in neardup.filed(leader, x, reference, 0.8, n, usual)), strict=True)) for x, n in zip(own, near, strict=True)]
         for i, x in enumerate(own):
             for j in range(i):
                 if not (near[i] and near[j]) and not np.array_equal(leader, x) and not np.array_equal(leader, own[j]) and neardup.alignment_similarity(x, own[j]):
@@ -512,3 +514,24 @@ def test_passages_of_rows_with_one_id(spark, vocab):
     rows = [(1, f"{prose(vocab, 7001, 30)} {shared}", "en", "a"), (1, f"{shared} {prose(vocab, 7002, 30)}", "en", "a")]
     found = passages.repeats(docs(spark, rows))
     assert found.select("doc", "removed").distinct().count() == 2 and found.where("removed").select("doc").distinct().count() == 1
+
+
+def test_clashing_columns(spark):
+    """Columns of the names that operators add are kept, and what is added gets a name of its own."""
+    d = docs(spark, [(1, "One word\nfew", "en", "a"), (2, "One word\nfew", "fr", None)])
+    profiles = langid.train(d, "text", "lang")
+    clash = d.selectExpr("*", "1 as score", "'x' as lang_pred", "2 as n_lines", "3 as n_dropped", "'y' as fingerprint")
+    assert langid.predict(clash, profiles).first()["score"] == 1 and "lang_pred_1" in langid.predict(clash, profiles).columns
+    assert lines.dedup_lines(clash, min_docs=2).select("n_lines", "n_lines_1", "n_dropped_1").first() == (2, 2, 2)
+    assert {r["fingerprint"] for r in fingerprint.fingerprints(clash).select("fingerprint", "fingerprint_1").collect()} == {"y"}
+    pages = spark.createDataFrame([(1, "http://a.com/en/", "h", 0.5), (1, "http://a.com/en/", "h", 0.5)], "page_id long, url string, host string, confidence double")
+    got = urlrules.judge(pages, spark.createDataFrame([(None, None), ("http://a.com/en/", None)], "url string, block int")).collect()
+    assert [(r["host"], r["host_1"], r["confidence"], r["verdict"]) for r in got] == [("h", "a.com", 0.5, "block")] * 2
+    assert urlrules.judge(pages.limit(0), pages.select("url", "page_id").toDF("url", "block")).count() == 0
+
+
+@pytest.mark.parametrize("n", [20_000, 300_000])
+def test_one_word_over_and_over(n):
+    """A long text of one word against an item of it is tiled within seconds."""
+    began, item = time.perf_counter(), np.full(60, 7, np.uint64)
+    assert decontam.tile(item, np.full(n, 7, np.uint64)) == [(0, 0, 60)] and time.perf_counter() - began < 10

@@ -117,7 +117,7 @@ def fingerprints(df: DataFrame, text_col: str = "text", id_col: str = "doc_id",
 
     The fingerprint is the digest or, in a collision, ``digest-nth``.
     """
-    plain, key, nth = free_name(df, "digest"), free_name(df, "print_key"), free_name(df, "nth")
+    plain, key, nth, out = free_name(df, "digest"), free_name(df, "print_key"), free_name(df, "nth"), free_name(df, out)
     base = add_digest(df.withColumn(key, document_key(F.col(id_col), F.col(text_col))), text_col, plain, digest_fn)
     rows = base.select(F.col(key).alias("key"), F.col(key).alias("next_key"), F.col(plain).alias("own"))
     docs = df.select(document_key(F.col(id_col), F.col(text_col)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -13,7 +13,8 @@ driver. Prediction is one pass over the texts without a shuffle.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0;
 ties go to the first language in code point order; without any training text
-every language is ``und``; rows that repeat get equal predictions.
+every language is ``und``; rows that repeat get equal predictions; a very long
+text is judged whole; all other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vireo.llm.common import map_arrow
+from vireo.llm.common import free_name, map_arrow
 from vireo.llm.words import string_buffers
 
 UNKNOWN = "und"
@@ -132,8 +133,9 @@ class Ranker:
 
 
 def predict(df: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "score", k: int = PROFILE) -> DataFrame:
-    """``df`` with the predicted language and a score from 0 (far from all) to 1."""
+    """``df`` with the predicted language and a score from 0 (far from all) to 1, under other names where it has such columns."""
     names = df.columns
+    lang_out, score_out = free_name(df, lang_out), free_name(df, score_out)
     made: list[Ranker] = []
 
     def run(batch: pa.RecordBatch) -> dict:

@@ -73,9 +73,11 @@ def dedup_lines(
 ) -> DataFrame:
     """``df`` with ``text_col`` rid of lines found in ``min_docs`` rows or more.
 
-    Adds the line count before dropping and the number of dropped lines.
+    Adds the line count before dropping and the number of dropped lines, under
+    other names where ``df`` has such columns.
     """
     key, drop = free_name(df, "line_key"), free_name(df, "line_drop")
+    lines_col, dropped_col = free_name(df, lines_col), free_name(df, dropped_col)
     names = list(df.columns)
     keyed = df.withColumn(key, document_key(F.col(id_col), F.col(text_col)))
     pairs = _pairs(keyed.select(F.col(key).alias("key"), F.col(text_col).alias("text")), min_chars)

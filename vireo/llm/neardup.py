@@ -58,6 +58,8 @@ MINIMA = 6
 SHORT = 64
 #: Compressed texts that are spelt out at a time.
 LOT_BYTES = 4 << 20
+#: Elements that are told apart as usual in a star; of an order any will do, so this loses nothing.
+USUAL = 512
 #: Keys of all core texts of a star, and of those between which the leader stands.
 HOME = 0x6C62272E07BB0142, 0x62B821756295C58D
 
@@ -150,7 +152,7 @@ def excess(own: np.ndarray, reference: np.ndarray, similarity: float) -> int:
     return (s.denominator + s.numerator) * n - (s.denominator - s.numerator) * len(own)
 
 
-def filed(leader: np.ndarray, own: np.ndarray, reference: np.ndarray, similarity: float, linked: bool) -> tuple[np.ndarray, np.ndarray]:
+def filed(leader: np.ndarray, own: np.ndarray, reference: np.ndarray, similarity: float, linked: bool, usual: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(keys, roles) of a text by how its labelled shingles differ from the reference of its star.
 
     With D(x) for what only one of x and the reference has, two sets differ by
@@ -161,8 +163,9 @@ def filed(leader: np.ndarray, own: np.ndarray, reference: np.ndarray, similarity
     Those with e > g are open: among themselves they must share more than
     (e + g) / 2 differences, a core text and an open one more than that with the
     core one's e, and of an open one at least (e - h) / 2. By the prefix principle,
-    in one order of all elements (those that the reference lacks first), two sets that
-    share t elements share one of the first |D| - t + 1 of each.
+    in one order of all elements, two sets that share t elements share one of the
+    first |D| - t + 1 of each. What the reference lacks comes first; of that, what is
+    ``usual`` among the members of the star (sorted, most so last) comes last.
 
     What that leaves out are pairs whose e sum up to 0 or less. Those of two core texts
     are under a key of all core ones, where those not linked with the leader (as
@@ -172,28 +175,38 @@ def filed(leader: np.ndarray, own: np.ndarray, reference: np.ndarray, similarity
     s = Fraction(str(similarity))
     p, q = s.numerator, s.denominator
 
-    differ = np.concatenate((np.sort(np.setdiff1d(own, reference, assume_unique=True)), np.sort(np.setdiff1d(reference, own, assume_unique=True))))
+    more = np.sort(np.setdiff1d(own, reference, assume_unique=True))
+    if usual is not None and len(usual):
+        order = np.argsort(usual)
+        place = np.searchsorted(usual, more, sorter=order)
+        rank = np.where(usual[order[np.minimum(place, len(usual) - 1)]] == more, order[np.minimum(place, len(usual) - 1)], -1)
+        more = more[np.argsort(rank, kind="stable")]
+    differ = np.concatenate((more, np.sort(np.setdiff1d(reference, own, assume_unique=True))))
     n, h = len(differ), (q - p) * len(reference)  # e, g and h are times p + q
     e = excess(own, reference, similarity)
     g = h if reference is leader else max(0, -excess(leader, reference, similarity))
-    short = min(n, n - (e + g) // (2 * (p + q)))
+    # A partner has s to 1 / s times as many shingles, which bounds its e from below as well.
+    least = max(2 * p * p * len(own) // q - (p + q) * len(reference), (p + q) * len(reference) - -(-2 * q * q * len(own) // p))
+    alike = -(-(e + least) // (2 * (p + q)))
+    short = max(0, min(n, n + 1 - max((e + g) // (2 * (p + q)) + 1, alike)))
     home, between = (np.uint64(x) for x in HOME)
     if e <= g:
         keys, roles = [*differ[:short], home], [CORE] * short + [CORE if linked else OPEN]
         if e < -g:
             keys, roles = [*keys, between], [*roles, CORE]
     else:
-        long = max(short, n + 1 - max(1, -((h - e) // (2 * (p + q)))))
+        long = max(short, n + 1 - max(1, alike, -((h - e) // (2 * (p + q)))))
         keys, roles = [*differ[:long]], [OPEN] * short + [OPEN_TO_CORE] * (long - short)
         if e <= h and g < h:
             keys, roles = [*keys, between], [*roles, OPEN_TO_CORE]
     return np.array(keys, dtype=np.uint64), np.array(roles, dtype=np.int8)
 
 
-def majority(sets: list[np.ndarray]) -> np.ndarray:
-    """What more than half of the sets have."""
+def majority(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(what more than half of the sets have, what else several of them have, in order of how many do)."""
     values, counts = np.unique(np.concatenate(sets), return_counts=True)
-    return values[counts * 2 > len(sets)]
+    usual = (counts > 2) & (counts * 2 <= len(sets))
+    return values[counts * 2 > len(sets)], values[usual][np.argsort(counts[usual], kind="stable")][-USUAL:]
 
 
 def _unpacked(column: pa.Array) -> pa.Array:
@@ -252,16 +265,16 @@ def classes(
 
     def centred(crowd: DataFrame, sample: DataFrame) -> DataFrame:
         def run(batch: pa.RecordBatch) -> dict:
-            refs = [majority([labelled(x) for x in _shingle_lists(_unpacked(pa.array(held)), shingle)]).tobytes() for held in batch.column("held").to_pylist()]
-            return {"star": batch.column("star"), "ref": pa.array(refs, pa.binary())}
+            made = [majority([labelled(x) for x in _shingle_lists(_unpacked(pa.array(held)), shingle)]) for held in batch.column("held").to_pylist()]
+            return {"star": batch.column("star"), "ref": pa.array([x.tobytes() for x, _ in made], pa.binary()), "usual": pa.array([x.tobytes() for _, x in made], pa.binary())}
 
         def measure(batch: pa.RecordBatch):
             for part, heads, own in compared(batch):
                 yield {"star": part.column("star"), "b": part.column("b"), "e": pa.array([excess(y, x[2], similarity) for x, y in zip(heads, own, strict=True)], pa.int64())}
 
-        refs = map_arrow(sample.join(spelt("node"), "node").groupBy("star").agg(F.collect_list("text_node").alias("held")), run, "star binary, ref binary")
+        refs = map_arrow(sample.join(spelt("node"), "node").groupBy("star").agg(F.collect_list("text_node").alias("held")), run, "star binary, ref binary, usual binary")
         refs = cut(refs)
-        both = beside_leaders(crowd.withColumnRenamed("node", "b"), spelt("b"), refs)
+        both = beside_leaders(crowd.withColumnRenamed("node", "b"), spelt("b"), refs.drop("usual"))
         near = map_arrow(both.select("star", "b", "text_b", "ref"), measure, "star binary, b binary, e long")
         return near.groupBy("star").agg(F.min(F.struct("e", "b")).alias("least")).select("star", F.col("least.b").alias("a")).join(refs, "star")
 
@@ -269,7 +282,7 @@ def classes(
         """(part, labelled shingles of a and b, reference or none by row) of a batch, some texts at a time."""
         texts = [batch.column(x) for x in ("text_a", "text_b") if x in batch.schema.names]
         size = np.cumsum(sum(pc.binary_length(x).to_numpy().astype(np.int64) for x in texts)) // LOT_BYTES
-        known: tuple = (None, None)
+        known: tuple = (None,)
         for lot in np.split(np.arange(batch.num_rows), np.flatnonzero(np.diff(size)) + 1):
             part = batch.slice(int(lot[0]), len(lot))
             heads = []
@@ -277,7 +290,8 @@ def classes(
                 if x != known[0]:
                     ref = part.column("ref")[k].as_py()
                     head = labelled(_shingle_lists(_unpacked(part.column("text_a").slice(k, 1)), shingle)[0]) if len(texts) > 1 else None
-                    known = x, head, None if ref is None else np.frombuffer(ref, np.uint64)
+                    usual = part.column("usual")[k].as_py() if ref is not None and len(texts) > 1 else None
+                    known = x, head, None if ref is None else np.frombuffer(ref, np.uint64), None if usual is None else np.frombuffer(usual, np.uint64)
                 heads.append(known)
             own = _shingle_lists(_unpacked(part.column("text_b")), shingle)
             yield part, heads, [labelled(x) for x in own]
@@ -286,17 +300,17 @@ def classes(
         def run(batch: pa.RecordBatch):
             for part, heads, own in compared(batch):
                 links, weights, keys, roles = [], [], [], []
-                for (star, x, ref), y, more in zip(heads, own, part.column("more").to_pylist(), strict=True):
+                for (star, x, ref, usual), y, more in zip(heads, own, part.column("more").to_pylist(), strict=True):
                     links.append(alignment_similarity(x, y, similarity) >= similarity)
-                    k, r = filed(x, y, x if ref is None else ref, similarity, links[-1]) if more else (np.zeros(0, np.uint64), np.zeros(0, np.int8))
+                    k, r = filed(x, y, x if ref is None else ref, similarity, links[-1], usual) if more else (np.zeros(0, np.uint64), np.zeros(0, np.int8))
                     weights.append(-excess(y, x if ref is None else ref, similarity) if more else 0)
                     keys.append(mix(k ^ np.frombuffer(star[:8], np.uint64)).view(np.int64))
                     roles.append(r)
                 yield {"a": part.column("a"), "b": part.column("b"), "linked": pa.array(links), "weight": pa.array(weights, pa.int64()), "keys": _lists(keys, pa.int64()), "roles": _lists(roles, pa.int8())}
 
-        heads = pairs.select("star", "a").distinct().join(spelt("a"), "a").join(centres.select("star", "ref"), "star", "left")
+        heads = pairs.select("star", "a").distinct().join(spelt("a"), "a").join(centres.select("star", "ref", "usual"), "star", "left")
         both = beside_leaders(pairs.drop("a"), spelt("b"), heads)
-        return map_arrow(both.select("star", "a", "b", "more", "text_a", "text_b", "ref"), run, f"a binary, b binary, {SEEN}")
+        return map_arrow(both.select("star", "a", "b", "more", "text_a", "text_b", "ref", "usual"), run, f"a binary, b binary, {SEEN}")
 
     def verified(pairs: DataFrame) -> DataFrame:
         def run(batch: pa.RecordBatch):

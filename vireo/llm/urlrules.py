@@ -18,7 +18,8 @@ token is hot; nothing is broadcast by hand.
 Defined results: null URLs and those without ``://`` have empty host and path,
 fit no rule with a host, have no tokens and are allowed; repeated rows each
 keep their row; null labels count as 0; with no labelled page nothing is mined
-and every URL outside the rules is allowed.
+and every URL outside the rules is allowed; of rules equal in confidence the one of more support counts, then
+the last in order; all other columns pass through, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -114,22 +115,23 @@ def judge(
     min_rows: int = MIN_ROWS,
     min_confidence: float = MIN_CONFIDENCE,
 ) -> DataFrame:
-    """``pages`` with (host, path, rule, verdict, mined_rule, confidence).
+    """``pages`` with (host, path, rule, verdict, mined_rule, confidence), with a number after names that it has.
 
     ``labels`` has (url, block): what is known of some URLs. ``verdict`` is the
     longest fixed rule's, else block if a mined rule matches, else allow.
     """
     mined = mine(labels.select("url", "block"), min_support, min_rows, min_confidence)
-    key = free_name(pages, "url_key")
-    hits = match(pages.select(F.col(url_col).alias("url")), mined).withColumnRenamed("url", key)
+    key, fixed = free_name(pages, "url_key"), free_name(pages, "url_fixed")
+    names = [free_name(pages, c) for c in ("host", "path", "rule", "verdict", "mined_rule", "confidence")]
+    hits = match(pages.select(F.col(url_col).alias("url")), mined).toDF(key, *names[4:])
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    shown = pages.select("*", F.coalesce(host, F.lit("")).alias("_host"), F.coalesce(path, F.lit("")).alias("_path"))
-    shown = shown.withColumn("_fixed", fixed_rule(F.col("_host"), F.col("_path"), rules)).join(hits, F.col(url_col) == F.col(key), "left")
+    shown = pages.select("*", F.coalesce(host, F.lit("")).alias(names[0]), F.coalesce(path, F.lit("")).alias(names[1]))
+    shown = shown.withColumn(fixed, fixed_rule(F.col(names[0]), F.col(names[1]), rules)).join(hits, F.col(url_col) == F.col(key), "left")
     return shown.select(
         *pages.columns,
-        F.col("_host").alias("host"), F.col("_path").alias("path"), F.col("_fixed.rule").alias("rule"),
-        F.coalesce(F.col("_fixed.verdict"), F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow")).alias("verdict"),
-        "mined_rule", "confidence",
+        *names[:2], F.col(f"{fixed}.rule").alias(names[2]),
+        F.coalesce(F.col(f"{fixed}.verdict"), F.when(F.col(names[4]).isNotNull(), "block").otherwise("allow")).alias(names[3]),
+        *names[4:],
     )
 
 
