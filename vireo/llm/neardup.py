@@ -247,6 +247,8 @@ def classes(
     nodes = cut(map_arrow(named, sketched, "tid binary, keys array<long>").where(F.size("keys") > 0).distinct())
     entries = nodes.select("tid", F.explode("keys").alias("bucket"))
     shared = cut(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+    if shared.isEmpty():
+        return nodes.where("false").select(F.col("tid").alias("text_id"), F.col("tid").alias("root"))
     members = cut(may_be_in(entries, "bucket", shared, 24).join(shared, "bucket"))
     # The text that shares its buckets with most others leads.
     weights = cut(members.groupBy("tid").agg(F.sum("m").alias("weight")))
