@@ -160,10 +160,19 @@ def resolved_references(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, met.where("_known is null").agg(F.count(F.lit(1)).alias("unresolved_references"))
 
 
+def hashed_counts(rows: DataFrame, key: str, words, dim: int) -> DataFrame:
+    """(key, bucket, n): tokens of ``words`` counted by hash bucket, most of it before the shuffle; buckets of none are left out."""
+    places = rows.select(key, F.explode(tx.tokens(words)).alias("token")).select(key, tx.bucket(F.col("token"), dim).alias("bucket"))
+    return places.groupBy(key, "bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
 def text_features(kept: DataFrame, dim: int) -> DataFrame:
     """(node_id, features): hashed counts over title, abstract and keywords."""
     words = F.concat_ws(" ", "title", "abstract", tx.keywords(F.col("keywords")))
-    return kept.select(F.col("id").alias("node_id"), tx.hash_features(words, dim).alias("features"))
+    counts = F.map_from_entries(F.collect_list(F.struct("bucket", F.col("n").cast("double"))))
+    held = hashed_counts(kept, "id", words, dim).groupBy("id").agg(counts.alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0)))
+    return kept.select("id").join(held, "id", "left").select(F.col("id").alias("node_id"), dense.alias("features"))
 
 
 @dataclass

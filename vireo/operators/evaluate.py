@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from vireo.functions.rng import order_key, uniform
 from vireo.functions.vectors import l2_normalize, standard_stats, standardize
-from vireo.operators.graph import both_ways
+from vireo.operators.graph import both_ways, dense_index
 from vireo.operators.similarity import pair_cosine
 from vireo.runtime import cut
 
@@ -18,30 +18,28 @@ from vireo.runtime import cut
 def random_split(nodes: DataFrame, ratio: float, seed: int, key: str = "node_id") -> DataFrame:
     """``nodes`` with ``train``: the first floor(n * ratio) in shuffled order.
 
-    The cut falls at one order key, found by a limit, so no task sorts all rows.
+    Ranks come from key ranges and their sizes, so no task sorts all rows.
     """
-    n = nodes.count()
-    size = int(n * ratio)
+    size = int(nodes.count() * ratio)
     drawn = nodes.withColumn("_key", F.struct(order_key(seed, F.col(key)).alias("k"), F.col(key).alias("id")))
-    if size <= 0:
-        return drawn.withColumn("train", F.lit(False)).drop("_key")
-    last = drawn.groupBy().agg(F.max("_key").alias("last")) if size >= n else drawn.select("_key").orderBy("_key").limit(size).agg(F.max("_key").alias("last"))
-    return drawn.join(F.broadcast(last), F.lit(True)).withColumn("train", F.col("_key") <= F.col("last")).drop("_key", "last")
+    return dense_index(drawn, "_key", "_nth").withColumn("train", F.col("_nth") < size).select(*nodes.columns, "train")
 
 
 def stratified_split(nodes: DataFrame, ratio: float, seed: int, label: str = "label", key: str = "node_id") -> DataFrame | None:
     """``nodes`` with ``train``: round-half-even(n * ratio) of each class, between 1 and n - 1.
 
-    None with fewer than two classes, or with a class of one.
+    None with fewer than two classes, or with a class of one. Rows are ranked
+    by class and shuffled key together, in ranges that may part a large class.
     """
     sizes = nodes.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     classes, least = sizes.agg(F.count(F.lit(1)), F.min("_n")).first()
     if classes < 2 or least < 2:
         return None
     quota = F.greatest(F.lit(1), F.least(F.col("_n") - 1, F.rint(F.col("_n") * ratio).cast("long")))
-    shuffled = W.partitionBy(label).orderBy(order_key(seed, F.col(key)), key)
-    ranked = nodes.withColumn("_nth", F.row_number().over(shuffled))
-    return ranked.join(F.broadcast(sizes.withColumn("_quota", quota)), label).withColumn("train", F.col("_nth") <= F.col("_quota")).select(*nodes.columns, "train")
+    lower = F.coalesce(F.sum("_n").over(W.orderBy(label).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row per class
+    drawn = nodes.withColumn("_key", F.struct(F.col(label).alias("c"), order_key(seed, F.col(key)).alias("k"), F.col(key).alias("id")))
+    ends = sizes.select(label, (lower + quota).alias("_end"))
+    return dense_index(drawn, "_key", "_nth").join(ends, label).withColumn("train", F.col("_nth") < F.col("_end")).select(*nodes.columns, "train")
 
 
 @dataclass

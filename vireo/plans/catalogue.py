@@ -49,7 +49,8 @@ def papers(spark, sf_dir) -> DataFrame:
 
 
 def windows(spark, sf_dir) -> DataFrame:
-    return sn.window_snapshots(g.clean(bipartite(spark, sf_dir)), K)
+    """Snapshots, cut, as the queries read them several times; so are the clean edges, for their quantiles."""
+    return cut(sn.window_snapshots(cut(g.clean(bipartite(spark, sf_dir))), K))
 
 
 def first_snapshot(spark, sf_dir) -> DataFrame:
@@ -207,7 +208,7 @@ def binary_quantize(spark, sf_dir):
 
 
 def _delta_edges(spark, sf_dir):
-    snaps = cut(windows(spark, sf_dir))
+    snaps = windows(spark, sf_dir)
     return snaps.where("snap = 0").select("u", "v"), cut(sn.deltas(snaps).where("snap = 1"))
 
 
@@ -224,8 +225,8 @@ def incremental_struct_update(spark, sf_dir):
 
 
 def text_hash_features(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", tx.hash_features(F.col("text"), 16).alias("f"))
-    return docs.select("doc_id", F.posexplode("f").alias("bucket", "n")).where("n > 0").select("doc_id", F.col("bucket").cast("long").alias("bucket"), F.col("n").cast("long").alias("n"))
+    counts = cv.hashed_counts(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), 16)
+    return counts.select("doc_id", F.col("bucket").cast("long").alias("bucket"), "n")
 
 
 def venue_labels(spark, sf_dir):
@@ -353,8 +354,10 @@ def history_patch_mean(spark, sf_dir):
 
 
 def last_wins_upsert(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy("user_id").agg(F.max_by(F.struct("event_type", "value"), "event_id").alias("r")).select("user_id", "r.event_type", "r.value")
+    from vireo.sources.tables import last_wins
+
+    rows = table(spark, sf_dir, "events").select("user_id", F.struct("event_type", "value").alias("r"), F.col("event_id").alias("seq"))
+    return last_wins(rows, "r", "user_id").select("user_id", "r.event_type", "r.value")
 
 
 def node_universe(spark, sf_dir):
