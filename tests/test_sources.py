@@ -1,4 +1,7 @@
+import gzip
+import io
 import json
+import tarfile
 import zipfile
 
 import numpy as np
@@ -100,7 +103,7 @@ def test_sinks(spark, tmp_path):
     assert sinks.read_metrics(spark, str(tmp_path / "m.csv")).count() == 3
     sinks.curves_svg(str(tmp_path / "m.svg"), rows)
     with pytest.raises(FileExistsError):
-        sinks.guard_outputs(str(tmp_path), ["m.csv"], False)
+        sinks.guard_outputs(spark, str(tmp_path), ["m.csv"], False)
     for _ in range(2):
         table = append_results(spark, str(tmp_path / "all.csv"), {"algo": "x", "num_nodes": 3})
     assert table.count() == 2 and table.columns == list(COLUMNS) and table.first()["model"] == "x"
@@ -129,3 +132,90 @@ def test_windowed_counts_and_percentile(spark, sf_dir):
     got = windowed_counts(spark.read.parquet(f"{sf_dir}/events.parquet"), "ts", "event_type")
     assert got.selectExpr("sum(n)").first()[0] == spark.read.parquet(f"{sf_dir}/events.parquet").count()
     assert percentile([1.0, 2.0, 4.0], 0.75) == 3.0
+
+
+def test_windows_over_a_stream_are_those_of_the_table(spark, sf_dir, tmp_path):
+    from vireo.streaming.replay import latest_windows, stream_windows
+
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream_windows(windowed_counts(stream, "ts", "event_type", late=None), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    versions = spark.read.parquet(str(tmp_path / "out"))
+    assert versions.select("version").distinct().count() == 3
+    got, want = latest_windows(versions, "event_type"), windowed_counts(events, "ts", "event_type")
+    assert got.count() == want.count() and got.select(want.columns).exceptAll(want).isEmpty()
+
+
+def test_late_rows_of_a_stream_are_dropped(spark, tmp_path):
+    from vireo.streaming.replay import latest_windows, stream_windows
+
+    schema = "ts timestamp, event_type string"
+    for day in ("2024-01-10 00:30:00", "2024-01-11 00:30:00", "2024-01-02 00:30:00"):
+        spark.sql(f"SELECT TIMESTAMP '{day}' AS ts, 'x' AS event_type").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        stream_windows(windowed_counts(stream, "ts", "event_type", late="1 hour"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    got = latest_windows(spark.read.parquet(str(tmp_path / "out")), "event_type")
+    assert sorted(r[0] for r in got.selectExpr("date_format(window.start, 'dd')").collect()) == ["10", "11"]
+
+
+def test_dataset_command(spark, tmp_path):
+    from vireo.plans import dataset
+
+    archive(tmp_path / "a.zip", [paper("p1", 2020, ["p2", "px"], "KDD"), paper("p2", 2019, [], "KDD"), paper("p3", 2021, ["p1"], "WWW")])
+    out = tmp_path / "out"
+    args = ["--convert", "--input-glob", str(tmp_path / "*.zip"), "--output-dir", str(out), "--feature-dim", "8", "--min-venue-support", "2"]
+    dry = dataset.main([*args, "--dry-run"])
+    assert dry["kept_papers"] == 2 and "written_edges" not in dry and not out.exists()
+    with pytest.raises(FileNotFoundError, match="edges.csv"):
+        dataset.main(["--output-dir", str(out)])
+    got = dataset.main([*args, "--include-attr-updates"])
+    assert got["written_edges"] == 1 and got["written_features"] == 2 and got["unresolved_references"] == 1
+    assert tables.read_csv(spark, str(out / "attr_updates.csv")).columns == ["time", "node_id"] + [f"f{j}" for j in range(1, 9)]
+    with pytest.raises(FileExistsError, match="labels.csv"):
+        dataset.main(args)
+    dataset.main([*args, "--overwrite", "--keep-unlabeled"])
+    assert not (out / "attr_updates.csv").exists()
+    assert {r["node_id"]: r["label"] for r in tables.read_csv(spark, str(out / "labels.csv")).collect()} == {"p1": "0", "p2": "0", "p3": "-1"}
+    assert dataset.main(["--output-dir", str(out)]) == {}
+    g = tables.from_directory(spark, str(out), snapshots=2)
+    assert g.index.count() == 3 and g.attributes.count() == 3
+
+
+def test_tar_members_and_complete_stems(spark, tmp_path):
+    with tarfile.open(tmp_path / "x.tar.gz", "w:gz") as tar:
+        for name, text in (("t/1.feat", "a\r\nb\n"), ("t/1.edges", "a b"), ("t/2.feat", "c"), ("u/3.feat", "d"), ("u/3.edges", "e"), ("t/none", "f")):
+            info = tarfile.TarInfo(name)
+            info.size = len(text)
+            tar.addfile(info, io.BytesIO(text.encode()))
+    rows = archives.tar_members(spark, str(tmp_path / "x.tar.gz"))
+    assert sorted((r["line_no"], r["line"]) for r in rows.where("member = 't/1.feat'").collect()) == [(0, "a"), (1, "b")]
+    assert [r[0] for r in archives.complete_stems(rows, ("feat", "edges"), "t/").collect()] == ["t/1"]
+
+
+def test_gzip_lines_and_node_link(spark, tmp_path):
+    with gzip.open(tmp_path / "x.json.gz", "wt", encoding="utf-8") as out:
+        out.write("".join(f'{{"k": {i}}}\n' for i in range(5)))
+    assert [tuple(r) for r in archives.gzip_json_lines(spark, str(tmp_path / "x.json.gz"), first=2).collect()] == [(0, '{"k": 0}'), (1, '{"k": 1}')]
+    put(tmp_path / "g.json", '{"nodes": [], "links": [{"source": 1, "target": 2}]}')
+    assert [tuple(r) for r in archives.node_link(spark, str(tmp_path / "g.json")).collect()] == [("1", "2")]
+
+
+def test_run_options_are_checked(spark):
+    from vireo.plans.run import RunConfig, checked, parser
+
+    for bad in ({"classifier": "svm"}, {"dim": 0}, {"update_rate": -1.0}, {"eval_train_ratio": 1.0}):
+        with pytest.raises(ValueError, match=next(iter(bad))):
+            checked(RunConfig(**bad))
+    with pytest.raises(SystemExit):
+        parser().parse_args(["--snapshot-mode", "x"])
+
+
+def test_run_files(spark, tmp_path):
+    from vireo.plans.run import RunConfig, run
+
+    got = run(spark, RunConfig(output_dir=str(tmp_path), dim=4, quantize=True, binary_quantize=True, synthetic_nodes=24, synthetic_classes=2, synthetic_features=4, synthetic_rounds=1, eval_protocol="single_random", classifier="centroid"))
+    q, scale, bits = (np.load(tmp_path / f"final_embedding_{k}.npy") for k in ("int8", "int8_scale", "binary"))
+    x = np.load(tmp_path / "final_embedding.npy")
+    assert q.dtype == bits.dtype == np.int8 and np.abs(q * scale - x).max() <= scale.max() / 2 + 1e-9 and ((x >= 0) == (bits > 0)).all()
+    assert got["num_snapshots"] == 2 and json.loads((tmp_path / "summary.json").read_text())["ablation_tag"] == "full"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +17,8 @@ from vireo.operators import graph as g
 from vireo.operators import quantize as qz
 from vireo.operators import similarity as sim
 from vireo.operators import snapshots as sn
-from vireo.runtime import cut
+from vireo.runtime import checkpoint_folder, cut
+from vireo.streaming import replay as rp
 
 K = 4
 SEED = 42
@@ -441,8 +444,14 @@ def synthetic_graph(spark, sf_dir):
 
 
 def stream_daily_windows(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"), r6(F.sum("value")).alias("total")).select("event_type", F.date_format("day", "yyyy-MM-dd").alias("day"), "n", "total")
+    """Opens a stream on the events, runs it until all are read and returns the last state of each window."""
+    path = f"{sf_dir}/events.parquet"
+    folder = f"{checkpoint_folder(spark)}/windows-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).select("event_type", "ts", "value")
+    counts = rp.windowed_counts(stream, "ts", "event_type", late=None, value="value")
+    rp.stream_windows(counts, f"{folder}/out", f"{folder}/state").awaitTermination()
+    last = rp.latest_windows(spark.read.parquet(f"{folder}/out"), "event_type")
+    return last.select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", r6("total").alias("total"))
 
 
 QUERIES = {

@@ -7,6 +7,7 @@ import os
 import time
 from dataclasses import asdict, dataclass, fields, replace
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,34 @@ class RunConfig:
     synthetic_rounds: int = 50
 
 
+# What the options of these names may be.
+CHOICES = {
+    "mode": ("synthetic", "file"),
+    "model": MODELS,
+    "snapshot_mode": ("window", "cumulative"),
+    "classifier": ("centroid", "logreg"),
+    "eval_protocol": ("single_random", "repeated_stratified"),
+    "label_cleanup_mode": ("off", "eval_only"),
+    "logreg_class_weight": ("none", "balanced"),
+}
+
+
+def checked(c: RunConfig) -> RunConfig:
+    """``c``, or an error that names the first option out of its range."""
+    for name, known in CHOICES.items():
+        if getattr(c, name) not in known:
+            raise ValueError(f"{name} must be one of {', '.join(known)}")
+    for name in ("dim", "snapshots", "order", "eval_repeats", "min_class_support", "logreg_epochs", "patch_size", "history", "hidden_dim", "synthetic_nodes", "synthetic_classes"):
+        if getattr(c, name) < 1:
+            raise ValueError(f"{name} must be 1 or more")
+    for name in ("max_nodes", "update_rate", "synthetic_rounds"):
+        if getattr(c, name) < 0:
+            raise ValueError(f"{name} must not be negative")
+    if not 0 < c.eval_train_ratio < 1 or not 0 < c.projection_density <= 1:
+        raise ValueError("eval_train_ratio lies between 0 and 1, projection_density is at most 1")
+    return c
+
+
 def build_model(c: RunConfig) -> EmbeddingModel:
     if c.model not in MODELS:
         raise ValueError(f"model must be one of {', '.join(MODELS)}")
@@ -100,8 +129,9 @@ def _source(spark: SparkSession, c: RunConfig):
     return *parts, batches
 
 
-def run(spark: SparkSession, c: RunConfig) -> dict:
-    """One run; writes its files if ``output_dir`` is set and returns the summary."""
+def measured(spark: SparkSession, c: RunConfig):
+    """(metrics rows, summary, model, index) of one run; writes nothing."""
+    checked(c)
     edges, attrs, labels, index, batches = _source(spark, c)
     model = build_model(c)
     how = ev.Protocol(c.classifier, c.eval_protocol, c.eval_repeats, c.eval_train_ratio, c.label_cleanup_mode, c.min_class_support, c.logreg_class_weight, c.logreg_epochs, c.logreg_weight_decay)
@@ -134,15 +164,27 @@ def run(spark: SparkSession, c: RunConfig) -> dict:
         if c.binary_quantize:
             summary["binary_compression_ratio"] = qz.BINARY_RATIO
             summary["binary_error"] = qz.relative_error(qz.binary_quantize(model.embedding()), "vec", "b").first()[0]
-    if c.output_dir:
-        os.makedirs(c.output_dir, exist_ok=True)
-        at = lambda name: os.path.join(c.output_dir, name)
-        sinks.write_metrics(at("metrics_per_snapshot.csv"), rows)
-        sinks.write_node_mapping(at("node_mapping.csv"), index)
-        sinks.write_summary(at("summary.json"), summary)
-        sinks.write_npy(at("final_embedding.npy"), model.embedding(), index)
-        sinks.curves_svg(at("metrics_curves.svg"), rows)
-        append_results(spark, at("all_results.csv"), summary)
+    return rows, summary, model, index
+
+
+def run(spark: SparkSession, c: RunConfig) -> dict:
+    """One run; writes its files if ``output_dir`` is set and returns the summary."""
+    rows, summary, model, index = measured(spark, c)
+    if not c.output_dir:
+        return summary
+    os.makedirs(c.output_dir, exist_ok=True)
+    at = lambda name: os.path.join(c.output_dir, name)
+    sinks.write_metrics(at("metrics_per_snapshot.csv"), rows)
+    sinks.write_node_mapping(at("node_mapping.csv"), index)
+    sinks.write_summary(at("summary.json"), summary)
+    sinks.write_npy(at("final_embedding.npy"), model.embedding(), index)
+    if isinstance(model, ProjectionModel) and c.quantize:
+        sinks.write_npy(at("final_embedding_int8.npy"), model.quantized(), index, "q", "int8")
+        np.save(at("final_embedding_int8_scale.npy"), np.array(model.scales))
+    if isinstance(model, ProjectionModel) and c.binary_quantize:
+        sinks.write_npy(at("final_embedding_binary.npy"), model.signs(), index, "b", "int8")
+    sinks.curves_svg(at("metrics_curves.svg"), rows)
+    append_results(spark, at("all_results.csv"), summary)
     return summary
 
 
@@ -154,7 +196,8 @@ def matrix(spark: SparkSession, base: RunConfig, rates=(10, 100, 1000), out_dir:
     stages = {"rate": [replace(base, update_rate=float(r)) for r in rates], "ablation": [replace(base, update_rate=0.0, **v) for v in variants[base.model]]}
     rows = []
     for stage, configs in stages.items():
-        rows += [{"stage": stage} | run(spark, replace(c, output_dir="")) for c in configs]
+        for k, c in enumerate(configs):
+            rows.append({"stage": stage} | run(spark, replace(c, output_dir=os.path.join(out_dir, f"{stage}-{k}") if out_dir else "")))
     if out_dir:
         for stage in (*stages, "combined"):
             own = [r for r in rows if stage in (r["stage"], "combined")]
@@ -169,16 +212,16 @@ def parser() -> argparse.ArgumentParser:
         if isinstance(f.default, bool):
             out.add_argument(flag, action="store_true")
         else:
-            out.add_argument(flag, type=type(f.default), default=f.default)
+            out.add_argument(flag, type=type(f.default), default=f.default, choices=CHOICES.get(f.name))
+    out.add_argument("--matrix-rates", type=int, nargs="+", help="run over these update rates and over the ablations; each run's files go below --output-dir")
     return out
 
 
-def main(argv: list[str] | None = None) -> dict:
-    config = RunConfig(**vars(parser().parse_args(argv)))
-    return run(session(), config)
-
-
-
+def main(argv: list[str] | None = None) -> dict | list[dict]:
+    args = vars(parser().parse_args(argv))
+    rates = args.pop("matrix_rates")
+    config = checked(RunConfig(**args))
+    return matrix(session(), config, rates, config.output_dir) if rates else run(session(), config)
 
 if __name__ == "__main__":
     main()

@@ -25,18 +25,20 @@ def session(app: str = "vireo", master: str | None = None, **conf) -> SparkSessi
     return builder.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and drop the lineage.
-
-    The folder is the cluster's ``spark.checkpoint.dir``; one of our own is
-    made only where none is set.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's ``spark.checkpoint.dir``; one of our own is made only where none is set."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and sc.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="vireo-checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared checkpoint folder and drop the lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

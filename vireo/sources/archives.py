@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import io
 import tarfile
 import zipfile
@@ -107,32 +106,39 @@ def node_link(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tar_members(spark: SparkSession, path: str) -> DataFrame:
-    """(member, line_no, line) of the text members of a .tar.gz."""
+    """(member, line_no, line) of the text members of a .tar.gz, streamed by a task for each archive."""
 
     def run(frames):
         for f in frames:
             for content in f["content"]:
                 with tarfile.open(fileobj=io.BytesIO(content), mode="r:gz") as tar:
                     for m in tar:
-                        if m.isfile():
-                            lines = tar.extractfile(m).read().decode("utf-8", "replace").splitlines()
-                            yield pd.DataFrame({"member": [m.name] * len(lines), "line_no": range(len(lines)), "line": lines})
+                        if not m.isfile():
+                            continue
+                        rows = []
+                        for no, line in enumerate(tar.extractfile(m)):
+                            rows.append((m.name, no, line.decode("utf-8", "replace").rstrip("\r\n")))
+                            if len(rows) >= 5000:
+                                yield pd.DataFrame(rows, columns=["member", "line_no", "line"])
+                                rows = []
+                        yield pd.DataFrame(rows, columns=["member", "line_no", "line"])
 
     return _files(spark, path).mapInPandas(run, "member string, line_no long, line string")
 
 
-def gzip_json_lines(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
-    """(line_no, raw) of a gzipped JSON-lines file, which is one split."""
+def complete_stems(members: DataFrame, needed: tuple[str, ...], folder: str = "") -> DataFrame:
+    """(stem): names below ``folder`` of which there is a member with each ending in ``needed``.
 
-    def run(frames):
-        for f in frames:
-            for content in f["content"]:
-                rows = []
-                with gzip.open(io.BytesIO(content), "rt", encoding="utf-8") as lines:
-                    for no, line in enumerate(lines):
-                        if first and no >= first:
-                            break
-                        rows.append((no, line.rstrip("\n")))
-                yield pd.DataFrame(rows, columns=["line_no", "raw"])
-
-    return _files(spark, path).mapInPandas(run, "line_no long, raw string")
+    What a member has no line of is no row of ``members``, so an empty member counts as absent.
+    """
+    shape = r"^(.*)\.([^./]*)$"
+    named = members.where(F.col("member").startswith(folder) & F.col("member").rlike(shape)).select("member").distinct()
+    stem, ending = (F.regexp_extract("member", shape, k) for k in (1, 2))
+    ends = named.groupBy(stem.alias("stem")).agg(F.collect_set(ending).alias("ends"))
+    return ends.where(F.size(F.array_except(F.array(*[F.lit(x) for x in needed]), "ends")) == 0).select("stem")
+
+
+def gzip_json_lines(spark: SparkSession, path: str, first: int = 0) -> DataFrame:
+    """(line_no, raw) of one gzipped JSON-lines file, which is one split, so its rows are numbered from 0."""
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("raw"))
+    return lines.where(F.col("line_no") < first) if first else lines

@@ -74,13 +74,25 @@ def write_node_mapping(path: str, index: DataFrame) -> None:
     write_one_csv(path, ("node_id", "index"), ((r["node_id"], r["idx"]) for r in index.orderBy("idx").toLocalIterator()))
 
 
-def remove_stale(path: str) -> None:
-    if os.path.exists(path):
-        os.remove(path)
+def _on(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, so that any store a table can be on will do."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def guard_outputs(folder: str, names: Iterable[str], overwrite: bool) -> None:
-    found = [n for n in names if os.path.exists(os.path.join(folder, n))]
+def exists(spark: SparkSession, path: str) -> bool:
+    store, where = _on(spark, path)
+    return store.exists(where)
+
+
+def remove_stale(spark: SparkSession, path: str) -> None:
+    store, where = _on(spark, path)
+    if store.exists(where):
+        store.delete(where, True)
+
+
+def guard_outputs(spark: SparkSession, folder: str, names: Iterable[str], overwrite: bool) -> None:
+    found = [n for n in names if exists(spark, f"{folder}/{n}")]
     if found and not overwrite:
         raise FileExistsError(f"{folder} has {', '.join(found)} already")
 
