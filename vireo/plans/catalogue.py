@@ -447,7 +447,8 @@ def stream_daily_windows(spark, sf_dir):
     """Opens a stream on the events, runs it until all are read and returns the last state of each window."""
     path = f"{sf_dir}/events.parquet"
     folder = f"{checkpoint_folder(spark)}/windows-{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path).select("event_type", "ts", "value")
+    either = f"{sf_dir}/event[s].parquet"  # a pattern: as a plain path a stream takes a folder only
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(either).select("event_type", "ts", "value")
     counts = rp.windowed_counts(stream, "ts", "event_type", late=None, value="value")
     rp.stream_windows(counts, f"{folder}/out", f"{folder}/state").awaitTermination()
     last = rp.latest_windows(spark.read.parquet(f"{folder}/out"), "event_type")

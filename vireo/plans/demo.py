@@ -10,7 +10,7 @@ from vireo.runtime import session
 SHOWN = ("macro_f1", "micro_f1", "link_auc", "link_ap", "reconstruction_auc")
 
 
-def demo(spark: SparkSession, nodes: int = 180, rounds: int = 5) -> dict:
+def demo(spark: SparkSession, nodes: int = 90, rounds: int = 2) -> dict:
     rows, summary, _, _ = measured(spark, RunConfig(dim=32, quantize=True, synthetic_nodes=nodes, synthetic_rounds=rounds, eval_protocol="single_random", classifier="centroid"))
     for name in ("num_nodes", "feature_dim", "embedding_dim", "initialization_latency_ms", "avg_update_latency_ms", "p95_update_latency_ms"):
         print(f"{name}: {summary[name]:g}")
