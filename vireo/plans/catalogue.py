@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vireo.functions import rng
 from vireo.functions import text as tx
 from vireo.functions import vectors as vx
+from vireo.models.projection import gate_of
 from vireo.operators import convert as cv
 from vireo.operators import evaluate as ev
 from vireo.operators import graph as g
@@ -423,10 +424,8 @@ def batch_event_counts(spark, sf_dir):
 
 
 def gate_value(spark, sf_dir):
-    w = F.array(*[F.lit(0.1 * (j % 3 - 1)) for j in range(8)])
-    half = lambda a: vx.exp0(vx.scale(vx.l2_normalize(F.slice("vec", a, 4)), 0.5))
-    gate = vx.sigmoid(vx.dot(F.concat(half(1), half(5)), w) + 0.05)
-    return emb(spark, sf_dir).select("node_id", r6(gate).alias("gate"))
+    half = lambda a: vx.l2_normalize(F.slice("vec", a, 4))
+    return emb(spark, sf_dir).select("node_id", r6(gate_of(half(1), half(5), [0.1 * (j % 3 - 1) for j in range(8)], 0.05)).alias("gate"))
 
 
 def reconstruction_scores(spark, sf_dir):
