@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.llm import decontam, fingerprint, langid, licenses, lines, lm, mixing, neardup, passages, urlrules
+from vireo.llm import bpe, decontam, fingerprint, langid, licenses, lines, lm, merkle, mixing, neardup, passages, urlrules, whitening
 from vireo.llm.common import documents
 
 
@@ -63,6 +64,48 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_probe(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    model = whitening.fit(vectors, "embedding", 8)
+    rows = whitening.whiten(vectors, "embedding", 8, model)
+    explained = model.explained.tolist() if model else []
+    long = rows.select("vec_id", "deviation", F.posexplode("whitened").alias("nth", "value"))
+    return long.select(
+        "vec_id",
+        (F.col("nth") + 1).alias("component"),
+        F.lit(model.n if model else 0).cast("long").alias("n"),
+        "deviation",
+        F.col("value").alias("whitened"),
+        F.element_at(F.array(*[F.lit(x) for x in explained[:8] or [0.0]]), F.col("nth") + 1).alias("explained"),
+        F.lit(model.identity_error if model else 0.0).alias("identity_error"),
+    )
+
+
+def op12_bpe_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), ranks, public_tokenizers.PATTERN, keep=["doc_id"])
+    both = bpe.decode(ids, ranks)
+    return both.select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    lowered = F.translate("text", merkle.UPPER, merkle.LOWER)
+    changed = F.when(tampered, merkle.row_digest(*[F.col(c) for c in ("doc_id", "source", "lang", "n_chars")], lowered))
+    manifest = merkle.build(docs, "lang", "doc_id", ["doc_id", "source", "lang", "n_chars", "text"], carry={"changed": F.unhex(changed)})
+    root = F.lit(manifest.root).cast("string")
+    leaf = F.lower(F.hex("leaf"))
+    folded = merkle.fold(F.coalesce(F.lower(F.hex("changed")), leaf))
+    out = manifest.proofs().select(F.col("key").alias("doc_id"), leaf.alias("leaf"), "subroot", root.alias("root"), merkle.digest(merkle.siblings()).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_url_rules": op2_url_rules,
@@ -74,6 +117,9 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_repeated_passages": op9_repeated_passages,
     "op10_fingerprints": op10_fingerprints,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_bpe_codes": op12_bpe_codes,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
