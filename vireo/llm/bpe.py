@@ -10,15 +10,18 @@ n bytes costs O(n log n) at worst, so a match as long as the text is no danger.
 
 Defined results: a null text has no tokens, as an empty one. A repeated row is
 encoded each time; matches seen before come from a table of bounded size in the
-task. Texts are never cut. Other columns stay; an added column whose name is
+Python worker. Texts are never cut. Other columns stay; an added column whose name is
 taken gets a numbered one.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from array import array
+from contextlib import suppress
 from heapq import heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +31,8 @@ from pyspark.sql import types as T
 
 from vireo.llm.common import free_name, map_arrow
 
-#: Matches that a task remembers, and the bytes up to which it does so.
-REMEMBERED, SHORT = 1 << 17, 64
+#: Matches that a generation of a task's memory holds, and the characters up to which one is remembered.
+REMEMBERED, SHORT = 1 << 19, 48
 #: Tokens (or bytes, in decoding) after which a record batch goes out.
 OUT = 1 << 20
 #: Beyond so many bytes positions are kept in packed arrays.
@@ -42,10 +45,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+BIT = tuple(1 << k for k in range(64))
+
+
 class RankQueue:
     """Least rank first, then least position: buckets by rank under a bitmap of three levels.
 
-    Ranks lie in [0, 2^18).
+    Ranks lie in [0, 2^18). ``Encoder.merge`` does the same steps in place, as calls would cost more than they do.
     """
 
     def __init__(self, ranks: int):
@@ -58,9 +64,9 @@ class RankQueue:
         if bucket is None:
             self.buckets[rank] = [at]
             w = rank >> 6
-            self.low[w] |= 1 << (rank & 63)
-            self.mid[w >> 6] |= 1 << (w & 63)
-            self.top |= 1 << (w >> 6)
+            self.low[w] |= BIT[rank & 63]
+            self.mid[w >> 6] |= BIT[w & 63]
+            self.top |= BIT[w >> 6]
         else:
             heappush(bucket, at)
 
@@ -71,20 +77,47 @@ class RankQueue:
         m = (top & -top).bit_length() - 1
         bits = self.mid[m]
         w = (m << 6) + (bits & -bits).bit_length() - 1
-        bits = self.low[w]
-        rank = (w << 6) + (bits & -bits).bit_length() - 1
+        word = self.low[w]
+        rank = (w << 6) + (word & -word).bit_length() - 1
         bucket = self.buckets[rank]
         at = heappop(bucket)
         if not bucket:
             del self.buckets[rank]
-            self.low[w] &= ~(1 << (rank & 63))
-            if not self.low[w]:
-                self.mid[m] &= ~(1 << (w & 63))
-                if not self.mid[m]:
-                    self.top &= ~(1 << m)
+            self.low[w] = word = word & (word - 1)  # the first set bit goes
+            if not word:
+                self.mid[m] = bits = bits & (bits - 1)
+                if not bits:
+                    self.top = top & (top - 1)
         return rank, at
 
 
+class _Memo(dict):
+    """Ids of matches: those of the vocabulary's own words always, others in two generations of bounded size.
+
+    A match that is in neither is merged; one that is asked for again before a generation has passed stays.
+    """
+
+    def __init__(self, encoder: Encoder):
+        self.encoder, self.old = encoder, {}
+        self.words = {}
+        for word, rank in encoder.ranks.items():
+            with suppress(UnicodeDecodeError):
+                self.words[word.decode()] = (rank,)
+        super().__init__(self.words)
+
+    def __missing__(self, match: str) -> tuple[int, ...]:
+        ids = self.old.get(match)
+        if ids is None:
+            ids = tuple(self.encoder.merge(match.encode()))
+        if len(match) <= SHORT:
+            if len(self) - len(self.words) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
+                self.update(self.words)
+            self[match] = ids
+        return ids
+
+
 class Encoder:
     """Ids of a text under one table of ranks and one pattern."""
 
@@ -96,69 +129,97 @@ class Encoder:
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every single byte needs a rank")
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.seen: dict[str, list[int]] = {}
+        self.memo = _Memo(self)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match."""
-        ranks, longest, queue = self.ranks, self.longest, self.queue
-        whole = ranks.get(piece)
+        get, longest, queue = self.ranks.get, self.longest, self.queue
+        whole = get(piece)
         if whole is not None:
             return [whole]
         n = len(piece)
         follow = range(1, n + 1)  # start of the next part; n is the end
         before = range(-1, n)  # start of the part before
-        follow, before = (array("i", follow), array("i", before)) if n > PACKED else (list(follow), list(before))
-        waits = {} if n > PACKED else [-1] * n  # rank under which the pair that starts here waits
+        follow, before, waits = (array("i", follow), array("i", before), array("i", [-1]) * n) if n > PACKED else (list(follow), list(before), [-1] * n)
+        # waits: the rank under which the pair that starts here waits
+        low, mid, top, buckets = queue.low, queue.mid, 0, queue.buckets
         for i in range(n - 1):
-            r = ranks.get(piece[i : i + 2])
+            r = get(piece[i : i + 2])
             if r is not None:
                 waits[i] = r
-                queue.push(r, i)
-        wait = waits.get if n > PACKED else waits.__getitem__
-        while (got := queue.pop()) is not None:
-            rank, i = got
-            if wait(i) != rank:
+                if r in buckets:
+                    buckets[r].append(i)  # ascending, so a heap
+                else:
+                    buckets[r] = [i]
+                    w = r >> 6
+                    low[w] |= BIT[r & 63]
+                    mid[w >> 6] |= BIT[w & 63]
+                    top |= BIT[w >> 6]
+        while top:
+            m = (top & -top).bit_length() - 1
+            bits = mid[m]
+            w = (m << 6) + (bits & -bits).bit_length() - 1
+            word = low[w]
+            rank = (w << 6) + (word & -word).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[w] = word = word & (word - 1)
+                if not word:
+                    mid[m] = bits = bits & (bits - 1)
+                    if not bits:
+                        top &= top - 1
+            if waits[i] != rank:  # merged or changed since
                 continue
             gone = follow[i]
-            end = follow[gone]
-            follow[i] = end
-            waits[gone] = -1
+            follow[i] = end = follow[gone]
+            waits[gone] = waits[i] = -1
+            pushes = ()
             if end < n:
                 before[end] = i
                 stop = follow[end]
-                r = ranks.get(piece[i:stop]) if stop - i <= longest else None
-                waits[i] = -1 if r is None else r
-                if r is not None:
-                    queue.push(r, i)
-            else:
-                waits[i] = -1
+                if stop - i <= longest and (r := get(piece[i:stop])) is not None:
+                    pushes = ((i, r),)
             left = before[i]
             if left >= 0:
-                r = ranks.get(piece[left:end]) if end - left <= longest else None
+                r = get(piece[left:end]) if end - left <= longest else None
                 if r is None:
                     waits[left] = -1
-                elif r != wait(left):
-                    waits[left] = r
-                    queue.push(r, left)
+                elif r != waits[left]:
+                    pushes += ((left, r),)
+            for at, r in pushes:
+                waits[at] = r
+                if r in buckets:
+                    heappush(buckets[r], at)
+                else:
+                    buckets[r] = [at]
+                    w = r >> 6
+                    low[w] |= BIT[r & 63]
+                    mid[w >> 6] |= BIT[w & 63]
+                    top |= BIT[w >> 6]
         out, i = [], 0
+        ranks = self.ranks
         while i < n:
             out.append(ranks[piece[i : follow[i]]])
             i = follow[i]
         return out
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        seen, add = self.seen, out.extend
-        for match in self.matches(text):
-            ids = seen.get(match)
-            if ids is None:
-                ids = self.merge(match.encode())
-                if len(match) <= SHORT:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[match] = ids
-            add(ids)
-        return out
+    def encode(self, text: str) -> array:
+        return array("i", chain.from_iterable(map(self.memo.__getitem__, self.matches(text))))
+
+
+_held: dict = {}
+
+
+def _in_worker(mark: str, make):
+    """What ``make`` gives, kept in the Python worker over its tasks until another mark comes."""
+    if mark not in _held:
+        _held.clear()
+        _held[mark] = make()
+    return _held[mark]
 
 
 def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str = "text", out: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
@@ -170,14 +231,13 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
     out = free_name(df, out)
     schema = T.StructType([*wanted, T.StructField(out, T.ArrayType(T.IntegerType()), False)])
     table = df.sparkSession.sparkContext.broadcast((ranks, pattern))  # its size is that of the vocabulary
-    made: list[Encoder] = []
+    mark = uuid.uuid4().hex
 
     def run(batch):
-        if not made:
-            made.append(Encoder(*table.value))
+        encoder = _in_worker(mark, lambda: Encoder(*table.value))
         ids, ends, began = array("i"), [0], 0
         for k, text in enumerate(batch.column(text_col)):
-            ids.extend(made[0].encode(text.as_py() or ""))
+            ids.extend(encoder.encode(text.as_py() or ""))
             ends.append(len(ids))
             if len(ids) >= OUT or k == batch.num_rows - 1:
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(ids, dtype=np.int32) if len(ids) else [], pa.int32()))
