@@ -32,6 +32,32 @@ def test_directory_to_snapshots(spark, tmp_path):
     assert [(r["snap"], r["node_id"], r["vec"]) for r in g.updates.collect()] == [(1, "u1", [5.0, 6.0])]
 
 
+def test_down_sampling_keeps_chosen_nodes_without_edges(spark):
+    edges = spark.createDataFrame([("a", "b", "1"), ("b", "c", "2"), ("c", "d", "3"), ("h", "b", "4")], "src string, dst string, time string")
+    features = spark.createDataFrame([(x, "1") for x in "abcdefgh"], "node_id string, f1 string")
+    labels = spark.createDataFrame([("e", "3"), ("g", "4")], "node_id string, label string")
+    for n, kept in ((6, "abcdeh"), (3, "abc"), (8, "abcdefgh"), (0, "abcdefgh")):
+        g = tables.build(spark, edges, features, labels, snapshots=2, max_nodes=n)
+        assert "".join(r[0] for r in g.index.orderBy("idx").collect()) == kept
+        assert {r[0] for r in g.labels.where("label >= 0").collect()} == {"e", "g"} & set(kept) and g.attributes.count() == len(kept)
+    assert tables.build(spark, edges, features, labels, snapshots=2, max_nodes=3).snapshots.select("u", "v").distinct().count() == 2
+    lonely = spark.createDataFrame([("y", "z", "1"), ("a", "b", "1")], "src string, dst string, time string")
+    with pytest.raises(ValueError, match="down-sampling"):
+        tables.build(spark, lonely, None, None, max_nodes=1)
+
+
+@pytest.mark.parametrize("bad", ["nan", "inf", "-Infinity", "abc", "", None, "1e30"])
+def test_labels_must_be_finite(spark, bad):
+    with pytest.raises(ValueError, match="node 'u1'"):
+        tables.labels(spark.createDataFrame([("u1", bad), ("u1", "2"), (" ", "x")], "node_id string, label string"))
+
+
+def test_labels_are_cut_toward_zero(spark):
+    rows = [("a", "-0.5"), ("b", "2.9"), ("c", "-3.9"), ("d", " 7 "), ("e", "1"), ("e", "1e2"), ("", "x")]
+    got = tables.labels(spark.createDataFrame(rows, "node_id string, label string")).collect()
+    assert {r[0]: r[1] for r in got} == {"a": 0, "b": 2, "c": -3, "d": 7, "e": 100}
+
+
 @pytest.mark.parametrize("bad", ["nan", "inf", "x"])
 def test_vectors_must_be_finite(spark, tmp_path, bad):
     df = tables.read_csv(spark, put(tmp_path / "f.csv", f"node_id,f1,f2\nu1,{bad},1\n"))
@@ -125,7 +151,7 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "add", "a", "c", None, None, None), (1, "attr", None, None, "a", [3.0], None)], CHANGE).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(CHANGE).parquet(str(tmp_path / "in"))
     stream_updates(stream, model, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3 and model.edges.count() == 3
+    assert spark.read.parquet(str(tmp_path / "out/embedding")).count() == 3 and model.edges.count() == 3
 
 
 def test_windowed_counts_and_percentile(spark, sf_dir):

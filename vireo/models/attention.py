@@ -32,6 +32,9 @@ def patch_means(rows: DataFrame, key: str, t: str, columns: list[str], history:
 
 class AttentionModel(EmbeddingModel):
     online_update_mode = "refit"
+    state_tables = (*EmbeddingModel.state_tables, "tokens")
+    state_values = (*EmbeddingModel.state_values, "steps")
+    options = (*EmbeddingModel.options, "patch", "history", "hidden", "temperature")
 
     def __init__(self, dim: int = 64, patch: int = 2, history: int = 8, hidden: int = 96, temperature: float = 1.0, seed: int = 42):
         super().__init__(dim, seed)

@@ -80,6 +80,12 @@ def downsample(edges: DataFrame, max_nodes: int, src: str = "src", dst: str = "d
     return restrict(edges, top_nodes(degree_with_repeats(edges, src, dst), max_nodes), src, dst).select(*edges.columns)
 
 
+def downsample_nodes(nodes: DataFrame, edges: DataFrame, max_nodes: int, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node_id, degree) of the ``max_nodes`` of ``nodes`` with the highest degree, ties by id; nodes without edges have degree 0 and stay if there is room."""
+    met = nodes.select("node_id").join(degree_with_repeats(edges, src, dst), "node_id", "left")
+    return top_nodes(met.select("node_id", F.coalesce("degree", F.lit(0)).alias("degree")), max_nodes)
+
+
 def neighbors_of(edges: DataFrame, touched: DataFrame) -> DataFrame:
     """Ids next to a touched node."""
     return both_ways(edges).join(touched.select(F.col("node_id").alias("u")).distinct(), "u", "left_semi").select(F.col("v").alias("node_id")).distinct()

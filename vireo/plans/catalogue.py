@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vireo.functions import rng
 from vireo.functions import text as tx
@@ -20,6 +21,7 @@ from vireo.operators import similarity as sim
 from vireo.operators import snapshots as sn
 from vireo.runtime import checkpoint_folder, cut
 from vireo.streaming import replay as rp
+from vireo.streaming.state import StateStore
 
 K = 4
 SEED = 42
@@ -91,6 +93,13 @@ def downsample_edges(spark, sf_dir):
     return kept.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
 
 
+def downsample_nodes(spark, sf_dir):
+    """Three quarters of all parts, suppliers and customers, by degree in the part-supplier graph; customers have no edge there."""
+    key = lambda name, letter, col: table(spark, sf_dir, name).select(F.concat(F.lit(letter), F.col(col).cast("string")))
+    nodes = cut(g.universe(key("part", "p", "p_partkey"), key("supplier", "s", "s_suppkey"), key("customer", "c", "c_custkey")))
+    return g.downsample_nodes(nodes, bipartite(spark, sf_dir), nodes.count() * 3 // 4)
+
+
 def snapshot_window(spark, sf_dir):
     return windows(spark, sf_dir)
 
@@ -454,10 +463,29 @@ def stream_daily_windows(spark, sf_dir):
     return last.select("event_type", F.date_format("window.start", "yyyy-MM-dd").alias("day"), "n", r6("total").alias("total"))
 
 
+def stream_restart_structure(spark, sf_dir):
+    """Structure vectors after two streams of changes, where a new driver goes on from the state that the first one left."""
+    from vireo.models.projection import ProjectionModel
+
+    snaps = windows(spark, sf_dir)
+    rows = cut(sn.deltas(snaps).where("snap <= 2"))
+    folder = f"{checkpoint_folder(spark)}/restart-{uuid.uuid4().hex}"
+    unfitted = lambda: ProjectionModel(4, order=0, density=0.5, learning_rate=0.55, quantize=False, use_attributes=False, steps=0, seed=SEED)
+    nodes = g.both_ways(snaps.where("snap <= 2")).select(F.col("u").alias("node_id")).distinct()
+    model = unfitted().fit(snaps.where("snap = 0").select("u", "v"), nodes.withColumn("vec", F.array(F.lit(0.0))))
+    for snap in (1, 2):
+        none = {f.name: F.lit(None).cast(f.dataType) for f in T._parse_datatype_string(rp.CHANGE) if f.name not in rows.columns}
+        rows.where(F.col("snap") == snap).withColumns(none).selectExpr(*[f"cast({f.name} as {f.dataType.simpleString()})" for f in T._parse_datatype_string(rp.CHANGE)]).write.mode("append").parquet(f"{folder}/in")
+        rp.stream_updates(spark.readStream.schema(rp.CHANGE).parquet(f"{folder}/in"), model, f"{folder}/out", f"{folder}/progress").awaitTermination()
+        model = unfitted()
+    last, _ = StateStore(spark, f"{folder}/out/state").load()
+    return vx.unpack(last["structure"], "s", 4).select("node_id", *[r6_unsigned_zero(f"y{j}").alias(f"y{j}") for j in range(4)])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        flagship, edges_clean_undirected, node_index, node_universe, degree_topn, downsample_edges, snapshot_window, snapshot_cumulative,
+        flagship, edges_clean_undirected, node_index, node_universe, degree_topn, downsample_edges, downsample_nodes, snapshot_window, snapshot_cumulative,
         snapshot_equal_count, snapshot_delta, delta_replay, batch_event_counts, attr_update_bins, affected_nodes, norm_adjacency,
         laplacian_entries, neighbor_mean, anchor_propagation, feature_standardize, row_l2_normalize, cosine_pairs, topk_cosine_graph,
         exp_log_map, mobius_fuse, gate_value, sigmoid_softmax, int8_quantize, int8_error, binary_quantize, incremental_struct_update,
@@ -465,6 +493,6 @@ QUERIES = {
         unresolved_references, record_counters, label_cleanup, stratified_split, random_split, centroid_predict, confusion, f1_scores,
         link_auc, link_ap, reconstruction_scores, pair_sampling_pos, pair_sampling_neg, copurchase_selfjoin, latency_p95, global_quantiles,
         results_alias_merge, history_patch_mean, last_wins_upsert, dense_labels, argmax_label, default_attributes, one_hot_membership,
-        top_features, synthetic_graph, stream_daily_windows,
+        top_features, synthetic_graph, stream_daily_windows, stream_restart_structure,
     )
 }

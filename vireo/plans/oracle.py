@@ -59,6 +59,24 @@ def _anchor() -> str:
     return f"WITH {SCALED}, r0 AS (SELECT node_id, {start} FROM ids), {step('r1', 'r0')}, {step('r2', 'r1')}, total AS (SELECT r0.node_id, {total} FROM r0 JOIN r1 USING (node_id) JOIN r2 USING (node_id)) SELECT node_id, " + ", ".join(f"round(y{j} / {norm}, 6) + 0.0::DOUBLE AS y{j}" for j in cols) + " FROM total"
 
 
+def _restart() -> str:
+    """Two structure updates in turn, from unit rows of the sparse projection."""
+    cols = range(4)
+    norm = "greatest(sqrt(" + " + ".join(f"y{k} * y{k}" for k in cols) + "), 1e-12)"
+    unit = ", ".join(f"y{j} / {norm} AS y{j}" for j in cols)
+    drawn = ", ".join(f"{_ternary(0.5, 4, 'node_id', repr(str(j)))} AS y{j}" for j in cols)
+    parts = [f"drawn AS (SELECT node_id, {drawn} FROM (SELECT u AS node_id FROM snaps WHERE snap <= 2 UNION SELECT v FROM snaps WHERE snap <= 2)), y0 AS (SELECT node_id, {unit} FROM drawn)"]
+    for t in (1, 2):
+        push = ", ".join(f"sum(w * o.y{j}) AS d{j}" for j in cols)
+        moved = ", ".join(f"CASE WHEN p.d0 IS NULL THEN o.y{j} ELSE o.y{j} + 0.55::DOUBLE / greatest(coalesce(g.n, 0), 1) * p.d{j} END AS y{j}" for j in cols)
+        final = ", ".join(f"CASE WHEN changed THEN y{j} / {norm} ELSE y{j} END AS y{j}" for j in cols)
+        parts.append(f"""e{t} AS (SELECT u, v, CASE op WHEN 'add' THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS w FROM delta WHERE snap = {t}), s{t} AS (SELECT * FROM e{t} UNION ALL SELECT v, u, w FROM e{t}),
+p{t} AS (SELECT s.u AS node_id, {push} FROM s{t} s JOIN y{t - 1} o ON o.node_id = s.v GROUP BY s.u),
+g{t} AS (SELECT node_id, count(*) AS n FROM (SELECT u AS node_id FROM snaps WHERE snap = {t} UNION ALL SELECT v FROM snaps WHERE snap = {t}) GROUP BY node_id),
+m{t} AS (SELECT o.node_id, p.d0 IS NOT NULL AS changed, {moved} FROM y{t - 1} o LEFT JOIN p{t} p USING (node_id) LEFT JOIN g{t} g USING (node_id)), y{t} AS (SELECT node_id, {final} FROM m{t})""")
+    return f"WITH {WINDOWS}, {DELTA}, {', '.join(parts)} SELECT node_id, " + ", ".join(f"round(y{j}, 6) + 0.0::DOUBLE AS y{j}" for j in cols) + " FROM y2"
+
+
 def _incremental() -> str:
     cols = range(4)
     old = ", ".join(f"{_ternary(0.5, 4, 'node_id', repr(str(j)))} AS y{j}" for j in cols)
@@ -101,6 +119,9 @@ ORACLE: dict[str, str] = {
     "node_universe": f"WITH {BIP} SELECT src AS node_id FROM bip UNION SELECT dst FROM bip UNION SELECT 'p' || p_partkey FROM part UNION SELECT 's' || s_suppkey FROM supplier",
     "degree_topn": f"WITH {BIP}, d AS (SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM bip UNION ALL SELECT dst FROM bip) GROUP BY node_id) SELECT * FROM d ORDER BY degree DESC, node_id LIMIT 50",
     "downsample_edges": f"WITH {BIP}, d AS (SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM bip UNION ALL SELECT dst FROM bip) GROUP BY node_id ORDER BY degree DESC, node_id LIMIT 200) SELECT src, dst, count(*) AS n FROM bip WHERE src IN (SELECT node_id FROM d) AND dst IN (SELECT node_id FROM d) GROUP BY src, dst",
+    "downsample_nodes": f"""WITH {BIP}, n AS (SELECT 'p' || p_partkey AS node_id FROM part UNION SELECT 's' || s_suppkey FROM supplier UNION SELECT 'c' || c_custkey FROM customer),
+d AS (SELECT node_id, count(*) AS degree FROM (SELECT src AS node_id FROM bip UNION ALL SELECT dst FROM bip) GROUP BY node_id)
+SELECT node_id, coalesce(degree, 0) AS degree FROM n LEFT JOIN d USING (node_id) QUALIFY row_number() OVER (ORDER BY coalesce(degree, 0) DESC, node_id) <= (SELECT count(*) * 3 // 4 FROM n)""",
     "snapshot_window": f"WITH {WINDOWS} SELECT snap, u, v FROM snaps",
     "snapshot_cumulative": f"WITH {WINDOWS}, f AS (SELECT u, v, min(snap) AS first FROM snaps GROUP BY u, v) SELECT s.snap::INT AS snap, count(*) AS edges FROM f JOIN range(0, 4) s(snap) ON s.snap >= first GROUP BY s.snap",
     "snapshot_equal_count": """WITH r AS (SELECT 'p' || l_partkey AS u, 's' || l_suppkey AS v, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS k, count(*) OVER () AS n FROM lineitem)
@@ -177,6 +198,7 @@ SELECT node_id, (count(*) FILTER (place = 0))::BIGINT AS c0, (count(*) FILTER (p
     "top_features": "SELECT l_partkey AS col, row_number() OVER (ORDER BY count(*) DESC, l_partkey) - 1 AS place FROM lineitem GROUP BY l_partkey ORDER BY place LIMIT 64",
     "synthetic_graph": f"SELECT a.range AS u, b.range AS v FROM range(0, 120) a JOIN range(0, 120) b ON a.range < b.range WHERE {_u(42, 'a.range', 'b.range')} < CASE WHEN a.range % 4 = b.range % 4 THEN 0.16 ELSE 0.02 END",
     "stream_daily_windows": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
+    "stream_restart_structure": _restart(),
     "reconstruction_scores": f"""WITH {UNIT}, s AS (SELECT a.node_id AS a, b.node_id AS b, list_dot_product(a.vec, b.vec) AS s FROM unit a JOIN unit b ON a.node_id <> b.node_id),
 k AS (SELECT * FROM s WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 3), g AS (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM k),
 pos AS (SELECT u, v FROM g ORDER BY md5('42|' || u || '|' || v), u, v LIMIT 200),

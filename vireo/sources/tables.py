@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vireo.functions.text import epoch, identifier, number
-from vireo.operators.graph import canonical, clean, dense_index, downsample, universe
+from vireo.operators.graph import clean, dense_index, downsample_nodes, restrict, universe
 from vireo.operators.snapshots import attribute_updates, cumulative_snapshots, deltas, equal_count_snapshots, time_cuts, window_snapshots
 from vireo.runtime import cut
 
@@ -75,10 +75,16 @@ def last_wins(rows: DataFrame, value: str, key: str = "node_id") -> DataFrame:
 
 
 def labels(df: DataFrame) -> DataFrame:
-    """(node_id, label); negative is unlabelled; later rows win."""
+    """(node_id, label): numbers cut toward zero; negative is unlabelled; later rows win.
+
+    A label that is no finite number of 64 bits (blank ones included) is an error that names its node, even where a later row would win.
+    """
     require(df, ("node_id", "label"), "labels")
-    whole = F.floor(F.col("label").try_cast("double")).cast("long")
-    return last_wins(_ordered(df).select(identifier(F.col("node_id")).alias("node_id"), whole.alias("label"), "seq").where("node_id is not null"), "label")
+    rows = cut(_ordered(df).select(identifier(F.col("node_id")).alias("node_id"), F.col("label").try_cast("double").alias("x"), "seq").where("node_id is not null"))
+    bad = rows.where(F.col("x").isNull() | F.isnan("x") | (F.abs("x") >= 2.0**63)).select("node_id").limit(1).collect()
+    if bad:
+        raise ValueError(f"labels: the label of node {bad[0][0]!r} is not a finite number")
+    return last_wins(rows.select("node_id", F.col("x").cast("long").alias("label"), "seq"), "label")
 
 
 @dataclass
@@ -103,13 +109,13 @@ def build(spark: SparkSession, raw_edges: DataFrame, features: DataFrame | None,
     feats = vectors(features) if features is not None else None
     labs = labels(raw_labels) if raw_labels is not None else None
     timed = "time" in raw_edges.columns
-    whole = universe(e.select("src"), e.select("dst"), *[x.select("node_id") for x in (feats, labs) if x is not None])
+    whole = cut(universe(e.select("src"), e.select("dst"), *[x.select("node_id") for x in (feats, labs) if x is not None]))
     if 0 < max_nodes < whole.count():
-        e = cut(downsample(e, max_nodes))
+        # All nodes that are chosen stay, those without an edge among them too.
+        whole = cut(downsample_nodes(whole, e, max_nodes).select("node_id"))
+        e = cut(restrict(e, whole, "src", "dst"))
         if e.isEmpty():
             raise ValueError("no edges are left after down-sampling")
-        ends = universe(e.select("src"), e.select("dst"))
-        whole = ends
     index = cut(dense_index(whole, "node_id"))
     width = len(feats.first()["vec"]) if feats is not None and not feats.isEmpty() else 16
     filler = F.array(*[0.01 * rng.normal(seed, F.col("node_id"), j) for j in range(width)])
@@ -137,7 +143,3 @@ def build(spark: SparkSession, raw_edges: DataFrame, features: DataFrame | None,
 def from_directory(spark: SparkSession, root: str, **options) -> TemporalGraph:
     e, f, l, u = resolve(root)
     return build(spark, read_csv(spark, e), read_csv(spark, f), read_csv(spark, l), read_csv(spark, u) if u else None, **options)
-
-
-def simple_edges(raw: DataFrame) -> DataFrame:
-    return canonical(clean(raw))
