@@ -2,8 +2,8 @@
 
 A text is split by the tokenizer's pattern; in each match the adjacent pair of
 least rank is merged, the leftmost first, until no pair has a rank. Pairs wait in
-buckets, one a rank; a bitmap of three levels of 64-bit words says which buckets
-are filled, so the least rank is three find-first-set steps away however many
+buckets, one a rank; a bitmap of two levels of wide words says which buckets
+are filled, so the least rank is two find-first-set steps away however many
 pairs wait. Parts are a linked list over start positions; an entry whose pair has
 been merged or changed since is stale and is skipped when it comes up. A match of
 n bytes costs O(n log n) at worst, so a match as long as the text is no danger.
@@ -45,28 +45,30 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-BIT = tuple(1 << k for k in range(64))
+#: Bits of a word of the lower level; the upper level is one word with a bit for each of these.
+WIDE = 8
+BIT = tuple(1 << k for k in range(1 << WIDE))
+REST = (1 << WIDE) - 1
 
 
 class RankQueue:
-    """Least rank first, then least position: buckets by rank under a bitmap of three levels.
+    """Least rank first, then least position: buckets by rank under a bitmap of two levels.
 
-    Ranks lie in [0, 2^18). ``Encoder.merge`` does the same steps in place, as calls would cost more than they do.
+    ``Encoder.merge`` does the same steps in place, as calls would cost more than they do.
     """
 
     def __init__(self, ranks: int):
-        words = (ranks >> 6) + 1
-        self.low, self.mid, self.top = [0] * words, [0] * ((words >> 6) + 1), 0
+        self.low, self.top = [0] * ((ranks >> WIDE) + 1), 0
+        self.up = tuple(1 << w for w in range(len(self.low)))
         self.buckets: dict[int, list[int]] = {}
 
     def push(self, rank: int, at: int) -> None:
         bucket = self.buckets.get(rank)
         if bucket is None:
             self.buckets[rank] = [at]
-            w = rank >> 6
-            self.low[w] |= BIT[rank & 63]
-            self.mid[w >> 6] |= BIT[w & 63]
-            self.top |= BIT[w >> 6]
+            w = rank >> WIDE
+            self.low[w] |= BIT[rank & REST]
+            self.top |= self.up[w]
         else:
             heappush(bucket, at)
 
@@ -74,20 +76,16 @@ class RankQueue:
         top = self.top
         if not top:
             return None
-        m = (top & -top).bit_length() - 1
-        bits = self.mid[m]
-        w = (m << 6) + (bits & -bits).bit_length() - 1
+        w = (top & -top).bit_length() - 1
         word = self.low[w]
-        rank = (w << 6) + (word & -word).bit_length() - 1
+        rank = (w << WIDE) + (word & -word).bit_length() - 1
         bucket = self.buckets[rank]
         at = heappop(bucket)
         if not bucket:
             del self.buckets[rank]
             self.low[w] = word = word & (word - 1)  # the first set bit goes
             if not word:
-                self.mid[m] = bits = bits & (bits - 1)
-                if not bits:
-                    self.top = top & (top - 1)
+                self.top = top & (top - 1)
         return rank, at
 
 
@@ -124,8 +122,6 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.matches = ranks, regex.compile(pattern).findall
         self.longest = max(map(len, ranks), default=0)
-        if max(ranks.values(), default=0) >= 1 << 18:
-            raise ValueError("ranks from 2^18 are not supported")
         if any(bytes([b]) not in ranks for b in range(256)):
             raise ValueError("every single byte needs a rank")
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
@@ -142,7 +138,7 @@ class Encoder:
         before = range(-1, n)  # start of the part before
         follow, before, waits = (array("i", follow), array("i", before), array("i", [-1]) * n) if n > PACKED else (list(follow), list(before), [-1] * n)
         # waits: the rank under which the pair that starts here waits
-        low, mid, top, buckets = queue.low, queue.mid, 0, queue.buckets
+        low, up, top, buckets = queue.low, queue.up, 0, queue.buckets
         for i in range(n - 1):
             r = get(piece[i : i + 2])
             if r is not None:
@@ -151,16 +147,13 @@ class Encoder:
                     buckets[r].append(i)  # ascending, so a heap
                 else:
                     buckets[r] = [i]
-                    w = r >> 6
-                    low[w] |= BIT[r & 63]
-                    mid[w >> 6] |= BIT[w & 63]
-                    top |= BIT[w >> 6]
+                    w = r >> WIDE
+                    low[w] |= BIT[r & REST]
+                    top |= up[w]
         while top:
-            m = (top & -top).bit_length() - 1
-            bits = mid[m]
-            w = (m << 6) + (bits & -bits).bit_length() - 1
+            w = (top & -top).bit_length() - 1
             word = low[w]
-            rank = (w << 6) + (word & -word).bit_length() - 1
+            rank = (w << WIDE) + (word & -word).bit_length() - 1
             bucket = buckets[rank]
             if len(bucket) > 1:
                 i = heappop(bucket)
@@ -169,42 +162,42 @@ class Encoder:
                 del buckets[rank]
                 low[w] = word = word & (word - 1)
                 if not word:
-                    mid[m] = bits = bits & (bits - 1)
-                    if not bits:
-                        top &= top - 1
+                    top &= top - 1
             if waits[i] != rank:  # merged or changed since
                 continue
             gone = follow[i]
             follow[i] = end = follow[gone]
             waits[gone] = waits[i] = -1
-            pushes = ()
             if end < n:
                 before[end] = i
                 stop = follow[end]
                 if stop - i <= longest and (r := get(piece[i:stop])) is not None:
-                    pushes = ((i, r),)
+                    waits[i] = r
+                    if r in buckets:
+                        heappush(buckets[r], i)
+                    else:
+                        buckets[r] = [i]
+                        w = r >> WIDE
+                        low[w] |= BIT[r & REST]
+                        top |= up[w]
             left = before[i]
             if left >= 0:
                 r = get(piece[left:end]) if end - left <= longest else None
                 if r is None:
                     waits[left] = -1
                 elif r != waits[left]:
-                    pushes += ((left, r),)
-            for at, r in pushes:
-                waits[at] = r
-                if r in buckets:
-                    heappush(buckets[r], at)
-                else:
-                    buckets[r] = [at]
-                    w = r >> 6
-                    low[w] |= BIT[r & 63]
-                    mid[w >> 6] |= BIT[w & 63]
-                    top |= BIT[w >> 6]
+                    waits[left] = r
+                    if r in buckets:
+                        heappush(buckets[r], left)
+                    else:
+                        buckets[r] = [left]
+                        w = r >> WIDE
+                        low[w] |= BIT[r & REST]
+                        top |= up[w]
         out, i = [], 0
-        ranks = self.ranks
         while i < n:
-            out.append(ranks[piece[i : follow[i]]])
-            i = follow[i]
+            out.append(get(piece[i : (end := follow[i])]))
+            i = end
         return out
 
     def encode(self, text: str) -> array:
