@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,21 +58,26 @@ def valid_records(records: DataFrame, config: ConvertConfig) -> DataFrame:
     return out
 
 
-def record_counters(records: DataFrame, config: ConvertConfig) -> DataFrame:
-    """One row: records_total, missing_id, invalid_year, out_of_range, accepted."""
+def counter_columns(config: ConvertConfig) -> list:
+    """Aggregates over raw records: records_total, missing_id, invalid_year, out_of_range, accepted."""
     known, y = tx.identifier(F.col("id")).isNotNull(), tx.year(F.col("year"))
     inside = F.lit(True)
     if config.min_year:
         inside = inside & (y >= config.min_year)
     if config.max_year:
         inside = inside & (y <= config.max_year)
-    return records.agg(
+    return [
         F.count(F.lit(1)).alias("records_total"),
         F.count_if(~known).alias("missing_id"),
         F.count_if(known & y.isNull()).alias("invalid_year"),
         F.count_if(known & y.isNotNull() & ~inside).alias("out_of_range"),
         F.count_if(known & y.isNotNull() & inside).alias("accepted"),
-    )
+    ]
+
+
+def record_counters(records: DataFrame, config: ConvertConfig) -> DataFrame:
+    """``counter_columns`` as one row."""
+    return records.agg(*counter_columns(config))
 
 
 def prefix(records: DataFrame, n_ids: int, seq: str = "seq") -> DataFrame:
@@ -138,11 +143,20 @@ def best(papers: DataFrame, n: int) -> DataFrame:
     return papers if not n else papers.orderBy(F.desc("score"), F.desc("year"), F.asc("id")).limit(n)
 
 
-def select_papers(records: DataFrame, config: ConvertConfig) -> DataFrame:
-    """The papers kept, with label (-1 if none) and score."""
+def select_papers(records: DataFrame, config: ConvertConfig, counters: dict | None = None) -> DataFrame:
+    """The papers kept, with label (-1 if none) and score.
+
+    ``records`` is read once; ``counters`` gets what that scan counts, and duplicate_ids, the records whose id an
+    earlier one of the scanned prefix has.
+    """
     config = config.resolved()
     limit = config.max_papers * config.candidate_multiplier if config.strategy == "dense" else config.max_papers
-    scanned = cut(prefix(valid_records(records, config), limit))
+    seen = Observation()
+    valid = cut(valid_records(records.observe(seen, *counter_columns(config)), config))
+    scanned = cut(prefix(valid, limit))
+    if counters is not None:
+        rows, ids = scanned.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
+        counters |= seen.get | {"duplicate_ids": rows - ids}
     papers = paper_scores(first_per_id(scanned), in_counts(scanned), venue_support(scanned, config.min_venue_support))
     if not config.keep_unlabeled:
         papers = papers.where(F.col("label").isNotNull())
@@ -186,9 +200,9 @@ class Converted:
 def convert(records: DataFrame, config: ConvertConfig) -> Converted:
     """``records``: (seq, id, title, abstract, keywords array, year, references array, venue)."""
     config = config.resolved()
-    kept = cut(select_papers(records, config))
+    counters: dict = {}
+    kept = cut(select_papers(records, config, counters))
     edges, unresolved = resolved_references(kept)
-    counters = record_counters(records, config).first().asDict()
     counters |= {"kept_papers": kept.count(), "supported_venues": kept.where("label >= 0").select("label").distinct().count()}
     counters |= {"unresolved_references": unresolved.first()[0]}
     return Converted(edges, text_features(kept, config.feature_dim), kept.select(F.col("id").alias("node_id"), "label"), counters)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,30 +107,96 @@ def centroid_predict(emb: DataFrame, split: DataFrame, d: int) -> DataFrame:
     return scored.groupBy("node_id", "label").agg(F.max_by("class", F.struct("score", -F.col("class"))).alias("pred"))
 
 
-def logreg_predict(emb: DataFrame, split: DataFrame, d: int, weight_decay: float = 1e-4, epochs: int = 260, class_weight: str = "none") -> DataFrame:
-    """(node_id, label, pred) by multinomial logistic regression on standardised vectors."""
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import array_to_vector
+#: Numbers (rows x columns) up to which all steps of a regression run in one task: 32 MB.
+ONE_TASK = 1 << 22
 
+
+def _softmax_sums(x: np.ndarray, code: np.ndarray, weight: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sum over rows of x' (p - y) weight, columns x classes."""
+    z = x @ w
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= np.maximum(p.sum(axis=1, keepdims=True), 1e-12)
+    p[np.arange(len(code)), code] -= 1.0
+    return x.T @ (p * weight[:, None])
+
+
+def softmax_weights(rows: DataFrame, d: int, classes: int, total: float, steps: int, rate: float, decay: float, seed: int) -> np.ndarray:
+    """Weights (d + 1 x classes, the last row is the bias) after ``steps`` full-batch steps from 0.01 normals.
+
+    ``rows`` has (vec, code, weight), ``total`` is the sum of weights. A step sums the gradient class by class in the tasks; where all
+    rows are at most ``ONE_TASK`` numbers, the steps run in the one task that they fit into. The driver holds the weights.
+    """
+    w = 0.01 * np.random.default_rng(seed).normal(size=(d + 1, classes))
+
+    def parts(batch):
+        x = np.asarray(batch.column("vec").flatten(), dtype=np.float64).reshape(batch.num_rows, d)
+        return np.hstack([x, np.ones((len(x), 1))]), batch.column("code").to_numpy(zero_copy_only=False), batch.column("weight").to_numpy(zero_copy_only=False)
+
+    def moved(w, sums):
+        reg = decay * w
+        reg[-1] = 0.0
+        return w - rate * (sums / max(total, 1e-12) + reg)
+
+    def by_class(sums):
+        return pa.RecordBatch.from_pydict({"class": pa.array(range(classes), pa.int32()), "sums": pa.array(list(sums.T), pa.list_(pa.float64()))})
+
+    schema = "class int, sums array<double>"
+    rows = cut(rows.select("vec", "code", "weight"))
+    if rows.count() * (d + 1) <= ONE_TASK:
+
+        def all_steps(batches):
+            got = [parts(b) for b in batches if b.num_rows]
+            out = w
+            if got:
+                x, code, weight = (np.concatenate([g[i] for g in got]) for i in range(3))
+                for _ in range(steps):
+                    out = moved(out, _softmax_sums(x, code, weight, out))
+            yield by_class(out)
+
+        done = {r["class"]: r["sums"] for r in rows.coalesce(1).mapInArrow(all_steps, schema).collect()}
+        return np.array([done[c] for c in range(classes)]).T
+    for _ in range(steps):
+
+        def one_step(batches, w=w):
+            total = np.zeros_like(w)
+            for b in batches:
+                if b.num_rows:
+                    total += _softmax_sums(*parts(b), w)
+            yield by_class(total)
+
+        sums = np.zeros_like(w)
+        for r in rows.mapInArrow(one_step, schema).groupBy("class").agg(F.array(*[F.sum(F.col("sums")[j]) for j in range(d + 1)]).alias("sums")).collect():
+            sums[:, r["class"]] = r["sums"]
+        w = moved(w, sums)
+    return w
+
+
+def logreg_predict(emb: DataFrame, split: DataFrame, d: int, weight_decay: float = 1e-4, epochs: int = 260, class_weight: str = "none", rate: float = 0.3, seed: int = 42) -> DataFrame:
+    """(node_id, label, pred) of the test rows by softmax regression on standardised vectors: max(20, epochs) full-batch steps.
+
+    With ``class_weight`` balanced, a row weighs n / (classes * rows of its class). Of equal scores the lower class wins.
+    """
     rows = split.join(emb, "node_id")
-    train = rows.where("train")
-    counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    test = rows.where(~F.col("train"))
-    if len(counts) < 2:
-        only = next(iter(counts), None)
-        return test.select("node_id", "label", F.lit(only).alias("pred"))
+    train, test = rows.where("train"), rows.where(~F.col("train"))
+    sizes = train.groupBy("label").agg(F.count(F.lit(1)).alias("_size"))
+    codes = cut(dense_index(sizes, "label", "_code"))
+    k, n = codes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
+    if k < 2:
+        return test.select("node_id", "label").join(codes.select(F.col("label").alias("pred")), F.lit(True), "left")  # one row at most
     mean, std = standard_stats(train, "vec", d)
-    ready = lambda f: f.withColumn("features", array_to_vector(standardize(F.col("vec"), mean, [max(s, 1e-8) for s in std])))
-    total, k = sum(counts.values()), len(counts)
-    weight = F.lit(1.0)
-    if class_weight == "balanced":
-        pairs = [x for c, n in counts.items() for x in (F.lit(c), F.lit(total / (k * n)))]
-        weight = F.create_map(*pairs)[F.col("label")]
-    places = {c: i for i, c in enumerate(sorted(counts))}
-    coded = F.create_map(*[x for c, i in places.items() for x in (F.lit(c), F.lit(float(i)))])
-    model = LogisticRegression(family="multinomial", maxIter=max(20, epochs), regParam=weight_decay, standardization=False, labelCol="_code", weightCol="_weight").fit(ready(train).withColumn("_code", coded[F.col("label")]).withColumn("_weight", weight))
-    back = F.create_map(*[x for c, i in places.items() for x in (F.lit(float(i)), F.lit(c))])
-    return model.transform(ready(test)).select("node_id", "label", back[F.col("prediction")].alias("pred"))
+    scaled = lambda df: df.withColumn("vec", standardize(F.col("vec"), mean, [max(s, 1e-8) for s in std]))
+    weight = F.lit(float(n)) / (F.col("_size") * k) if class_weight == "balanced" else F.lit(1.0)
+    ready = scaled(train).join(codes, "label").select("vec", F.col("_code").alias("code"), weight.cast("double").alias("weight"))
+    w = softmax_weights(ready, d, k, float(n), max(20, epochs), rate, weight_decay, seed)
+    kinds = {c: emb.schema["node_id"].dataType.simpleString() if c == "node_id" else split.schema["label"].dataType.simpleString() for c in ("node_id", "label")}
+
+    def guess(batches):
+        for b in batches:
+            x = np.asarray(b.column("vec").flatten(), dtype=np.float64).reshape(b.num_rows, d)
+            yield pa.RecordBatch.from_pydict({"node_id": b.column("node_id"), "label": b.column("label"), "_code": pa.array((x @ w[:-1] + w[-1]).argmax(axis=1) if len(x) else [], pa.int64())})
+
+    coded = scaled(test).select("node_id", "label", "vec").mapInArrow(guess, f"node_id {kinds['node_id']}, label {kinds['label']}, _code long")
+    return coded.join(codes.select("_code", F.col("label").alias("pred")), "_code").select("node_id", "label", "pred")
 
 
 def auc(scored: DataFrame, positive: str = "positive", score: str = "score") -> DataFrame:
@@ -191,11 +259,42 @@ def negative_pairs(edges: DataFrame, index: DataFrame, size: int, seed: int) ->
     return named.join(edges.select("u", "v"), ["u", "v"], "left_anti").orderBy("trial").limit(size).select("u", "v")
 
 
+def _pair_number(i, j):
+    """Number of the pair i < j: all pairs of nodes below j come first."""
+    return F.expr(f"{j} * ({j} - 1) div 2 + {i}")
+
+
 def non_edges(edges: DataFrame, index: DataFrame, size: int, seed: int) -> DataFrame:
-    """Up to ``size`` non-edges without replacement; for small graphs, as all pairs are made."""
-    a, b = index.select(F.col("node_id").alias("u")), index.select(F.col("node_id").alias("v"))
-    rest = a.join(b, F.col("u") < F.col("v")).join(edges.select("u", "v"), ["u", "v"], "left_anti")
-    return rest.orderBy(order_key(seed, F.col("u"), F.col("v")), "u", "v").limit(size)
+    """Up to ``size`` non-edges (u < v) without replacement, without making all pairs.
+
+    ``index`` has (node_id, idx) with idx from 0, ``edges`` each pair once. Pairs are numbered, and non-edges by leaving out
+    the edges' numbers: the r-th non-edge has number r plus the count of edges ahead of it, a running sum over ranges of
+    numbers. Ranks are drawn by hash, the first ``size`` different ones of 4 * size + 100 draws; where half of all non-edges are wanted or more, all
+    ranks are drawn and come in hashed order.
+    """
+    spark = edges.sparkSession
+    n = index.count()
+    at = lambda c, to: index.select(F.col("node_id").alias(c), F.col("idx").alias(to))
+    placed = edges.select("u", "v").join(at("u", "_a"), "u").join(at("v", "_b"), "v").where("_a <> _b")
+    numbers = placed.select(F.least("_a", "_b").alias("i"), F.greatest("_a", "_b").alias("j")).select(_pair_number("i", "j").alias("e")).distinct()
+    ranked = cut(dense_index(numbers, "e", "nth").select((F.col("e") - F.col("nth")).alias("at")))  # non-edges ahead of each edge
+    free = n * (n - 1) // 2 - ranked.count()
+    if free <= 0 or size <= 0:
+        return edges.select("u", "v").limit(0)
+    if 2 * size >= free:
+        drawn = spark.range(free).select(F.col("id").alias("at"), order_key(seed, F.col("id")).alias("turn"))
+    else:
+        wide = F.floor((uniform(seed, F.col("id"), "high") + uniform(seed, F.col("id"), "low") / 2.0**32) * F.lit(float(free))).cast("long")
+        drawn = spark.range(4 * size + 100).select(F.least(wide, F.lit(free - 1)).alias("at"), F.lpad(F.col("id").cast("string"), 20, "0").alias("turn")).groupBy("at").agg(F.min("turn").alias("turn"))
+    drawn = cut(drawn.orderBy("turn", "at").limit(size))
+    per = ranked.select("at", F.lit(1).alias("e")).union(drawn.select("at", F.lit(0))).groupBy("at").agg(F.sum("e").alias("e"))
+    ahead = _running(per, "at", ["e"]).select("at", (F.col("before_e") + F.col("e")).alias("skip"))
+    pairs = drawn.join(ahead, "at").select((F.col("at") + F.col("skip")).alias("p"))
+    near = pairs.withColumn("j", F.floor((1.0 + F.sqrt(1.0 + 8.0 * F.col("p"))) / 2.0).cast("long"))
+    near = near.withColumn("j", F.expr("case when j * (j - 1) div 2 > p then j - 1 when j * (j + 1) div 2 <= p then j + 1 else j end"))
+    ends = near.select(F.expr("p - j * (j - 1) div 2").alias("_i"), F.col("j").alias("_j"))
+    named = ends.join(at("_x", "_i"), "_i").join(at("_y", "_j"), "_j")
+    return named.select(F.least("_x", "_y").alias("u"), F.greatest("_x", "_y").alias("v"))
 
 
 def score_links(emb: DataFrame, positives: DataFrame, negatives: DataFrame) -> DataFrame:
@@ -235,7 +334,7 @@ def evaluate_snapshot(emb: DataFrame, labels: DataFrame, edges: DataFrame, index
                 used, split = "single_random_fallback", random_split(known, how.train_ratio, seed)
             split = cut(split)
             if split.where("train").select("label").distinct().count() >= 2 and not split.where("not train").isEmpty():
-                guess = centroid_predict(emb, split, d) if how.classifier == "centroid" else logreg_predict(emb, split, d, how.weight_decay, how.epochs, how.class_weight)
+                guess = centroid_predict(emb, split, d) if how.classifier == "centroid" else logreg_predict(emb, split, d, how.weight_decay, how.epochs, how.class_weight, seed=seed + r)
                 scores.append(tuple(f1(guess).first()))
             if used == "single_random_fallback":
                 break

@@ -257,12 +257,12 @@ def paper_score(spark, sf_dir):
 
 
 def dense_select(spark, sf_dir):
-    pool = cv.best(_scored(spark, sf_dir), 600)
+    pool = cut(cv.best(_scored(spark, sf_dir), 600))
     return cv.best(cv.dense_rescore(pool), 300).select("id", "score")
 
 
 def unresolved_references(spark, sf_dir):
-    kept = cv.best(_scored(spark, sf_dir), 600)
+    kept = cut(cv.best(_scored(spark, sf_dir), 600))
     edges, missing = cv.resolved_references(kept)
     return edges.agg(F.count(F.lit(1)).alias("resolved")).join(missing, F.lit(True))
 

@@ -202,7 +202,13 @@ SELECT node_id, (count(*) FILTER (place = 0))::BIGINT AS c0, (count(*) FILTER (p
     "reconstruction_scores": f"""WITH {UNIT}, s AS (SELECT a.node_id AS a, b.node_id AS b, list_dot_product(a.vec, b.vec) AS s FROM unit a JOIN unit b ON a.node_id <> b.node_id),
 k AS (SELECT * FROM s WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 3), g AS (SELECT DISTINCT least(a, b) AS u, greatest(a, b) AS v FROM k),
 pos AS (SELECT u, v FROM g ORDER BY md5('42|' || u || '|' || v), u, v LIMIT 200),
-neg AS (SELECT a.node_id AS u, b.node_id AS v FROM unit a JOIN unit b ON a.node_id < b.node_id WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.u = a.node_id AND g.v = b.node_id) ORDER BY md5('42|' || a.node_id || '|' || b.node_id), a.node_id, b.node_id LIMIT 200),
+idx AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS i FROM unit),
+num AS (SELECT e, e - row_number() OVER (ORDER BY e) + 1 AS at FROM (SELECT greatest(a.i, b.i) * (greatest(a.i, b.i) - 1) // 2 + least(a.i, b.i) AS e FROM g JOIN idx a ON a.node_id = g.u JOIN idx b ON b.node_id = g.v)),
+free AS (SELECT (SELECT count(*) * (count(*) - 1) // 2 FROM idx) - (SELECT count(*) FROM num) AS n),
+draws AS (SELECT t, floor(({_u(42, 't', "'high'")} + {_u(42, 't', "'low'")} / 4294967296.0::DOUBLE) * n::DOUBLE)::BIGINT AS r FROM range(0, 900) d(t), free),
+ranks AS (SELECT r FROM draws GROUP BY r ORDER BY min(t) LIMIT 200),
+picked AS (SELECT r + (SELECT count(*) FROM num WHERE num.at <= r) AS p FROM ranks),
+neg AS (SELECT least(a.node_id, b.node_id) AS u, greatest(a.node_id, b.node_id) AS v FROM picked JOIN idx b ON b.i * (b.i - 1) // 2 <= p AND b.i * (b.i + 1) // 2 > p JOIN idx a ON a.i = p - b.i * (b.i - 1) // 2),
 ps AS (SELECT s FROM pos JOIN s ON s.a = u AND s.b = v), ns AS (SELECT s FROM neg JOIN s ON s.a = u AND s.b = v)
 SELECT round(avg(CASE WHEN ps.s > ns.s THEN 1.0::DOUBLE WHEN ps.s = ns.s THEN 0.5::DOUBLE ELSE 0 END), 6) AS auc FROM ps, ns""",
 }

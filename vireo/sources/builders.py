@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vireo.functions import rng
@@ -11,6 +10,7 @@ from vireo.functions import text as tx
 from vireo.functions import vectors as vx
 from vireo.operators.convert import dense_from_sparse, top_columns
 from vireo.operators.graph import both_ways, canonical, dense_index, restrict, shared_targets
+from vireo.runtime import cut
 
 
 def social_graph(links: DataFrame, order: DataFrame, features: DataFrame, classes: DataFrame, max_nodes: int, updates: int = 3000, seed: int = 42) -> dict[str, DataFrame]:
@@ -37,21 +37,42 @@ def product_matrix(cells: DataFrame, features: DataFrame, classes: DataFrame, ma
     return {"edges": edges, "features": own(features), "labels": own(classes).select("row", vx.argmax(F.col("vec")).cast("long").alias("label"))}
 
 
-def citation_graph(links: DataFrame, cells: DataFrame, max_nodes: int, columns: int = 64, fan: int = 32) -> dict[str, DataFrame]:
-    """Nodes with links and their first ``fan`` neighbours, up to ``max_nodes``; top attribute columns, else the degree."""
-    edges = canonical(links)
-    ways = both_ways(edges)
-    near = ways.withColumn("k", F.row_number().over(W.partitionBy("u").orderBy("v"))).where(F.col("k") <= fan)
-    seeds = near.select(F.col("u").alias("node_id"), F.lit(0).alias("rank")).union(near.select("v", F.lit(1)))
-    kept = seeds.groupBy("node_id").agg(F.min("rank").alias("rank")).orderBy("rank", "node_id").limit(max_nodes).select("node_id")
-    edges = restrict(edges, kept)
-    own = cells.join(kept, "node_id", "left_semi")
-    top = top_columns(own, columns)
-    vecs = dense_from_sparse(own, top, columns)
-    degree = both_ways(edges).groupBy(F.col("u").alias("node_id")).agg(F.count(F.lit(1)).cast("double").alias("d"))
-    filler = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: F.when(j == 0, F.coalesce("d", F.lit(0.0))).otherwise(0.0))
-    features = kept.join(vecs, "node_id", "left").join(degree, "node_id", "left").select("node_id", F.coalesce("vec", filler).alias("vec"))
-    return {"edges": edges, "features": features}
+def citation_graph(adjacency: DataFrame, cells: DataFrame, classes: DataFrame, max_nodes: int, max_edges: int = 200_000, columns: int = 64, fan: int = 32) -> dict[str, DataFrame]:
+    """The first ``max_nodes`` nodes that a walk meets, and their first ``max_edges`` edges.
+
+    The walk takes all rows in order that have neighbours, each row and then its first ``fan`` neighbours. So a node's turn is
+    the least (row, slot) at which it stands, and which nodes are met first is a minimum per node and a rank, not a
+    loop. Edges come in the order of their first mention by the chosen nodes. Nodes are named m0, m1, ... by their turn.
+
+    ``adjacency`` has (row, slot, col), slots from 0; ``cells`` (row, col, value) of attributes; ``classes`` (row, label) of all nodes there are.
+    Without attributes among the nodes, features are degree, its log1p and its share of the greatest degree.
+    """
+    known = classes.select("row")
+    ways = adjacency.select("row", "slot", "col")
+    own = ways.groupBy("row").agg(F.lit(-1).cast("long").alias("slot")).join(known, "row", "left_semi").select("row", "slot", F.col("row").alias("node"))
+    near = ways.where(F.col("slot") < fan).join(known, "row", "left_semi").select("row", "slot", F.col("col").alias("node")).join(known.select(F.col("row").alias("node")), "node", "left_semi").select("row", "slot", "node")
+    turns = own.union(near).groupBy("node").agg(F.min(F.struct("row", "slot")).alias("turn"))
+    met = cut(dense_index(turns.orderBy("turn").limit(max_nodes), "turn", "place").select("node", "place"))
+    if met.isEmpty():
+        raise ValueError("no node has a neighbour")
+    a, b = met.select(F.col("node").alias("row"), F.col("place").alias("i")), met.select(F.col("node").alias("col"), F.col("place").alias("j"))
+    mentions = ways.join(a, "row").join(b, "col").where("i <> j").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.struct("i", "slot").alias("turn"))
+    edges = cut(mentions.groupBy("a", "b").agg(F.min("turn").alias("turn")).orderBy("turn").limit(max_edges).select("a", "b"))
+    name = lambda c: F.concat(F.lit("m"), F.col(c).cast("string"))
+    own_cells = cut(cells.join(a, "row").select(name("i").alias("node_id"), "col", "value"))
+    nodes = met.select(name("place").alias("node_id"), "place")
+    if own_cells.isEmpty():
+        ends = edges.select(F.col("a").alias("place")).union(edges.select("b")).groupBy("place").agg(F.count(F.lit(1)).cast("double").alias("d"))
+        most = F.lit(float(max(ends.agg(F.max("d")).first()[0] or 1.0, 1.0)))
+        d = F.coalesce("d", F.lit(0.0))
+        features = nodes.join(ends, "place", "left").select("node_id", F.array(d, F.log1p(d), d / most).alias("vec"))
+    else:
+        top = cut(top_columns(own_cells, columns))
+        width = top.count()
+        none = F.array_repeat(F.lit(0.0), width)
+        features = nodes.join(dense_from_sparse(own_cells, top, width), "node_id", "left").select("node_id", F.coalesce("vec", none).alias("vec"))
+    labels = classes.join(a, "row").select(name("i").alias("node_id"), F.col("label").cast("long").alias("label"))
+    return {"edges": edges.select(name("a").alias("src"), name("b").alias("dst")), "features": features, "labels": labels}
 
 
 def ego_network(ego: str, links: DataFrame, circles: DataFrame, bits: DataFrame, columns: int = 128, max_edges: int = 0) -> dict[str, DataFrame]:
