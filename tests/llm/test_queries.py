@@ -32,6 +32,16 @@ def test_pipeline_stages(spark, sf_dir, tmp_path):
     assert corpus_pipeline.run(spark, sf_dir).count() == n
 
 
+def test_pipeline_with_clashing_columns(spark, sf_dir):
+    """Columns named as the stages' own change nothing in the result."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    odd = docs.selectExpr("*", "0 as _lang_score", "'und' as _LANG_PRED", "0 as _n_dropped", "7 as _n_lines")
+    for stage in (corpus_pipeline.language_id, corpus_pipeline.line_dedup):
+        plain, other = stage(spark, docs, sf_dir), stage(spark, odd, sf_dir)
+        assert other.columns == odd.columns and plain.count() > 100
+        assert other.select(docs.columns).exceptAll(plain).isEmpty() and plain.exceptAll(other.select(docs.columns)).isEmpty()
+
+
 def test_pipeline_on_an_empty_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
