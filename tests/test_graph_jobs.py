@@ -11,7 +11,7 @@ from vireo.models.projection import smoothed
 from vireo.models.spectral import spectral_embedding
 from vireo.operators import blocks
 from vireo.operators import evaluate as ev
-from vireo.operators.convert import ConvertConfig, convert, record_counters
+from vireo.operators.convert import ConvertConfig, convert, enough_ids, record_counters
 from vireo.operators.graph import normalized
 from vireo.runtime import cut
 from vireo.sources import archives, builders
@@ -210,3 +210,33 @@ def test_conversion_reads_archives_once_and_counts(spark, tmp_path):
     assert out.counters["duplicate_ids"] == 3 and opened.value == len(records)
     assert {k: out.counters[k] for k in ("records_total", "missing_id", "invalid_year", "out_of_range", "accepted")} == record_counters(raw, config).first().asDict() == {"records_total": 11, "missing_id": 1, "invalid_year": 1, "out_of_range": 1, "accepted": 8}
     assert out.edges.count() == 0
+
+
+def test_prefix_opens_no_member_behind_the_cut(spark, tmp_path, monkeypatch):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        for k in (3, 1, 2, 0, 5, 4):  # scanned in the order of the directory, not of names
+            z.writestr(f"m{k}.JSON", "\n".join(json.dumps({"id": f"p{k}-{i % 3}", "year": 2000, "venue": "V", "references": []}) for i in range(5)))
+        z.writestr("readme.txt", "x")
+    config = ConvertConfig(max_papers=4, strategy="legacy", min_venue_support=1, feature_dim=4)
+    lots = []
+    whole = archives.member_lines
+    monkeypatch.setattr(archives, "member_lines", lambda members, most: (lots.append(sorted(r["member"] for r in members.collect())), whole(members, most))[1])
+    early = archives.read_until(spark, str(tmp_path / "*.zip"), enough_ids(config), first=1)
+    assert lots == [["m3.JSON"], ["m1.JSON", "m2.JSON"]]
+    every = convert(archives.read_records(spark, str(tmp_path / "*.zip")), config)
+    got = convert(early, config)
+    assert sorted(map(tuple, got.labels.collect())) == sorted(map(tuple, every.labels.collect())) == [("p1-0", 0), ("p3-0", 0), ("p3-1", 0), ("p3-2", 0)]
+    assert got.counters == every.counters and got.counters["records_total"] == 6 and got.counters["duplicate_ids"] == 2
+
+
+def test_archive_beyond_two_gigabytes_is_shared_by_tasks(spark, tmp_path):
+    with open(tmp_path / "big.zip", "wb") as out:
+        out.seek(2_300_000_000)  # a hole ahead of the archive, which takes no disk
+        out.write(b"x")
+    with zipfile.ZipFile(tmp_path / "big.zip", "a") as z:
+        for k in range(3):
+            z.writestr(f"{k}.json", b'{"id": "p"}\n\n{"id": "' + b"y" * 300 + b'"}\nno json\n{"id": "\xff"}\n{"id": "last"}')
+    lines = archives.zip_lines(spark, str(tmp_path / "*.zip"), max_bytes=100)
+    assert lines.rdd.getNumPartitions() == 3
+    assert sorted((r["number"], r["line_no"], r["raw"]) for r in lines.collect() if r["number"] == 1) == [(1, 0, '{"id": "p"}'), (1, 3, "no json"), (1, 4, None), (1, 5, '{"id": "last"}')]
+    assert archives.json_records(lines).count() == 6

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -143,20 +143,32 @@ def best(papers: DataFrame, n: int) -> DataFrame:
     return papers if not n else papers.orderBy(F.desc("score"), F.desc("year"), F.asc("id")).limit(n)
 
 
+def id_limit(config: ConvertConfig) -> int:
+    """How many distinct ids are scanned for; 0 is all."""
+    config = config.resolved()
+    return config.max_papers * config.candidate_multiplier if config.strategy == "dense" else config.max_papers
+
+
+def enough_ids(config: ConvertConfig):
+    """Whether records bring as many distinct valid ids as are scanned for; never if all are."""
+    limit = id_limit(config)
+    return lambda records: bool(limit) and valid_records(records, config).select("id").distinct().limit(limit).count() >= limit
+
+
 def select_papers(records: DataFrame, config: ConvertConfig, counters: dict | None = None) -> DataFrame:
     """The papers kept, with label (-1 if none) and score.
 
-    ``records`` is read once; ``counters`` gets what that scan counts, and duplicate_ids, the records whose id an
-    earlier one of the scanned prefix has.
+    ``records`` is read once. ``counters`` gets the counts of the scanned prefix, and duplicate_ids, its
+    accepted records whose id an earlier one has.
     """
     config = config.resolved()
-    limit = config.max_papers * config.candidate_multiplier if config.strategy == "dense" else config.max_papers
-    seen = Observation()
-    valid = cut(valid_records(records.observe(seen, *counter_columns(config)), config))
-    scanned = cut(prefix(valid, limit))
+    limit = id_limit(config)
+    raw = cut(records)
+    scanned = cut(prefix(valid_records(raw, config), limit))
     if counters is not None:
         rows, ids = scanned.agg(F.count(F.lit(1)), F.count_distinct("id")).first()
-        counters |= seen.get | {"duplicate_ids": rows - ids}
+        read = raw if ids < limit or not limit else raw.join(F.broadcast(scanned.agg(F.max("seq").alias("_last"))), F.col("seq") <= F.col("_last"))  # one row
+        counters |= record_counters(read, config).first().asDict() | {"duplicate_ids": rows - ids}
     papers = paper_scores(first_per_id(scanned), in_counts(scanned), venue_support(scanned, config.min_venue_support))
     if not config.keep_unlabeled:
         papers = papers.where(F.col("label").isNotNull())

@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vireo.operators.convert import PROFILES, ConvertConfig, convert
+from vireo.operators.convert import PROFILES, ConvertConfig, convert, enough_ids
 from vireo.runtime import session
 from vireo.sources import archives, sinks
 from vireo.sources.tables import FILES, UPDATES
@@ -36,7 +36,7 @@ def convert_archives(spark: SparkSession, input_glob: str, output_dir: str, conf
     config = config.resolved()
     if not dry_run:
         sinks.guard_outputs(spark, output_dir, FILES, overwrite)
-    out = convert(archives.read_records(spark, input_glob, config.max_record_bytes, strict), config)
+    out = convert(archives.read_until(spark, input_glob, enough_ids(config), config.max_record_bytes, strict), config)
     if dry_run:
         return {k: v for k, v in out.counters.items() if k != "unresolved_references"}
     parts = {"features": wide(out.features, "features", config.feature_dim), "labels": out.labels, "edges": out.edges}
