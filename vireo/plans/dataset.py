@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vireo.operators.convert import PROFILES, ConvertConfig, convert, enough_ids
 from vireo.runtime import session
 from vireo.sources import archives, sinks
+from vireo.sources.builders import BUILDERS
 from vireo.sources.tables import FILES, UPDATES
 
 
@@ -53,6 +54,26 @@ def convert_archives(spark: SparkSession, input_glob: str, output_dir: str, conf
     return counters
 
 
+def build_dataset(spark: SparkSession, kind: str, inputs: dict[str, str], output_dir: str, overwrite: bool = False, **options) -> dict:
+    """Tables of a builder (``sources.builders``) as CSV; returns how many rows each has. Existing tables are an error unless ``overwrite``."""
+    build, needed = BUILDERS[kind]
+    missing = [n for n in needed if n not in inputs]
+    if missing or set(inputs) - set(needed):
+        raise ValueError(f"{kind} takes the inputs {', '.join(needed)}")
+    sinks.guard_outputs(spark, output_dir, FILES, overwrite)
+    sinks.remove_stale(spark, f"{output_dir}/{UPDATES}")
+    tables, counts = build(spark, **inputs, **options), {}
+    for name, rows in tables.items():
+        path = f"{output_dir}/{UPDATES if name == 'updates' else name + '.csv'}"
+        if "vec" in rows.columns:
+            dim = tables["features"].agg(F.max(F.size("vec"))).first()[0] or 1
+            rows = wide(rows, "vec", dim)
+        sinks.write_table(rows, path, True, "csv")
+        counts[f"written_{name}"] = spark.read.option("header", True).csv(path).count()
+    validate(spark, output_dir)
+    return counts
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="vireo-dataset")
     for flag in ("convert", "validate-only", "dry-run", "overwrite", "fail-on-malformed", "keep-unlabeled", "include-attr-updates"):
@@ -63,6 +84,10 @@ def parser() -> argparse.ArgumentParser:
         out.add_argument(f"--{flag}", type=int)
     for flag in ("min-year", "max-year"):
         out.add_argument(f"--{flag}", type=int, default=0)
+    out.add_argument("--build", choices=list(BUILDERS), help="make a dataset of this kind from --input files")
+    out.add_argument("--input", action="append", default=[], metavar="NAME=PATH")
+    for flag in ("max-nodes", "max-edges"):
+        out.add_argument(f"--{flag}", type=int)
     out.add_argument("--input-glob", default="dataset/*.zip")
     out.add_argument("--output-dir", default="data")
     return out
@@ -72,6 +97,12 @@ def main(argv: list[str] | None = None) -> dict:
     """Without ``--convert`` the folder is only validated."""
     args = parser().parse_args(argv)
     spark = session()
+    if args.build:
+        options = {k: v for k, v in (("max_nodes", args.max_nodes), ("max_edges", args.max_edges)) if v is not None}
+        counts = build_dataset(spark, args.build, dict(x.split("=", 1) for x in args.input), args.output_dir, args.overwrite, **options)
+        for name, value in sorted(counts.items()):
+            print(f"{name}: {value}")
+        return counts
     if args.validate_only or not args.convert:
         print(f"complete: {validate(spark, args.output_dir)}")
         if not args.convert:

@@ -156,29 +156,53 @@ def npy_rows(spark: SparkSession, path: str, key: str | None = None, first: int
 
     def run(frames):
         for f in frames:
-            for content in f["content"]:
-                data = np.load(io.BytesIO(content), allow_pickle=False)
-                array = data[key] if key else data
-                array = array[:first] if first else array
-                array = array.reshape(len(array), -1).astype(float)
-                for at in range(0, len(array), 4096):
-                    part = array[at : at + 4096]
-                    yield pd.DataFrame({"row": np.arange(at, at + len(part)), "vec": list(part)})
+            for where, content in zip(f["path"], f["content"], strict=True):
+                with _open(where, content) as held:
+                    data = np.load(held, allow_pickle=False)
+                    array = data[key] if key else data
+                    array = array[:first] if first else array
+                    array = array.reshape(len(array), -1)
+                    for at in range(0, len(array), 4096):
+                        part = array[at : at + 4096].astype(float)
+                        yield pd.DataFrame({"row": np.arange(at, at + len(part)), "vec": list(part)})
+
+    return _listed(spark, path).mapInPandas(run, "row long, vec array<double>")
+
 
-    return _files(spark, path).mapInPandas(run, "row long, vec array<double>")
+def csr_slots(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """(row, slot, col, value) of a CSR matrix in an .npz with data, indices and indptr; slots are places in a row. Without data all values are 1."""
+    columns = "row long, slot long, col long, value double"
+
+    def run(frames):
+        for f in frames:
+            for where, content in zip(f["path"], f["content"], strict=True):
+                with _open(where, content) as held:
+                    z = np.load(held, allow_pickle=False)
+                    indices, indptr = (z[f"{prefix}{k}"] for k in ("indices", "indptr"))
+                    data = z[f"{prefix}data"] if f"{prefix}data" in z.files else np.ones(len(indices))
+                    for at in range(0, len(indices), 1 << 18):
+                        place = np.arange(at, min(at + (1 << 18), len(indices)))
+                        row = np.searchsorted(indptr, place, side="right") - 1
+                        yield pd.DataFrame({"row": row, "slot": place - indptr[row], "col": indices[place], "value": data[place].astype(float)})
+
+    return _listed(spark, path).mapInPandas(run, columns)
 
 
 def csr_entries(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
-    """(row, col, value) of a CSR matrix in an .npz with data, indices and indptr."""
+    """(row, col, value) of a CSR matrix in an .npz."""
+    return csr_slots(spark, path, prefix).select("row", "col", "value")
+
+
+def csr_rows(spark: SparkSession, path: str, prefix: str = "") -> int:
+    """How many rows a CSR matrix in an .npz has."""
 
     def run(frames):
         for f in frames:
-            for content in f["content"]:
-                z = np.load(io.BytesIO(content), allow_pickle=False)
-                data, indices, indptr = (z[f"{prefix}{k}"] for k in ("data", "indices", "indptr"))
-                yield pd.DataFrame({"row": np.repeat(np.arange(len(indptr) - 1), np.diff(indptr)), "col": indices, "value": data.astype(float)})
+            for where, content in zip(f["path"], f["content"], strict=True):
+                with _open(where, content) as held:
+                    yield pd.DataFrame({"n": [len(np.load(held, allow_pickle=False)[f"{prefix}indptr"]) - 1]})
 
-    return _files(spark, path).mapInPandas(run, "row long, col long, value double")
+    return _listed(spark, path).mapInPandas(run, "n long").agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
 
 
 def node_link(spark: SparkSession, path: str) -> DataFrame:
