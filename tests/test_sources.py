@@ -67,7 +67,7 @@ def test_vectors_must_be_finite(spark, tmp_path, bad):
 
 def test_missing_files_and_columns(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
-        tables.resolve(str(tmp_path / "none"))
+        tables.resolve(spark, str(tmp_path / "none"))
     with pytest.raises(ValueError, match="dst"):
         tables.edges(tables.read_csv(spark, put(tmp_path / "e.csv", "src,x\na,b\n")))
 
@@ -125,14 +125,17 @@ def test_evaluate_separable(spark):
 
 def test_sinks(spark, tmp_path):
     rows = [{"snapshot": i, "model": "m", "macro_f1": 0.5, "link_auc": 0.7} for i in range(3)]
-    sinks.write_metrics(str(tmp_path / "m.csv"), rows)
+    sinks.write_metrics(spark, str(tmp_path / "m.csv"), rows)
     assert sinks.read_metrics(spark, str(tmp_path / "m.csv")).count() == 3
-    sinks.curves_svg(str(tmp_path / "m.svg"), rows)
+    sinks.curves_svg(spark, str(tmp_path / "m.svg"), rows)
     with pytest.raises(FileExistsError):
         sinks.guard_outputs(spark, str(tmp_path), ["m.csv"], False)
     for _ in range(2):
         table = append_results(spark, str(tmp_path / "all.csv"), {"algo": "x", "num_nodes": 3})
     assert table.count() == 2 and table.columns == list(COLUMNS) and table.first()["model"] == "x"
+    put(tmp_path / "old.csv", "algo,num_nodes,extra\ny,7,z\n")
+    table = append_results(spark, str(tmp_path / "old.csv"), {"model": "x"})
+    assert sorted((r["model"], r["nodes"]) for r in table.collect()) == [("x", ""), ("y", "7")] and list(COLUMNS) == table.columns
 
 
 def test_arrays(spark, tmp_path):
@@ -237,11 +240,66 @@ def test_run_options_are_checked(spark):
         parser().parse_args(["--snapshot-mode", "x"])
 
 
-def test_run_files(spark, tmp_path):
+@pytest.fixture(scope="module")
+def mount(spark, tmp_path_factory):
+    folder = tmp_path_factory.mktemp("store")
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.store.link./in", f"file://{folder}")
+    return folder
+
+
+@pytest.fixture
+def store(mount, request):
+    """(a folder under a path that only Hadoop's file systems can open, the same folder as a local path)."""
+    local = mount / request.node.name
+    local.mkdir()
+    return f"viewfs://store/in/{local.name}", local
+
+
+SMALL = {"dim": 4, "synthetic_nodes": 24, "synthetic_classes": 2, "synthetic_features": 4, "synthetic_rounds": 1, "eval_protocol": "single_random", "classifier": "centroid"}
+
+
+def test_run_files(spark, store, monkeypatch):
     from vireo.plans.run import RunConfig, run
 
-    got = run(spark, RunConfig(output_dir=str(tmp_path), dim=4, quantize=True, binary_quantize=True, synthetic_nodes=24, synthetic_classes=2, synthetic_features=4, synthetic_rounds=1, eval_protocol="single_random", classifier="centroid"))
-    q, scale, bits = (np.load(tmp_path / f"final_embedding_{k}.npy") for k in ("int8", "int8_scale", "binary"))
-    x = np.load(tmp_path / "final_embedding.npy")
+    store, local = store
+    got = run(spark, RunConfig(output_dir=f"{store}/out", quantize=True, binary_quantize=True, **SMALL))
+    out = local / "out"
+    q, bits, x = (np.load(out / f"final_embedding{k}.npy") for k in ("_int8", "_binary", ""))
+    scale = np.array([float(v) for v in (out / "final_embedding_int8_scale.csv").read_text().split()[1:]])
     assert q.dtype == bits.dtype == np.int8 and np.abs(q * scale - x).max() <= scale.max() / 2 + 1e-9 and ((x >= 0) == (bits > 0)).all()
-    assert got["num_snapshots"] == 2 and json.loads((tmp_path / "summary.json").read_text())["ablation_tag"] == "full"
+    table = spark.read.parquet(f"{store}/out/final_embedding").orderBy("idx").collect()
+    assert np.allclose([r["vec"] for r in table], x) and [r["idx"] for r in table] == list(range(24))
+    assert got["num_snapshots"] == 2 and json.loads((out / "summary.json").read_text())["ablation_tag"] == "full"
+    assert spark.read.option("header", True).csv(f"{store}/out/node_mapping.csv").count() == 24
+    monkeypatch.setattr(sinks, "NPY_LIMIT", 10)
+    run(spark, RunConfig(output_dir=f"{store}/out", **SMALL))
+    assert not (out / "final_embedding.npy").exists() and spark.read.parquet(f"{store}/out/final_embedding").count() == 24
+    assert spark.read.option("header", True).csv(f"{store}/out/all_results.csv").count() == 2
+
+
+def test_file_run_from_a_store(spark, store):
+    from vireo.plans.run import RunConfig, run
+
+    store, tmp_path = store
+    (tmp_path / "data").mkdir()
+    put(tmp_path / "data/edges.csv", "src,dst,time\n" + "\n".join(f"u{i % 14:02d},u{(i * 5 + 1 + i // 30) % 14:02d},{i}" for i in range(60)))
+    put(tmp_path / "data/features.csv", "node_id,f1,f2\n" + "\n".join(f"u{i:02d},{i},{i % 3}" for i in range(16)))
+    put(tmp_path / "data/labels.csv", "node_id,label\n" + "\n".join(f"u{i:02d},{i % 2}" for i in range(16)))
+    options = {"dim": 4, "snapshots": 2, "eval_protocol": "repeated_stratified", "eval_repeats": 2, "classifier": "centroid", "label_cleanup_mode": "eval_only", "min_class_support": 3}
+    got = run(spark, RunConfig(mode="file", data_dir=f"{store}/data", output_dir=f"{store}/run", model="attention", hidden_dim=6, **options))
+    assert (got["num_nodes"], got["feature_dim"], got["num_snapshots"], got["f1_eval_protocol_used"]) == (16, 2, 2, "repeated_stratified")
+    assert got["final_labeled_nodes"] == 16 and got["final_eval_class_count"] == 2 and got["dataset"] == "file"
+    metrics = sinks.read_metrics(spark, f"{store}/run/metrics_per_snapshot.csv").orderBy("snapshot").collect()
+    assert [r["snapshot"] for r in metrics] == [0, 1] and metrics[0]["compute_update_latency_ms"] is None and metrics[1]["batch_events"] > 0
+
+
+def test_matrix_of_runs(spark, tmp_path):
+    from vireo.plans.run import RunConfig, main, matrix
+
+    with pytest.raises(ValueError, match="whole"):
+        matrix(spark, RunConfig(), rates=(0,))
+    flags = [x for k, v in (SMALL | {"synthetic_rounds": 0}).items() for x in (f"--{k.replace('_', '-')}", str(v))]
+    rows = main([*flags, "--model", "spectral", "--matrix-rates", "500", "900", "--output-dir", str(tmp_path)])
+    assert [(r["stage"], r["update_rate"], r["ablation_tag"]) for r in rows] == [("rate", 500.0, "full"), ("rate", 900.0, "full"), ("ablation", 0.0, "full"), ("ablation", 0.0, "w/o-Inc")]
+    sizes = {n: len((tmp_path / f"{n}_results.csv").read_text().splitlines()) - 1 for n in ("rate", "ablation", "combined")}
+    assert sizes == {"rate": 2, "ablation": 2, "combined": 4} and (tmp_path / "ablation-1" / "summary.json").exists()

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import argparse
-import os
 import time
 from dataclasses import asdict, dataclass, fields, replace
 
-import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +23,7 @@ from vireo.streaming.replay import effective_rate, percentile, replay
 MODELS = ("projection", "spectral", "attention")
 
 
+# The defaults of the options.
 @dataclass(frozen=True)
 class RunConfig:
     mode: str = "synthetic"
@@ -172,18 +171,17 @@ def run(spark: SparkSession, c: RunConfig) -> dict:
     rows, summary, model, index = measured(spark, c)
     if not c.output_dir:
         return summary
-    os.makedirs(c.output_dir, exist_ok=True)
-    at = lambda name: os.path.join(c.output_dir, name)
-    sinks.write_metrics(at("metrics_per_snapshot.csv"), rows)
+    at = lambda name: f"{c.output_dir}/{name}"
+    sinks.write_metrics(spark, at("metrics_per_snapshot.csv"), rows)
     sinks.write_node_mapping(at("node_mapping.csv"), index)
-    sinks.write_summary(at("summary.json"), summary)
-    sinks.write_npy(at("final_embedding.npy"), model.embedding(), index)
+    sinks.write_summary(spark, at("summary.json"), summary)
+    sinks.write_embedding(spark, at("final_embedding"), model.embedding(), index)
     if isinstance(model, ProjectionModel) and c.quantize:
-        sinks.write_npy(at("final_embedding_int8.npy"), model.quantized(), index, "q", "int8")
-        np.save(at("final_embedding_int8_scale.npy"), np.array(model.scales))
+        sinks.write_embedding(spark, at("final_embedding_int8"), model.quantized(), index, "q", "int8")
+        sinks.write_one_csv(spark, at("final_embedding_int8_scale.csv"), ["scale"], [[x] for x in model.scales])
     if isinstance(model, ProjectionModel) and c.binary_quantize:
-        sinks.write_npy(at("final_embedding_binary.npy"), model.signs(), index, "b", "int8")
-    sinks.curves_svg(at("metrics_curves.svg"), rows)
+        sinks.write_embedding(spark, at("final_embedding_binary"), model.signs(), index, "b", "int8")
+    sinks.curves_svg(spark, at("metrics_curves.svg"), rows)
     append_results(spark, at("all_results.csv"), summary)
     return summary
 
@@ -197,11 +195,11 @@ def matrix(spark: SparkSession, base: RunConfig, rates=(10, 100, 1000), out_dir:
     rows = []
     for stage, configs in stages.items():
         for k, c in enumerate(configs):
-            rows.append({"stage": stage} | run(spark, replace(c, output_dir=os.path.join(out_dir, f"{stage}-{k}") if out_dir else "")))
+            rows.append({"stage": stage} | run(spark, replace(c, output_dir=f"{out_dir}/{stage}-{k}" if out_dir else "")))
     if out_dir:
         for stage in (*stages, "combined"):
             own = [r for r in rows if stage in (r["stage"], "combined")]
-            sinks.write_one_csv(os.path.join(out_dir, f"{stage}_results.csv"), list(rows[0]), [list(r.values()) for r in own])
+            sinks.write_one_csv(spark, f"{out_dir}/{stage}_results.csv", list(rows[0]), [list(r.values()) for r in own])
     return rows
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,6 +43,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+@contextmanager
+def planned_once(spark: SparkSession):
+    """Plans made inside run as one job each.
+
+    Adaptive execution makes a job of every exchange, with all stages behind it anew, which long chains of exchanges
+    of known size have nothing from.
+    """
+    key = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def release(spark: SparkSession) -> None:
     """Let the cleaner drop shuffle and checkpoint files that no plan refers to any more."""
     gc.collect()

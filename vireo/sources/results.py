@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vireo.sources.sinks import exists, replace, write_table
+
 #: The columns and the names they have had.
 COLUMNS: dict[str, tuple[str, ...]] = {
     "dataset": ("dataset",),
@@ -43,13 +45,15 @@ def merge_aliases(rows: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 
 def append_results(spark: SparkSession, path: str, summary: dict) -> DataFrame:
-    """Adds a run to the CSV table at ``path``, bringing old rows to the current columns."""
-    row = spark.createDataFrame([{k: "" if v is None else str(v) for k, v in summary.items()}])
-    table = merge_aliases(row)
-    if os.path.exists(path):
-        table = merge_aliases(spark.read.option("header", True).csv(path)).unionByName(table)
-    from vireo.sources.sinks import write_one_csv
-
-    rows = table.collect()
-    write_one_csv(path, list(COLUMNS), [list(r) for r in rows])
-    return spark.createDataFrame(rows, table.schema)
+    """Adds a run to the CSV table at ``path``, on any store, and returns the table with the current columns.
+
+    A table with other columns (of an earlier layout) is first brought to the current ones; else a row is appended as a part file of its own, so nothing is read or rewritten.
+    """
+    row = merge_aliases(spark.createDataFrame([{k: "" if v is None else str(v) for k, v in summary.items()}]))
+    have = spark.read.option("header", True).csv(path) if exists(spark, path) else None
+    if have is not None and have.columns != list(COLUMNS):
+        fresh = f"{path}.{uuid.uuid4().hex}.part"
+        write_table(merge_aliases(have), fresh, False, "csv")
+        replace(spark, fresh, path)
+    row.coalesce(1).write.mode("append").option("header", True).csv(path)
+    return merge_aliases(spark.read.option("header", True).csv(path))

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
-import os
-import tempfile
+import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -21,20 +21,39 @@ METRICS = (
 )
 
 
-def write_one_csv(path: str, header: Iterable[str], rows: Iterable[Iterable]) -> None:
-    """A small table to one file, which appears whole or not at all."""
-    folder = os.path.dirname(os.path.abspath(path))
-    os.makedirs(folder, exist_ok=True)
-    handle, temp = tempfile.mkstemp(dir=folder, suffix=".part")
+def _on(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, so that any store a table can be on will do."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file, which appears whole or not at all: it is written beside its place and renamed into it."""
+    store, where = _on(spark, path)
+    folder = where.getParent()
+    if folder is not None:
+        store.mkdirs(folder)
+    _, draft = _on(spark, f"{path}.{uuid.uuid4().hex}.part")
     try:
-        with os.fdopen(handle, "w", newline="", encoding="utf-8") as out:
-            writer = csv.writer(out)
-            writer.writerow(header)
-            writer.writerows(rows)
-        os.replace(temp, path)
-    except BaseException:
-        os.unlink(temp)
-        raise
+        out = store.create(draft)
+        for k in range(0, len(content), 1 << 20):
+            out.write(bytearray(content[k : k + (1 << 20)]))
+        out.close()
+        if store.exists(where):
+            store.delete(where, False)
+        if not store.rename(draft, where):
+            raise OSError(f"{path} can't be written")
+    finally:
+        store.delete(draft, False)
+
+
+def write_one_csv(spark: SparkSession, path: str, header: Iterable[str], rows: Iterable[Iterable]) -> None:
+    """A small table to one file on any store."""
+    text = io.StringIO(newline="")
+    writer = csv.writer(text)
+    writer.writerow(header)
+    writer.writerows(rows)
+    put(spark, path, text.getvalue().encode())
 
 
 def write_table(df: DataFrame, path: str, overwrite: bool = False, fmt: str = "parquet") -> None:
@@ -43,8 +62,8 @@ def write_table(df: DataFrame, path: str, overwrite: bool = False, fmt: str = "p
     (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
 
 
-def write_metrics(path: str, rows: list[dict]) -> None:
-    write_one_csv(path, METRICS, [["" if r.get(c) is None else r[c] for c in METRICS] for r in rows])
+def write_metrics(spark: SparkSession, path: str, rows: list[dict]) -> None:
+    write_one_csv(spark, path, METRICS, [["" if r.get(c) is None else r[c] for c in METRICS] for r in rows])
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -58,26 +77,32 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def write_summary(path: str, summary: dict) -> None:
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as out:
-        json.dump(summary, out, indent=2, ensure_ascii=False)
+def write_summary(spark: SparkSession, path: str, summary: dict) -> None:
+    put(spark, path, json.dumps(summary, indent=2, ensure_ascii=False).encode())
 
 
-def write_npy(path: str, emb: DataFrame, index: DataFrame, vec: str = "vec", dtype: str = "float64") -> None:
-    """Rows in index order as one .npy file, for embeddings that fit the driver."""
-    rows = emb.join(index, "node_id").orderBy("idx").select(vec).toLocalIterator()
-    np.save(path, np.array([list(r[0]) for r in rows], dtype=dtype))
+#: Numbers up to which an embedding is also written as one .npy file, through the driver: 128 MB of doubles.
+NPY_LIMIT = 1 << 24
 
 
-def write_node_mapping(path: str, index: DataFrame) -> None:
-    write_one_csv(path, ("node_id", "index"), ((r["node_id"], r["idx"]) for r in index.orderBy("idx").toLocalIterator()))
+def write_embedding(spark: SparkSession, path: str, emb: DataFrame, index: DataFrame, vec: str = "vec", dtype: str = "float64", overwrite: bool = True) -> None:
+    """Rows with their index as the Parquet table ``path``, as the tasks write them; and as ``path``.npy in index order where that is ``NPY_LIMIT`` numbers at most."""
+    rows = emb.join(index, "node_id").select("idx", "node_id", vec)
+    write_table(rows.repartitionByRange("idx").sortWithinPartitions("idx"), path, overwrite)
+    table = spark.read.parquet(path)
+    n, width = table.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size(vec)), F.lit(0))).first()
+    if n * width <= NPY_LIMIT:
+        held = io.BytesIO()
+        np.save(held, np.array([list(r[0]) for r in table.orderBy("idx").select(vec).collect()], dtype=dtype))
+        put(spark, f"{path}.npy", held.getvalue())
+    else:
+        remove_stale(spark, f"{path}.npy")
 
 
-def _on(spark: SparkSession, path: str):
-    """(file system, path) of Hadoop, so that any store a table can be on will do."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+def write_node_mapping(path: str, index: DataFrame, overwrite: bool = True) -> None:
+    """(node_id, index) as a CSV table in order of index."""
+    rows = index.select("node_id", F.col("idx").alias("index")).repartitionByRange("index").sortWithinPartitions("index")
+    write_table(rows, path, overwrite, "csv")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -91,13 +116,21 @@ def remove_stale(spark: SparkSession, path: str) -> None:
         store.delete(where, True)
 
 
+def replace(spark: SparkSession, fresh: str, path: str) -> None:
+    """``fresh`` in the place of ``path``."""
+    store, where = _on(spark, path)
+    remove_stale(spark, path)
+    if not store.rename(_on(spark, fresh)[1], where):
+        raise OSError(f"{fresh} can't take the place of {path}")
+
+
 def guard_outputs(spark: SparkSession, folder: str, names: Iterable[str], overwrite: bool) -> None:
     found = [n for n in names if exists(spark, f"{folder}/{n}")]
     if found and not overwrite:
         raise FileExistsError(f"{folder} has {', '.join(found)} already")
 
 
-def curves_svg(path: str, rows: list[dict], panels: tuple[tuple[str, ...], ...] = (("macro_f1", "micro_f1"), ("link_auc", "reconstruction_auc"))) -> None:
+def curves_svg(spark: SparkSession, path: str, rows: list[dict], panels: tuple[tuple[str, ...], ...] = (("macro_f1", "micro_f1"), ("link_auc", "reconstruction_auc"))) -> None:
     """Two panels of lines over snapshots, values between 0 and 1."""
     width, height, pad = 420, 240, 40
     colors = ("#1b6ca8", "#c4572b", "#3b8b4a", "#7a4fa3")
@@ -111,5 +144,4 @@ def curves_svg(path: str, rows: list[dict], panels: tuple[tuple[str, ...], ...]
             parts.append(f'<polyline fill="none" stroke="{colors[k % 4]}" stroke-width="2" points="{" ".join(f"{x:.1f},{y:.1f}" for x, y in xy)}"/>')
             parts.append(f'<text x="{left + 8 + 110 * k}" y="{pad - 12}" fill="{colors[k % 4]}">{name}</text>')
     parts.append("</svg>")
-    with open(path, "w", encoding="utf-8") as out:
-        out.write("\n".join(parts))
+    put(spark, path, "\n".join(parts).encode())

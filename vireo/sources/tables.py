@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from vireo.functions.text import epoch, identifier, number
 from vireo.operators.graph import clean, dense_index, downsample_nodes, restrict, universe
 from vireo.operators.snapshots import attribute_updates, cumulative_snapshots, deltas, equal_count_snapshots, time_cuts, window_snapshots
 from vireo.runtime import cut
+from vireo.sources.sinks import exists
 
 FILES = ("edges.csv", "features.csv", "labels.csv")
 UPDATES = "attr_updates.csv"
@@ -35,16 +35,14 @@ def require(df: DataFrame, needed: tuple[str, ...], what: str, more: int = 0) ->
     return rest
 
 
-def resolve(root: str) -> tuple[str, str, str, str]:
-    """Paths of the three required files and of the optional updates ("" if absent)."""
-    if not os.path.isdir(root):
-        raise FileNotFoundError(root)
-    paths = [os.path.join(root, f) for f in FILES]
-    for p in paths:
-        if not os.path.exists(p):
+def resolve(spark: SparkSession, root: str) -> tuple[str, str, str, str]:
+    """Paths of the three required files and of the optional updates ("" if absent), on any store."""
+    paths = [f"{root}/{f}" for f in FILES]
+    for p in (root, *paths):
+        if not exists(spark, p):
             raise FileNotFoundError(p)
-    updates = os.path.join(root, UPDATES)
-    return *paths, updates if os.path.exists(updates) else ""
+    updates = f"{root}/{UPDATES}"
+    return *paths, updates if exists(spark, updates) else ""
 
 
 def _ordered(df: DataFrame) -> DataFrame:
@@ -141,5 +139,5 @@ def build(spark: SparkSession, raw_edges: DataFrame, features: DataFrame | None,
 
 
 def from_directory(spark: SparkSession, root: str, **options) -> TemporalGraph:
-    e, f, l, u = resolve(root)
+    e, f, l, u = resolve(spark, root)
     return build(spark, read_csv(spark, e), read_csv(spark, f), read_csv(spark, l), read_csv(spark, u) if u else None, **options)
