@@ -48,10 +48,6 @@ def l2_normalize(a: Column) -> Column:
     return let(a, lambda v: let(F.greatest(norm(v), F.lit(TINY)), lambda n: F.transform(v, lambda x: x / n)))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(l2_normalize(a), l2_normalize(b))
-
-
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-F.greatest(F.lit(-20.0), F.least(F.lit(20.0), x))))
 

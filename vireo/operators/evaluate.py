@@ -303,6 +303,11 @@ def score_links(emb: DataFrame, positives: DataFrame, negatives: DataFrame) -> D
     return pair_cosine(pairs, emb)
 
 
+def spread(rows: DataFrame, value: str, by: str) -> DataFrame:
+    """(by, mean, p95, std): mean, exact 95th percentile by linear interpolation and population deviation of a measure."""
+    return rows.groupBy(by).agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.95)).alias("p95"), F.stddev_pop(value).alias("std"))
+
+
 @dataclass
 class Protocol:
     classifier: str = "logreg"

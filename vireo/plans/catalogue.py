@@ -339,8 +339,8 @@ def copurchase_selfjoin(spark, sf_dir):
 
 
 def latency_p95(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    return rows.groupBy("event_type").agg(F.round(F.avg("value"), 9).alias("mean"), F.round(F.percentile("value", 0.95), 9).alias("p95"), F.round(F.stddev_pop("value"), 6).alias("std"))
+    got = ev.spread(table(spark, sf_dir, "events"), "value", "event_type")
+    return got.select("event_type", F.round("mean", 9).alias("mean"), F.round("p95", 9).alias("p95"), r6("std").alias("std"))
 
 
 def global_quantiles(spark, sf_dir):
@@ -406,10 +406,11 @@ def sigmoid_softmax(spark, sf_dir):
 
 
 def default_attributes(spark, sf_dir):
-    have = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select("p_partkey", F.col("p_retailprice").alias("x"))
-    every = table(spark, sf_dir, "part").select("p_partkey")
-    filler = 0.01 * rng.normal(SEED, F.col("p_partkey"), 0)
-    return every.join(have, "p_partkey", "left").select("p_partkey", r6(F.coalesce("x", filler)).alias("x"))
+    from vireo.sources.tables import with_defaults
+
+    nodes = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node_id"))
+    known = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("node_id"), F.array("p_retailprice").alias("vec"))
+    return with_defaults(nodes, known, 1, SEED).select(F.col("node_id").alias("p_partkey"), r6(F.col("vec")[0]).alias("x"))
 
 
 def text_statistics(spark, sf_dir):
@@ -446,9 +447,20 @@ def reconstruction_scores(spark, sf_dir):
 
 
 def synthetic_graph(spark, sf_dir):
-    from vireo.sources.synthetic import planted_partition
+    """Links drawn among all customers, most of them inside a market segment."""
+    from vireo.sources.synthetic import planted_links
+
+    return planted_links(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node_id"), F.col("c_mktsegment").alias("label")), 4, 1, SEED)
+
+
+def spectral_values(spark, sf_dir):
+    """Least eigenvalues of the customer-nation graph, whose components are stars: a zero for each nation, and ones."""
+    from vireo.models.spectral import spectral_embedding
 
-    return planted_partition(spark, 120, 4, 0.16, 0.02, SEED).edges
+    links = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("u"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("v"), F.lit(1.0).alias("w"))
+    nations = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")))
+    _, values = spectral_embedding(links, g.universe(links.select("u"), nations), 30, SEED)
+    return spark.createDataFrame([(k, round(float(x), 4) + 0.0) for k, x in enumerate(values)], "place long, value double")
 
 
 def stream_daily_windows(spark, sf_dir):
@@ -493,6 +505,6 @@ QUERIES = {
         unresolved_references, record_counters, label_cleanup, stratified_split, random_split, centroid_predict, confusion, f1_scores,
         link_auc, link_ap, reconstruction_scores, pair_sampling_pos, pair_sampling_neg, copurchase_selfjoin, latency_p95, global_quantiles,
         results_alias_merge, history_patch_mean, last_wins_upsert, dense_labels, argmax_label, default_attributes, one_hot_membership,
-        top_features, synthetic_graph, stream_daily_windows, stream_restart_structure,
+        top_features, synthetic_graph, spectral_values, stream_daily_windows, stream_restart_structure,
     )
 }

@@ -196,7 +196,11 @@ SELECT user_id, ((pos - pos % 3) / 3)::BIGINT AS patch, round(sum(y * CASE WHEN
     "one_hot_membership": """WITH p AS (SELECT DISTINCT user_id AS node_id, event_type AS col FROM events), t AS (SELECT col, row_number() OVER (ORDER BY count(*) DESC, col) - 1 AS place FROM p GROUP BY col)
 SELECT node_id, (count(*) FILTER (place = 0))::BIGINT AS c0, (count(*) FILTER (place = 1))::BIGINT AS c1, (count(*) FILTER (place = 2))::BIGINT AS c2 FROM p JOIN t USING (col) WHERE place < 3 GROUP BY node_id""",
     "top_features": "SELECT l_partkey AS col, row_number() OVER (ORDER BY count(*) DESC, l_partkey) - 1 AS place FROM lineitem GROUP BY l_partkey ORDER BY place LIMIT 64",
-    "synthetic_graph": f"SELECT a.range AS u, b.range AS v FROM range(0, 120) a JOIN range(0, 120) b ON a.range < b.range WHERE {_u(42, 'a.range', 'b.range')} < CASE WHEN a.range % 4 = b.range % 4 THEN 0.16 ELSE 0.02 END",
+    "synthetic_graph": f"""WITH n AS (SELECT c_custkey AS id, c_mktsegment AS label, row_number() OVER (ORDER BY c_mktsegment, c_custkey) - 1 AS r, count(*) OVER () AS total FROM customer),
+p AS (SELECT *, min(r) OVER (PARTITION BY label) AS first, count(*) OVER (PARTITION BY label) AS size FROM n),
+d AS (SELECT id, first + floor({_u(42, "'in'", 'id', 'k')} * size)::BIGINT AS r FROM p, range(0, 4) t(k) UNION ALL SELECT id, floor({_u(42, "'out'", 'id', '0')} * total)::BIGINT FROM p)
+SELECT DISTINCT least(d.id, n.id) AS u, greatest(d.id, n.id) AS v FROM d JOIN n USING (r) WHERE d.id <> n.id""",
+    "spectral_values": "SELECT range AS place, CASE WHEN range < 31 - (SELECT count(*) FROM nation) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS value FROM range(0, 30)",
     "stream_daily_windows": "SELECT event_type, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY ALL",
     "stream_restart_structure": _restart(),
     "reconstruction_scores": f"""WITH {UNIT}, s AS (SELECT a.node_id AS a, b.node_id AS b, list_dot_product(a.vec, b.vec) AS s FROM unit a JOIN unit b ON a.node_id <> b.node_id),

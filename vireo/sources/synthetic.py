@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vireo.functions import rng
+from vireo.operators.graph import canonical, dense_index
+from vireo.runtime import cut
 
 
 @dataclass
@@ -33,6 +35,21 @@ def planted_partition(spark: SparkSession, nodes: int, classes: int, p_in: float
     return Synthetic(drawn, ids.select(F.col("id").alias("node_id"), vec.alias("vec")), ids.select(F.col("id").alias("node_id"), label.alias("label")))
 
 
+def planted_links(nodes: DataFrame, inside: int, anywhere: int, seed: int) -> DataFrame:
+    """(u, v), u < v distinct: each of ``nodes`` (node_id, label) draws ``inside`` partners of its label and ``anywhere`` partners of all.
+
+    Partners are drawn by their rank in order of (label, node_id), so links are found by joins on ranks, and no pairs are made but those drawn.
+    """
+    ranked = cut(dense_index(nodes.select("node_id", "label").withColumn("_key", F.struct("label", "node_id")), "_key", "rank").drop("_key"))
+    groups = ranked.groupBy("label").agg(F.min("rank").alias("start"), F.count(F.lit(1)).alias("n"))
+    total = ranked.count()
+    placed = ranked.join(groups, "label")
+    drawn = lambda kind, k, n: F.floor(rng.uniform(seed, kind, F.col("node_id"), k) * n).cast("long")
+    ranks = [F.col("start") + drawn("in", k, F.col("n")) for k in range(inside)] + [drawn("out", k, F.lit(total)) for k in range(anywhere)]
+    pairs = placed.select("node_id", F.explode(F.array(*ranks)).alias("rank")).join(ranked.select("rank", F.col("node_id").alias("partner")), "rank")
+    return canonical(pairs, "node_id", "partner")
+
+
 def change_rounds(graph: Synthetic, nodes: int, rounds: int, seed: int, features: int, toggles: int = 3, draws: int = 2) -> tuple[DataFrame, DataFrame]:
     """((snap, op, u, v), (snap, node_id, vec)): each round flips pairs and redraws attributes.
 

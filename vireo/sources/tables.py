@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vireo.functions import rng
 from vireo.functions.text import epoch, identifier, number
 from vireo.operators.graph import clean, dense_index, downsample_nodes, restrict, universe
 from vireo.operators.snapshots import attribute_updates, cumulative_snapshots, deltas, equal_count_snapshots, time_cuts, window_snapshots
@@ -72,6 +73,12 @@ def last_wins(rows: DataFrame, value: str, key: str = "node_id") -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(value, "seq").alias(value))
 
 
+def with_defaults(nodes: DataFrame, known: DataFrame, width: int, seed: int) -> DataFrame:
+    """(node_id, vec) of all ``nodes``: the vectors of ``known``, else 0.01 normals drawn by node."""
+    filler = F.array(*[0.01 * rng.normal(seed, F.col("node_id"), j) for j in range(width)])
+    return nodes.select("node_id").join(known, "node_id", "left").select("node_id", F.coalesce("vec", filler).alias("vec"))
+
+
 def labels(df: DataFrame) -> DataFrame:
     """(node_id, label): numbers cut toward zero; negative is unlabelled; later rows win.
 
@@ -99,8 +106,6 @@ class TemporalGraph:
 
 def build(spark: SparkSession, raw_edges: DataFrame, features: DataFrame | None, raw_labels: DataFrame | None, updates: DataFrame | None = None, snapshots: int = 8, mode: str = "window", max_nodes: int = 0, seed: int = 42) -> TemporalGraph:
     """From CSV frames to snapshots and deltas. Nodes without features get 0.01 normals."""
-    from vireo.functions import rng
-
     e = cut(edges(raw_edges))
     if e.isEmpty():
         raise ValueError("no edges")
@@ -116,9 +121,8 @@ def build(spark: SparkSession, raw_edges: DataFrame, features: DataFrame | None,
             raise ValueError("no edges are left after down-sampling")
     index = cut(dense_index(whole, "node_id"))
     width = len(feats.first()["vec"]) if feats is not None and not feats.isEmpty() else 16
-    filler = F.array(*[0.01 * rng.normal(seed, F.col("node_id"), j) for j in range(width)])
     known = last_wins(feats, "vec") if feats is not None else spark.createDataFrame([], T.StructType([T.StructField("node_id", T.StringType()), T.StructField("vec", T.ArrayType(T.DoubleType()))]))
-    attrs = index.select("node_id").join(known, "node_id", "left").select("node_id", F.coalesce("vec", filler).alias("vec"))
+    attrs = with_defaults(index, known, width, seed)
     labelled = index.select("node_id").join(labs, "node_id", "left").select("node_id", F.coalesce("label", F.lit(-1)).alias("label")) if labs is not None else index.select("node_id", F.lit(-1).cast("long").alias("label"))
     if timed and snapshots >= 2:
         cuts = time_cuts(e, snapshots)
