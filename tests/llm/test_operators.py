@@ -533,3 +533,50 @@ def test_one_word_over_and_over(n):
     """A long text of one word against an item of it is tiled within seconds."""
     began, item = time.perf_counter(), np.full(60, 7, np.uint64)
     assert decontam.tile(item, np.full(n, 7, np.uint64)) == [(0, 0, 60)] and time.perf_counter() - began < 10
+
+
+def test_overlaps_are_those_of_tiling_all_pairs(spark, vocab):
+    """The seed index loses no pair that plain tiling of every item against every text finds."""
+    rng = random.Random(12)
+    items = [prose(vocab[:300], 100 + i, rng.randint(6, 60)) for i in range(25)]
+    texts = []
+    for i in range(40):
+        parts = [prose(vocab[:300], 500 + i, rng.randint(0, 80))]
+        for item in rng.sample(items, 2):
+            w = item.split()
+            cut_at = rng.randrange(len(w) + 1)
+            kept = w[cut_at:] + w[:cut_at] if i % 3 else w[: max(1, int(len(w) * rng.random() * 1.2))]
+            if i % 4 == 0 and len(kept) > 3:
+                kept[rng.randrange(len(kept))] = "changed"
+            parts += [" ".join(kept), prose(vocab[:300], 900 + i, rng.randint(0, 20))]
+        texts.append(" ".join(parts))
+    found = decontam.overlaps(docs(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]).repartition(3), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]): round(r["coverage"], 9) for r in found.collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for k, item in enumerate(items):
+            p, h = hash_words([item], "alnum")[0], hash_words([t], "alnum")[0]
+            share = sum(x[2] for x in decontam.tile(p, h)) / len(p)
+            if share >= decontam.MIN_COVERAGE:
+                want[i, k] = round(share, 9)
+    assert got.keys() == want.keys() and len(want) > 20
+    assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_items_with_a_common_phrase_cost_in_proportion(vocab):
+    prompt = prose(vocab, 1, 40)
+    text = hash_words([f"{prompt} {prose(vocab, 2, 200)}"], "alnum")[0]
+
+    def seconds(n):
+        seeds = decontam.Seeds(list(range(n)), [hash_words([f"{prompt} {prose(vocab, 50 + i, 60)}"], "alnum")[0] for i in range(n)])
+        found = shingles(text, seeds.min_tile)
+        maybe = seeds.candidates(found)
+        assert set(np.flatnonzero(np.isin(found, seeds.seeds))) <= set(maybe.tolist()) and len(maybe) >= 30
+        took = []
+        for _ in range(5):
+            began = time.perf_counter()
+            assert list(seeds.pairs(text, found, maybe, decontam.MIN_COVERAGE)) == []
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds(4000) < 0.36

@@ -10,7 +10,7 @@ their sentences moved are caught. The pair counts where tiles cover
 ``MIN_COVERAGE`` of the item's words.
 
 Scale: one pass over the texts and no shuffle. The items go to the tasks in
-blocks of at most ``BLOCK_WORDS`` words (16 bytes each), so what is broadcast
+blocks of at most ``BLOCK_WORDS`` words (16 bytes each, and a bitmap of 16 MB at most), so what is broadcast
 has a bound; a larger benchmark takes one more pass per block. Seeds prune
 exactly: a tile is made of shared seeds, so an item whose shared seeds cover
 too few words can't reach the threshold.
@@ -166,12 +166,15 @@ class Seeds:
         self.bits = 20
         while (1 << self.bits) < 64 * len(self.seeds) and self.bits < 27:
             self.bits += 1
-        self.maybe = np.zeros(1 << self.bits, dtype=bool)
-        self.maybe[self.seeds >> np.uint64(64 - self.bits)] = True
+        self.lengths = np.array([len(h) for h in items] or [0])
+        marks = np.zeros(1 << self.bits, dtype=bool)
+        marks[self.seeds >> np.uint64(64 - self.bits)] = True
+        self.maybe = np.packbits(marks, bitorder="little")  # 16 MB at most
 
     def candidates(self, found: np.ndarray) -> np.ndarray:
         """Positions of a document's windows that may be seeds."""
-        return np.flatnonzero(self.maybe[found >> np.uint64(64 - self.bits)])
+        bit = found >> np.uint64(64 - self.bits)
+        return np.flatnonzero((self.maybe[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
 
     def pairs(self, h: np.ndarray, found: np.ndarray, maybe: np.ndarray, min_coverage: float) -> Iterator[tuple[int, float, int]]:
         """(item number, coverage, tiles) of the items that ``h`` covers enough of."""
@@ -183,12 +186,17 @@ class Seeds:
         which = np.repeat(np.arange(len(seen)), n)
         entry = np.repeat(low, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
         owner, at = self.owner[entry], self.at[entry]
-        for k in np.unique(owner).tolist():
-            mine = owner == k
+        order = np.lexsort((at, owner))
+        owner, at, which = owner[order], at[order], which[order]
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        ends = np.r_[first[1:], len(owner)]
+        # Words of each item that its seeds cover: up to the next seed, or a whole window.
+        reach = np.r_[at[1:] - at[:-1], self.min_tile]
+        reach[ends - 1] = self.min_tile
+        covered = np.add.reduceat(np.minimum(reach, self.min_tile), first)
+        for g in np.flatnonzero(covered >= min_coverage * self.lengths[owner[first]]).tolist():
+            mine, k = slice(first[g], ends[g]), int(owner[first[g]])
             item = self.items[k]
-            covered = _spread(at[mine], self.min_tile, len(item))
-            if covered.mean() < min_coverage:
-                continue
             hit = np.zeros(len(seen), dtype=bool)
             hit[which[mine]] = True
             free = _spread(maybe[hit[back]], self.min_tile, len(h))
