@@ -174,6 +174,10 @@ def test_bpe_table_round_trip(spark, ranks, library, monkeypatch):
     for r in out:
         assert r["token_ids_1"] == library.encode_ordinary(r["text"] or "") and bytes(r["decoded_1"]).decode() == (r["text"] or "")
     assert bpe.encode(docs.limit(0), ranks, public_tokenizers.PATTERN).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [64, 65])], "k int, token_ids array<int>").coalesce(1)
+    assert [bytes(r["decoded"]) for r in bpe.decode(odd, ranks).collect()] == [b"", b"", b"ab"]
+    with pytest.raises(Exception, match="no word"):
+        bpe.decode(spark.createDataFrame([(1, [10**6])], "k int, token_ids array<int>"), ranks).collect()
 
 
 def test_bpe_needs_all_bytes(ranks):

@@ -25,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -137,28 +138,32 @@ class Encoder:
         follow = range(1, n + 1)  # start of the next part; n is the end
         before = range(-1, n)  # start of the part before
         follow, before, waits = (array("i", follow), array("i", before), array("i", [-1]) * n) if n > PACKED else (list(follow), list(before), [-1] * n)
-        # waits: the rank under which the pair that starts here waits
+        # waits: the rank under which the pair that starts here waits. A bucket of one position is that position.
         low, up, top, buckets = queue.low, queue.up, 0, queue.buckets
         for i in range(n - 1):
             r = get(piece[i : i + 2])
             if r is not None:
                 waits[i] = r
-                if r in buckets:
-                    buckets[r].append(i)  # ascending, so a heap
-                else:
-                    buckets[r] = [i]
+                held = buckets.get(r)
+                if held is None:
+                    buckets[r] = i
                     w = r >> WIDE
                     low[w] |= BIT[r & REST]
                     top |= up[w]
+                elif held.__class__ is int:
+                    buckets[r] = [held, i]  # ascending, so a heap
+                else:
+                    held.append(i)
         while top:
             w = (top & -top).bit_length() - 1
             word = low[w]
             rank = (w << WIDE) + (word & -word).bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                i = heappop(bucket)
+            i = buckets[rank]
+            if i.__class__ is list:
+                held, i = i, heappop(i)
             else:
-                i = bucket[0]
+                held = None
+            if not held:
                 del buckets[rank]
                 low[w] = word = word & (word - 1)
                 if not word:
@@ -173,13 +178,16 @@ class Encoder:
                 stop = follow[end]
                 if stop - i <= longest and (r := get(piece[i:stop])) is not None:
                     waits[i] = r
-                    if r in buckets:
-                        heappush(buckets[r], i)
-                    else:
-                        buckets[r] = [i]
+                    held = buckets.get(r)
+                    if held is None:
+                        buckets[r] = i
                         w = r >> WIDE
                         low[w] |= BIT[r & REST]
                         top |= up[w]
+                    elif held.__class__ is int:
+                        buckets[r] = [held, i] if held < i else [i, held]
+                    else:
+                        heappush(held, i)
             left = before[i]
             if left >= 0:
                 r = get(piece[left:end]) if end - left <= longest else None
@@ -187,13 +195,16 @@ class Encoder:
                     waits[left] = -1
                 elif r != waits[left]:
                     waits[left] = r
-                    if r in buckets:
-                        heappush(buckets[r], left)
-                    else:
-                        buckets[r] = [left]
+                    held = buckets.get(r)
+                    if held is None:
+                        buckets[r] = left
                         w = r >> WIDE
                         low[w] |= BIT[r & REST]
                         top |= up[w]
+                    elif held.__class__ is int:
+                        buckets[r] = [held, left] if held < left else [left, held]
+                    else:
+                        heappush(held, left)
         out, i = [], 0
         while i < n:
             out.append(get(piece[i : (end := follow[i])]))
@@ -241,24 +252,33 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col: str =
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids_col: str = "token_ids", out: str = "decoded", keep: list[str] | None = None) -> DataFrame:
-    """Rows with the bytes of their ids (null or none: empty); an id without a rank is an error."""
+    """Rows with the bytes of their ids (null or none: empty); an id without a rank is an error.
+
+    The words of a lot of ids are taken as one array, whose data is the lot's bytes end to end.
+    """
     wanted = [f for f in df.schema.fields if keep is None or f.name in keep]
     out = free_name(df, out)
     schema = T.StructType([*wanted, T.StructField(out, T.BinaryType(), False)])
     table = df.sparkSession.sparkContext.broadcast(ranks)
-    words: list[dict[int, bytes]] = []
+    words: list[pa.Array] = []
 
     def run(batch):
         if not words:
-            words.append({i: w for w, i in table.value.items()})
-        word = words[0].__getitem__
-        done, size, began = [], 0, 0
-        for k, ids in enumerate(batch.column(ids_col)):
-            values = ids.values.to_numpy(zero_copy_only=False).tolist() if ids.is_valid else []
-            done.append(b"".join(map(word, values)))
-            size += len(done[-1])
-            if size >= OUT or k == batch.num_rows - 1:
-                yield {f.name: batch.column(f.name)[began : k + 1] for f in wanted} | {out: pa.array(done, pa.binary())}
-                done, size, began = [], 0, k + 1
+            by_id = {i: w for w, i in table.value.items()}
+            words.append(pa.array([by_id.get(i) for i in range(max(by_id, default=-1) + 1)], pa.binary()))
+        lists, began = batch.column(ids_col), 0
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        while began < batch.num_rows:
+            stop = max(began + 1, int(np.searchsorted(ends, ends[began] + OUT, "right")) - 1)
+            ids = lists[began:stop].flatten()
+            known = len(ids) == 0 or (pc.min(ids).as_py() >= 0 and pc.max(ids).as_py() < len(words[0]))
+            if not known or (got := words[0].take(ids)).null_count:
+                raise ValueError("an id has no word")
+            at = np.frombuffer(got.buffers()[1], np.int32)[: len(got) + 1] if len(got) else np.zeros(1, np.int32)
+            places = np.ascontiguousarray(at[ends[began : stop + 1] - ends[began]])
+            decoded = pa.Array.from_buffers(pa.binary(), stop - began, [None, pa.py_buffer(places), got.buffers()[2]])
+            yield {f.name: batch.column(f.name)[began:stop] for f in wanted} | {out: decoded}
+            began = stop
 
     return map_arrow(df, run, schema)
