@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from vireo.llm.common import free_name, map_arrow
 
 #: Matches that a generation of a task's memory holds, and the characters up to which one is remembered.
-REMEMBERED, SHORT = 1 << 19, 48
+REMEMBERED, SHORT = 3 << 17, 48
 #: Tokens (or bytes, in decoding) after which a record batch goes out.
 OUT = 1 << 20
 #: Beyond so many bytes positions are kept in packed arrays.
