@@ -56,7 +56,10 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("passages").alias("n_passages"),
         F.aggregate("passages", F.lit(0), add).alias("repeated_words"),
         F.aggregate(F.filter("passages", lambda p: p["removed"]), F.lit(0), add).alias("removed_words"),
-        F.transform("passages", lambda p: p["passage_id"]).alias("passage_ids"),
+        F.array_distinct(F.flatten(F.transform("passages", lambda p: p["passage_ids"]))).alias("passage_ids"),
+        F.transform("passages", lambda p: p["start"]).alias("starts"),
+        F.transform("passages", lambda p: p["end"]).alias("ends"),
+        F.transform("passages", lambda p: p["removed"]).alias("removed"),
     )
 
 
