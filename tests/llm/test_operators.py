@@ -580,3 +580,23 @@ def test_items_with_a_common_phrase_cost_in_proportion(vocab):
         return min(took)
 
     assert seconds(4000) < 0.36
+
+
+def test_contexts_in_rows_as_one_by_one():
+    """Contexts compared in rows tell what the comparison of each pair tells."""
+    rng = np.random.default_rng(3)
+    width = 2 * passages.REACH + passages.SEED
+    a = rng.integers(1, 2**32, (600, width)).astype(np.uint32)
+    b = a.copy()
+    for i in range(len(a)):
+        lo, hi = rng.integers(0, passages.REACH + 1), rng.integers(passages.REACH + 1, width + 1)
+        b[i, :lo], b[i, hi:] = rng.integers(1, 2**32, lo), rng.integers(1, 2**32, width - hi)
+        if i % 3 == 1:  # an edit
+            at = rng.integers(0, width - 6)
+            b[i, at : at + 5] = rng.integers(1, 2**32, 5)
+            b[i, passages.REACH] = a[i, passages.REACH]
+        if i % 3 == 2:  # texts that end
+            a[i, : rng.integers(0, 20)] = 0
+            b[i, width - rng.integers(0, 20) :] = 0
+    want = [(i, *got) for i in range(len(a)) if (got := passages.passage(a[i], b[i]))]
+    assert len(want) > 100 and sorted(map(tuple, passages.passages(a, b).tolist())) == want
