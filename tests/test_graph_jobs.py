@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from vireo.models.projection import smoothed
-from vireo.models.spectral import spectral_embedding
+from vireo.models.spectral import _rayleigh_ritz, spectral_embedding
 from vireo.operators import blocks
 from vireo.operators import evaluate as ev
 from vireo.operators.convert import ConvertConfig, convert, enough_ids, record_counters
@@ -94,6 +94,25 @@ def test_spectral_solver_beyond_the_dense_size(spark):
     assert np.allclose(values, [*[x for x in exact[:5] if x > 1e-9], *[x for x in exact[:5] if x <= 1e-9]][:4], atol=1e-4)
 
 
+def test_directions_lost_in_rounding_are_no_eigenpairs():
+    gen = np.random.default_rng(3)
+    h = np.diag(np.r_[np.zeros(3), np.ones(37)])
+    y = gen.normal(size=(40, 8))
+    y[:3] *= 1e9  # as a filter leaves it: the part of eigenvalue 1 is below the rounding of the Gram matrix
+    both = np.hstack([y, h @ y])
+    turn, values, residual = _rayleigh_ritz(both.T @ both)
+    assert turn.shape == (8, 8) and np.isfinite(turn).all() and (np.diff(values) >= 0).all()
+    assert np.isfinite(residual).sum() == 3 and (residual[:3] < 1e-3).all() and np.isinf(residual[3:]).all()
+
+
+def test_values_of_stars(spark):
+    n, k = 1500, 25
+    links = spark.range(n).selectExpr("concat('c', id) as u", f"concat('n', id % {k}) as v", "1.0D as w")
+    nodes = links.selectExpr("u as node_id").union(links.select("v").distinct())
+    _, values = spectral_embedding(links, nodes, 30, 42)
+    assert np.round(np.abs(values), 4).tolist() == [1.0] * (31 - k) + [0.0] * (k - 1)
+
+
 @pytest.mark.parametrize("size", [30, 5, 1, 1000])
 def test_non_edges(spark, size):
     rng = random.Random(size)
