@@ -50,6 +50,28 @@ def test_products_of_blocks(spark, monkeypatch, entries):
     matrix.close()
 
 
+def test_cuts_keep_the_last_one_only(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from vireo.runtime import checkpoint_folder
+
+    a = random_matrix(50, 1)
+    cells = spark.createDataFrame([(int(i), int(j), float(a[i, j])) for i, j in zip(*np.nonzero(a), strict=True)], "u long, v long, w double")
+    matrix = blocks.SparseBlocks(cells, spark.range(50).toDF("node_id"))
+    folders = lambda: set(Path(urlparse(checkpoint_folder(spark)).path).glob("blocks-*"))
+    before = folders()
+    at = matrix.cut(matrix.random(3, 5, send="y"))
+    x = rows(matrix.rows(at))
+    for _ in range(2):
+        at = matrix.cut(matrix.step(at, lambda own, p: {"y": p}))
+    got = rows(matrix.rows(at))
+    assert np.allclose([got[i] for i in range(50)], a @ a @ np.array([x[i] for i in range(50)]))
+    assert len(folders() - before) == 1
+    matrix.close()
+    assert folders() == before
+
+
 def test_smoothing_equals_numpy(spark):
     edges = [(i, (i * 7 + k) % 30) for i in range(30) for k in (1, 4) if i != (i * 7 + k) % 30]
     pairs = sorted({(min(p), max(p)) for p in edges})
