@@ -412,6 +412,14 @@ def test_passages(spark, awkward, empty, vocab):
     assert passages.repeats(awkward).count() == 0 and passages.repeats(empty).count() == 0
 
 
+def test_lm_learns_from_every_training_text(spark, vocab):
+    rows = [(i, prose(vocab, 700 + i, 20 + i % 30), "en", "a") for i in range(120)]
+    rows.append((500, prose(vocab, 900, lm.PIECE * 2 + 7), "en", "a"))  # longer than a stream of a lot
+    d = docs(spark, rows).select("text").repartition(3)
+    scorer, _ = lm.fit(d, lm.word_counts(d), len(rows))
+    assert scorer.trained == scorer.total == sum(len(r[1].split()) + 1 for r in rows)
+
+
 def test_lm(spark, awkward, empty, sf_dir, monkeypatch):
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     held = langid.held_out(d["doc_id"], 7, 2)

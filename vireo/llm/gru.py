@@ -205,18 +205,22 @@ class Model:
         back[live] = dh
         back = back.reshape(len(source), -1, d)
         carry = np.zeros_like(back[0])
+        outers = np.empty((len(source), len(carry), 3 * d), dtype=np.float32)
         for t in range(len(source) - 1, -1, -1):
-            x, before, z, r, cand, un = kept[t]
+            _, before, z, r, cand, un = kept[t]
             g = back[t] + carry
             dz = g * (before - cand) * z * (1 - z)
             dn = g * (1 - z) * (1 - cand * cand)
             dr = dn * un * r * (1 - r)
-            outer = np.concatenate((dz, dr, dn), axis=1)
+            outers[t] = np.concatenate((dz, dr, dn), axis=1)
             inner = np.concatenate((dz, dr, dn * r), axis=1)
-            np.add.at(grads["E"], x, outer)
             grads["U"] += before.T @ inner
             carry = g * z + inner @ p["U"].T
             carry = np.where(fresh[t][:, None], np.float32(0), carry)
+        inputs = source.ravel()
+        order = np.argsort(inputs, kind="stable")
+        first = np.flatnonzero(np.diff(inputs[order], prepend=-1))
+        grads["E"][inputs[order[first]]] = np.add.reduceat(outers.reshape(-1, 3 * d)[order], first, axis=0)
         return float(loss / n), grads, h
 
     def score(self, ids: np.ndarray, bounds: np.ndarray, group: int = 2048, window: int = 64, cells: int = 1 << 16):

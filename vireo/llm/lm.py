@@ -2,8 +2,8 @@
 
 Word counts come from all training texts. The recurrent model (``gru``) begins
 with WARM_DOCS whole texts on the driver; then each task goes on from there
-with SHARE of its training texts, drawn by row, and the models of all tasks are
-averaged by the tokens they saw. So what it learns from grows with the corpus.
+with all of its training texts, whole, and the models of all tasks are
+averaged by the tokens they saw. So it learns from every training text.
 Both score every whole text: an add-one unigram base, and the recurrent model, whose words without
 vectors share their class's probability by their counts.
 
@@ -14,7 +14,7 @@ counts in a shuffled join. They are rare in the training texts by choice, so
 none of them is a hot key there. What the texts pass through the model for is
 kept in the checkpoint folder, so the model runs once. A task's model is half a
 megabyte of differences from the first one; they are summed FAN_IN at a time on the executors
-until FAN_IN are left for the driver. A task trains in lots of TRAIN_TOKENS, so its memory has a bound.
+until FAN_IN are left for the driver. A task trains in lots of TRAIN_TOKENS and one text at most, so its memory has a bound beside its longest text.
 Which texts one task sees depends on how the table is partitioned, and so, slightly, do the scores.
 
 Defined results: null text reads as empty and scores its end alone; a null id
@@ -38,12 +38,13 @@ from vireo.llm import gru
 from vireo.llm.common import cut, map_arrow, map_partitions_arrow
 from vireo.llm.words import Words, words
 
-#: Texts that the model begins with, of up to WARM_CHARS characters each; what comes after is drawn from all.
+#: Texts that the model begins with, of up to WARM_CHARS characters each; what comes after are all texts.
 WARM_DOCS, WARM_CHARS = 1500, 1 << 16
-#: Of the training texts, what the tasks go on to learn from, in lots of so many tokens, at this rate.
-SHARE = 1 / 16
+#: All training texts are then learned from in lots of so many tokens, in so many streams, at this rate.
 TRAIN_TOKENS = 1 << 18
-TUNE_RATE = 0.002
+TUNE_STREAMS, TUNE_RATE = 64, 0.002
+#: A longer text is learned from in pieces, whose state begins anew, so that no stream is much longer than the others.
+PIECE = TRAIN_TOKENS // TUNE_STREAMS
 FAN_IN = 32
 TABLE_WORDS = 1 << 20
 LOT_TOKENS = 1 << 20
@@ -121,6 +122,7 @@ class Scorer:
     total: int  # N
     distinct: int  # V
     ends: int  # training count of the end
+    trained: int = 0  # tokens that all tasks learned from
 
     @property
     def base(self) -> float:
@@ -157,7 +159,7 @@ class Scorer:
         return add(np.log10(counts + 1.0)) - np.diff(with_end) * np.log10(self.base), add(mixed), add(known)
 
 
-def fit(train: DataFrame, counts: DataFrame, n_docs: int, text_col: str = "text", warm_docs: int = WARM_DOCS, share: float = SHARE) -> tuple[Scorer, int]:
+def fit(train: DataFrame, counts: DataFrame, n_docs: int, text_col: str = "text", warm_docs: int = WARM_DOCS) -> tuple[Scorer, int]:
     """(scorer, cell threshold of its table) from all training texts and their counts."""
     least = table_threshold(counts)
     held = counts.where(_cell() >= least).select("word", "n", "ending").toArrow()
@@ -188,7 +190,7 @@ def fit(train: DataFrame, counts: DataFrame, n_docs: int, text_col: str = "text"
         texts.sort(key=lambda t: (len(t), t.tobytes()))  # whatever order the rows came in
         if texts:
             model.train(texts)
-        _tune(at.where(F.col("draw") < int((1 << 30) * share)).select("text"), scorer)
+        scorer.trained = _tune(at.select("text"), scorer)
     return scorer, least
 
 
@@ -201,8 +203,8 @@ def _coded(column: pa.Array, scorer: Scorer) -> list[np.ndarray]:
     return out
 
 
-def _tune(texts: DataFrame, scorer: Scorer) -> None:
-    """Train on in all tasks and put the mean of their models in the scorer's place."""
+def _tune(texts: DataFrame, scorer: Scorer) -> int:
+    """Train on in all tasks and put the mean of their models in the scorer's place; returns the tokens seen."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(scorer)
 
@@ -211,15 +213,15 @@ def _tune(texts: DataFrame, scorer: Scorer) -> None:
         seen, lot, held = 0, [], 0
         for batch in batches:
             for own in _coded(batch.column("text"), shared.value):
-                lot.append(own)
+                lot += [own[k : k + PIECE] for k in range(0, len(own), PIECE)]
                 held += len(own)
                 if held >= TRAIN_TOKENS:
                     model = model or shared.value.model.copy()
-                    model.train(lot, streams=16, rate=TUNE_RATE)
+                    model.train(lot, streams=TUNE_STREAMS, rate=TUNE_RATE)
                     seen, lot, held = seen + held, [], 0
         if lot:
             model = model or shared.value.model.copy()
-            model.train(lot, streams=16, rate=TUNE_RATE)
+            model.train(lot, streams=TUNE_STREAMS, rate=TUNE_RATE)
             seen += held
         if model is not None:
             yield {"tokens": [seen], "change": [(model.flat() - start).astype(np.float16).tobytes()]}
@@ -240,6 +242,7 @@ def _tune(texts: DataFrame, scorer: Scorer) -> None:
     if last:
         scorer.model.add(np.frombuffer(last[0]["change"][0], np.float16).astype(np.float32))
     shared.unpersist()
+    return last[0]["tokens"][0] if last else 0
 
 
 def score(df: DataFrame, text_col: str = "text", id_col: str = "doc_id", held_out=None) -> DataFrame:
