@@ -6,11 +6,14 @@ import zipfile
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vireo.models.projection import smoothed
 from vireo.models.spectral import _rayleigh_ritz, spectral_embedding
 from vireo.operators import blocks
 from vireo.operators import evaluate as ev
+from vireo.operators import graph as g
+from vireo.operators import snapshots as sn
 from vireo.operators.convert import ConvertConfig, convert, enough_ids, record_counters
 from vireo.operators.graph import normalized
 from vireo.runtime import cut
@@ -281,3 +284,13 @@ def test_archive_beyond_two_gigabytes_is_shared_by_tasks(spark, tmp_path):
     assert lines.rdd.getNumPartitions() == 3
     assert sorted((r["number"], r["line_no"], r["raw"]) for r in lines.collect() if r["number"] == 1) == [(1, 0, '{"id": "p"}'), (1, 3, "no json"), (1, 4, None), (1, 5, '{"id": "last"}')]
     assert archives.json_records(lines).count() == 6
+
+
+def test_key_ranges_grow_in_number_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(g, "RANGE", 200)
+    keys = [(i * 7919) % 5000 for i in range(5000)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").repartition(3)
+    out = g.dense_index(df, "k")
+    assert {r["k"]: r["idx"] for r in out.collect()} == {k: k for k in keys}
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 20 and max(sizes) < 5 * 200
