@@ -294,3 +294,26 @@ def test_key_ranges_grow_in_number_not_in_size(spark, monkeypatch):
     assert {r["k"]: r["idx"] for r in out.collect()} == {k: k for k in keys}
     sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
     assert len(sizes) >= 20 and max(sizes) < 5 * 200
+
+
+def test_deltas_of_many_snapshots_without_a_join(spark):
+    """Changes of over two words of bits, as by comparing sets; gaps in the numbers are empty snapshots."""
+    rng = np.random.default_rng(5)
+    held = {s: {("a", f"b{i}") for i in range(6) if rng.random() < 0.5} for s in range(130) if s % 7}
+    snaps = spark.createDataFrame([(s, u, v) for s, es in held.items() for u, v in es], "snap int, u string, v string")
+    out = sn.deltas(snaps)
+    last = max(s for s, es in held.items() if es)
+    want = {(s, op, u, v) for s in range(1, last + 1) for op, a, b in (("add", s, s - 1), ("remove", s - 1, s)) for u, v in held.get(a, set()) - held.get(b, set())}
+    rows = [tuple(r) for r in out.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    assert out.columns == ["snap", "op", "u", "v"]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sn.deltas(snaps.where("snap < 1")).isEmpty()
+
+
+def test_delta_is_applied_without_a_join(spark):
+    edges = spark.createDataFrame([("a", "b"), ("a", "c")], "u string, v string")
+    delta = spark.createDataFrame([("add", "d", "a"), ("remove", "c", "a"), ("add", "e", "f"), ("remove", "e", "f"), ("add", "g", "g"), ("remove", "x", "y")], "op string, u string, v string")
+    out = sn.apply_delta(edges, delta)
+    assert sorted(tuple(r) for r in out.collect()) == [("a", "b"), ("a", "d")]
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
