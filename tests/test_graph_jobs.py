@@ -317,3 +317,9 @@ def test_delta_is_applied_without_a_join(spark):
     out = sn.apply_delta(edges, delta)
     assert sorted(tuple(r) for r in out.collect()) == [("a", "b"), ("a", "d")]
     assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_read_the_records_once(spark, sf_dir):
+    from vireo.plans import catalogue
+
+    assert "parquet" not in catalogue._scored(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().lower()
