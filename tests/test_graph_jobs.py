@@ -323,3 +323,14 @@ def test_scores_read_the_records_once(spark, sf_dir):
     from vireo.plans import catalogue
 
     assert "parquet" not in catalogue._scored(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_structure_without_products_packs_no_matrix(spark, monkeypatch):
+    from vireo.models import projection
+
+    monkeypatch.setattr(projection, "SparseBlocks", None)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c")], "u string, v string")
+    attrs = spark.createDataFrame([(n, [0.0]) for n in "abcd"], "node_id string, vec array<double>")
+    model = projection.ProjectionModel(4, order=0, density=0.9, quantize=False, use_attributes=False, steps=0).fit(edges, attrs)
+    rows = {r["node_id"]: np.linalg.norm(r["s"]) for r in model.structure.collect()}
+    assert set(rows) == set("abcd") and all(np.isclose(x, 1.0) or x == 0.0 for x in rows.values())
