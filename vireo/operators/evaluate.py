@@ -155,17 +155,26 @@ def softmax_weights(rows: DataFrame, d: int, classes: int, total: float, steps:
 
         done = {r["class"]: r["sums"] for r in rows.coalesce(1).mapInArrow(all_steps, schema).collect()}
         return np.array([done[c] for c in range(classes)]).T
+
+    def pack(batches):
+        """Rows as bytes, an Arrow batch in one row: what every step reads goes to Python at once, not number by number."""
+        for b in batches:
+            if b.num_rows:
+                x, code, weight = parts(b)
+                yield pa.RecordBatch.from_pydict({"x": [x.tobytes()], "code": [code.astype(np.int64).tobytes()], "weight": [weight.tobytes()]})
+
+    packed = cut(rows.mapInArrow(pack, "x binary, code binary, weight binary"))
     for _ in range(steps):
 
         def one_step(batches, w=w):
             total = np.zeros_like(w)
             for b in batches:
-                if b.num_rows:
-                    total += _softmax_sums(*parts(b), w)
+                for x, code, weight in zip(*(b.column(c) for c in ("x", "code", "weight")), strict=True):
+                    total += _softmax_sums(np.frombuffer(x.as_buffer()).reshape(-1, d + 1), np.frombuffer(code.as_buffer(), np.int64), np.frombuffer(weight.as_buffer()), w)
             yield by_class(total)
 
         sums = np.zeros_like(w)
-        for r in rows.mapInArrow(one_step, schema).groupBy("class").agg(F.array(*[F.sum(F.col("sums")[j]) for j in range(d + 1)]).alias("sums")).collect():
+        for r in packed.mapInArrow(one_step, schema).groupBy("class").agg(F.array(*[F.sum(F.col("sums")[j]) for j in range(d + 1)]).alias("sums")).collect():
             sums[:, r["class"]] = r["sums"]
         w = moved(w, sums)
     return w
