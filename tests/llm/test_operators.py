@@ -399,6 +399,29 @@ def test_components(spark):
     assert got == {x: find(x) for x in {v for p in links if p[0] != p[1] for v in p}}
 
 
+def test_components_of_few_links_take_few_stages(spark):
+    """A chain, which takes rounds of stars; their exchanges filled the driver's memory."""
+    sc, named = spark.sparkContext, [bytes([k % 251, 200 - k % 200]) for k in range(300)]
+    sc.setJobGroup("chain", "components of a chain")
+    try:
+        got = components(spark.createDataFrame(list(zip(named, named[1:])), "a binary, b binary")).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert {bytes(r["node"]): bytes(r["root"]) for r in got} == dict.fromkeys(named, min(named))
+    stages = [s for j in sc.statusTracker().getJobIdsForGroup("chain") for s in sc.statusTracker().getJobInfo(j).stageIds]
+    assert len(set(stages)) <= 8
+
+
+def test_components_of_many_links(spark, monkeypatch):
+    """Above the bound of one task stars give the same, also where they end in one."""
+    rng = random.Random(16)
+    links = spark.createDataFrame([(f"n{rng.randrange(90)}", f"n{rng.randrange(90)}") for _ in range(60)], "a string, b string")
+    once = sorted(components(links).collect())
+    for few in (0, 40):
+        monkeypatch.setattr("vireo.llm.components.FEW", few)
+        assert sorted(components(links).collect()) == once
+
+
 def test_passages(spark, awkward, empty, vocab):
     shared, short = prose(vocab, 300, 51), prose(vocab, 301, 15)
     rows = [(i, f"{prose(vocab, 310 + i, 40 + i)} {shared if i < 4 else short} {prose(vocab, 330 + i, 30)}", "en", "a") for i in range(10)]
