@@ -502,6 +502,21 @@ def test_gradients_against_differences():
             assert live and math.isclose((losses[0] - losses[1]) / 2e-5, grads[name][at], rel_tol=1e-3, abs_tol=1e-6)
 
 
+def test_training_works_on_whole_gates(monkeypatch):
+    """Gates of a step that lie among others cost an inner loop for each row."""
+    from vireo.llm import gru
+
+    rng = np.random.default_rng(4)
+    model = gru.Model(gru.Shape(2000), np.ones(gru.Shape(2000).end + 1))
+    texts = [rng.integers(0, 2000 + gru.ENDINGS, 256) for _ in range(64)]
+    before, shapes = model.flat(), []
+    inner = gru._sigmoid
+    monkeypatch.setattr(gru, "_sigmoid", lambda x: (shapes.append((x.shape, x[0].flags.c_contiguous)), inner(x))[1])
+    losses = model.train(texts, streams=64)
+    assert len(losses) == 8 and losses[-1] < losses[0] and not np.array_equal(before, model.flat())
+    assert set(shapes) == {((2, 64, gru.HIDDEN), True)}
+
+
 def test_word_kernel():
     texts = ["Hello wOrld\x0bfoo", None, "", "  x  ", "foo hello", "a b"]
     from vireo.llm.words import words

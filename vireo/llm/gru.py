@@ -23,6 +23,8 @@ WINDOW = 32
 STREAMS = 48
 EPOCHS = 1
 RATE = 0.01
+#: Rows of a softmax and numbers of an update that are worked on at once; results don't depend on it.
+ROWS, CELLS = 2048, 1 << 14
 #: Share of the recurrent model in the final mixture with the unigram base.
 MIX = 0.95
 
@@ -55,7 +57,21 @@ class Shape:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(x, -30, 30)))
+    """In the place of ``x``."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):  # to infinity, whose reciprocal is 0
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _softmax(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log of the softmax of each row at ``at``, sums of rows); ``x`` is left as exponentials that sum to these."""
+    x -= x.max(axis=1, keepdims=True)
+    picked = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    sums = x @ np.ones(x.shape[1], dtype=x.dtype)
+    return picked - np.log(sums), sums
 
 
 class Model:
@@ -92,41 +108,67 @@ class Model:
         other.shape, other.hidden, other.p = self.shape, self.hidden, {k: v.copy() for k, v in self.p.items()}
         return other
 
-    def step(self, x: np.ndarray, h: np.ndarray, keep: bool = False):
-        """One recurrent step for input ids ``x`` from states ``h``."""
-        d = self.hidden
-        e, u = self.p["E"][x], h @ self.p["U"]
-        zr = _sigmoid(e[:, : 2 * d] + u[:, : 2 * d])
-        z, r = zr[:, :d], zr[:, d:]
-        n = np.tanh(e[:, 2 * d :] + r * u[:, 2 * d :])
-        out = n + z * (h - n)
-        return (out, (x, h, z, r, n, u[:, 2 * d :])) if keep else out
+    def gates(self) -> np.ndarray:
+        """U as three matrices, so that what is made of it is whole for each gate."""
+        return np.ascontiguousarray(self.p["U"].reshape(self.hidden, 3, self.hidden).transpose(1, 0, 2))
+
+    def inputs(self, x: np.ndarray) -> np.ndarray:
+        """Input vectors of ids, by gate."""
+        return np.ascontiguousarray(np.moveaxis(self.p["E"][x.ravel()].reshape(*x.shape, 3, self.hidden), -2, 0))
+
+    @staticmethod
+    def step(e: np.ndarray, u: np.ndarray, h: np.ndarray, out: np.ndarray) -> np.ndarray:
+        """One recurrent step to ``out`` from states ``h``, for input vectors ``e`` by gate, which become the gates, and ``u``, h times ``gates``."""
+        zr, n = e[:2], e[2]
+        zr += u[:2]
+        _sigmoid(zr)
+        n += np.multiply(zr[1], u[2], out=out)
+        np.tanh(n, out=n)
+        np.subtract(h, n, out=out)
+        out *= zr[0]
+        out += n
+        return out
 
     def log_probs(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural log of P(class | h), times P(word | class, h) for ids with vectors of their own."""
+        out = np.empty(len(ids), dtype=np.float64)
+        for k in range(0, len(ids), ROWS):
+            out[k : k + ROWS] = self._log_probs(h[k : k + ROWS], ids[k : k + ROWS])
+        return out
+
+    def _log_probs(self, h: np.ndarray, ids: np.ndarray) -> np.ndarray:
         cls = self.shape.class_of(ids)
         logits = h @ self.p["Wc"]
         logits += self.p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        out = logits[np.arange(len(ids)), cls].astype(np.float64)
-        np.exp(logits, out=logits)
-        out -= np.log(logits.sum(axis=1))
-        own = np.flatnonzero(ids < self.shape.words)
+        out = _softmax(logits, cls)[0].astype(np.float64)
+        own, edge = self._by_class(ids, cls)
         if len(own):
-            order = own[np.argsort(cls[own], kind="stable")]
-            edge = np.searchsorted(cls[order], np.arange(self.shape.word_classes + 1))
-            for k in np.flatnonzero(np.diff(edge)).tolist():
-                at = order[edge[k] : edge[k + 1]]
-                y = h[at] @ self.p["Ww"][k] + self.p["bw"][k]
-                y -= y.max(axis=1, keepdims=True)
-                out[at] += y[np.arange(len(at)), ids[at] - k * self.shape.size]
-                out[at] -= np.log(np.exp(y).sum(axis=1))
+            w = self._word_logits(h[own], cls[own], edge)
+            out[own] += _softmax(w, ids[own] - cls[own] * self.shape.size)[0]
         return out
 
+    def _by_class(self, ids: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """(places of the ids with vectors of their own, sorted by class; (class, from, to) of those)."""
+        own = np.flatnonzero(ids < self.shape.words)
+        own = own[np.argsort(cls[own], kind="stable")]
+        edge = np.searchsorted(cls[own], np.arange(self.shape.word_classes + 1)).tolist()
+        return own, [(k, i, j) for k, (i, j) in enumerate(zip(edge, edge[1:])) if i < j]
+
+    def _word_logits(self, h: np.ndarray, cls: np.ndarray, edge: list[tuple[int, int, int]]) -> np.ndarray:
+        """Within their classes, of rows sorted by class."""
+        w, made = self.p["bw"][cls], np.empty((len(h), self.shape.size), dtype=h.dtype)
+        for k, i, j in edge:
+            np.matmul(h[i:j], self.p["Ww"][k], out=made[i:j])
+        w += made
+        return w
+
     def train(self, texts: list[np.ndarray], epochs: int = EPOCHS, streams: int = STREAMS, window: int = WINDOW, rate: float = RATE, seed: int = 2) -> list[float]:
         """Fit to id sequences (each ends with ``end``); returns the mean loss per window batch."""
         rng = np.random.default_rng(seed)
-        moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
+        flat = self.flat()
+        self.p = self._views(flat)
+        grad, spare, *moment = (np.zeros_like(flat) for _ in range(4))
+        grads = self._views(grad)
         losses, turn = [], 0
         total_steps = max(1, epochs * sum(len(t) for t in texts) // (streams * window))
         for _ in range(epochs):
@@ -152,76 +194,106 @@ class Model:
             for first in range(0, length, window):
                 turn += 1
                 part = slice(first, first + window)
-                loss, grads, h = self._window(source[part], target[part], fresh[part], h)
+                loss, _, h = self._window(source[part], target[part], fresh[part], h, grads)
                 losses.append(loss)
                 lr = rate * (1.0 - 0.9 * min(1.0, turn / total_steps))
-                for name, g in grads.items():
-                    np.clip(g, -1.0, 1.0, out=g)
-                    m, v = moment[name]
-                    m += 0.1 * (g - m)
-                    v += 0.01 * (g * g - v)
-                    step = lr * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-6)
-                    self.p[name] -= step.astype(np.float32)
+                by, root = lr / (1 - 0.9**turn), (1 - 0.99**turn) ** -0.5
+                for k in range(0, len(flat), CELLS):  # so many at a time stay in the processor's cache
+                    g, m, v, t = (x[k : k + CELLS] for x in (grad, *moment, spare))
+                    np.minimum(g, 1.0, out=g)
+                    np.maximum(g, -1.0, out=g)
+                    m *= 0.9
+                    m += np.multiply(g, 0.1, out=t)
+                    v *= 0.99
+                    g *= g
+                    g *= 0.01
+                    v += g
+                    np.sqrt(v, out=t)
+                    t *= root
+                    t += 1e-6
+                    np.divide(m, t, out=t)
+                    t *= by
+                    flat[k : k + CELLS] -= t
         return losses
 
-    def _window(self, source: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray):
-        d, p = self.hidden, self.p
-        kept, states = [], []
-        for t in range(len(source)):
-            h = np.where(fresh[t][:, None], np.float32(0), h)
-            h, cache = self.step(source[t], h, keep=True)
-            kept.append(cache)
-            states.append(h)
-        flat, ids = np.concatenate(states), target.ravel()
+    def _views(self, flat: np.ndarray) -> dict[str, np.ndarray]:
+        """The parts of ``flat``, which is in the order of ``Model.flat``, in the parameters' shapes."""
+        ends = np.cumsum([v.size for v in self.p.values()])
+        return {k: x.reshape(self.p[k].shape) for k, x in zip(self.p, np.split(flat, ends[:-1]), strict=True)}
+
+    def _window(self, source: np.ndarray, target: np.ndarray, fresh: np.ndarray, h: np.ndarray, grads: dict[str, np.ndarray] | None = None):
+        """(loss, gradients, last states) of a window; the gradients are put in ``grads`` where it is given."""
+        d, p, f = self.hidden, self.p, self.p["U"].dtype
+        steps, streams = source.shape
+        begins = fresh.any(axis=1).tolist()
+        gates, by_gate = self.inputs(source), self.gates()
+        before, after = (np.empty((steps, streams, d), dtype=f) for _ in range(2))
+        inner = np.empty_like(gates)  # h U first, what goes back through U later
+        for t in range(steps):
+            before[t] = h
+            if begins[t]:
+                before[t][fresh[t]] = 0
+            np.matmul(before[t], by_gate, out=inner[:, t])
+            h = self.step(gates[:, t], inner[:, t], before[t], after[t])
+        states, ids = after.reshape(-1, d), target.ravel()
         live = np.flatnonzero(ids >= 0)
-        grads = {k: np.zeros_like(v) for k, v in p.items()}
-        back = np.zeros_like(flat)
+        grads = grads or self._views(np.empty(sum(v.size for v in p.values()), dtype=f))
+        for g in grads.values():
+            g[...] = 0
+        back = np.zeros_like(states)
         n = max(1, len(live))
-        hs, own = flat[live], ids[live]
+        hs, own = states[live], ids[live]
         cls = self.shape.class_of(own)
-        y = hs @ p["Wc"] + p["bc"]
-        y -= y.max(axis=1, keepdims=True)
-        np.exp(y, out=y)
-        y /= y.sum(axis=1, keepdims=True)
-        loss = -np.log(y[np.arange(len(own)), cls] + 1e-30).sum()
-        y[np.arange(len(own)), cls] -= 1
-        y /= n
-        grads["Wc"] += hs.T @ y
-        grads["bc"] += y.sum(axis=0)
+        y = hs @ p["Wc"]
+        y += p["bc"]
+        logs, sums = _softmax(y, cls)
+        loss = -logs.sum()
+        y *= (1 / (sums * n))[:, None]
+        y[np.arange(len(own)), cls] -= 1 / n
+        np.matmul(hs.T, y, out=grads["Wc"])
+        np.sum(y, axis=0, out=grads["bc"])
         dh = y @ p["Wc"].T
-        for k in np.unique(cls[own < self.shape.words]).tolist():
-            at = np.flatnonzero(cls == k)
-            w = hs[at] @ p["Ww"][k] + p["bw"][k]
-            w -= w.max(axis=1, keepdims=True)
-            np.exp(w, out=w)
-            w /= w.sum(axis=1, keepdims=True)
-            place = own[at] - k * self.shape.size
-            loss -= np.log(w[np.arange(len(at)), place] + 1e-30).sum()
-            w[np.arange(len(at)), place] -= 1
-            w /= n
-            grads["Ww"][k] += hs[at].T @ w
-            grads["bw"][k] += w.sum(axis=0)
-            dh[at] += w @ p["Ww"][k].T
+        at, edge = self._by_class(own, cls)
+        if len(at):
+            rows, kinds = hs[at], cls[at]
+            w = self._word_logits(rows, kinds, edge)
+            place = own[at] - kinds * self.shape.size
+            logs, sums = _softmax(w, place)
+            loss -= logs.sum()
+            w *= (1 / (sums * n))[:, None]
+            w[np.arange(len(at)), place] -= 1 / n
+            more = np.empty_like(rows)
+            for k, i, j in edge:
+                np.matmul(rows[i:j].T, w[i:j], out=grads["Ww"][k])
+                np.matmul(w[i:j], p["Ww"][k].T, out=more[i:j])
+            grads["bw"][[k for k, _, _ in edge]] = np.add.reduceat(w, [i for _, i, _ in edge], axis=0)
+            dh[at] += more
         back[live] = dh
-        back = back.reshape(len(source), -1, d)
-        carry = np.zeros_like(back[0])
-        outers = np.empty((len(source), len(carry), 3 * d), dtype=np.float32)
-        for t in range(len(source) - 1, -1, -1):
-            _, before, z, r, cand, un = kept[t]
-            g = back[t] + carry
-            dz = g * (before - cand) * z * (1 - z)
-            dn = g * (1 - z) * (1 - cand * cand)
-            dr = dn * un * r * (1 - r)
-            outers[t] = np.concatenate((dz, dr, dn), axis=1)
-            inner = np.concatenate((dz, dr, dn * r), axis=1)
-            grads["U"] += before.T @ inner
-            carry = g * z + inner @ p["U"].T
-            carry = np.where(fresh[t][:, None], np.float32(0), carry)
-        inputs = source.ravel()
-        order = np.argsort(inputs, kind="stable")
-        first = np.flatnonzero(np.diff(inputs[order], prepend=-1))
-        grads["E"][inputs[order[first]]] = np.add.reduceat(outers.reshape(-1, 3 * d)[order], first, axis=0)
-        return float(loss / n), grads, h
+        back = back.reshape(steps, streams, d)
+        z, r, cand = gates
+        rest = 1 - z
+        by_z, by_n, by_r = (before - cand) * z * rest, rest * (1 - cand * cand), inner[2] * r * (1 - r)
+        across = np.ascontiguousarray(by_gate.transpose(0, 2, 1))
+        carry, spare = np.zeros_like(h), np.empty((3, streams, d), dtype=f)
+        outers = np.empty_like(gates)
+        for t in range(steps - 1, -1, -1):
+            g, o, i = back[t], outers[:, t], inner[:, t]
+            g += carry
+            np.multiply(g, by_z[t], out=o[0])
+            np.multiply(g, by_n[t], out=o[2])
+            np.multiply(o[2], by_r[t], out=o[1])
+            i[:2] = o[:2]
+            np.multiply(o[2], r[t], out=i[2])
+            np.matmul(i, across, out=spare)
+            np.multiply(g, z[t], out=carry)
+            for x in spare:
+                carry += x
+            if begins[t]:
+                carry[fresh[t]] = 0
+        grads["U"][...] = np.moveaxis(before.reshape(-1, d).T @ inner.reshape(3, -1, d), 0, 1).reshape(d, 3 * d)
+        seats = np.arange(3 * d).reshape(3, 1, d) + source.reshape(1, -1, 1) * (3 * d)
+        np.add.at(grads["E"].reshape(-1), seats.ravel(), outers.ravel())
+        return float(loss / n), grads, h.copy()
 
     def score(self, ids: np.ndarray, bounds: np.ndarray, group: int = 2048, window: int = 64, cells: int = 1 << 16):
         """log_probs of all tokens of many texts, the state carried through each whole text.
@@ -236,12 +308,13 @@ class Model:
         for first in range(0, len(order), group):
             docs = order[first : first + group]
             starts, longest = bounds[docs], lengths[docs]
-            h = np.zeros((len(docs), self.hidden), dtype=np.float32)
+            h, by_gate = np.zeros((len(docs), self.hidden), dtype=np.float32), self.gates()
             x = np.full(len(docs), self.shape.start)
             states, places, held = [], [], 0
             for t in range(int(longest[0])):
                 live = int(np.searchsorted(-longest, -t, side="left"))
-                h = self.step(x[:live], h[:live])
+                h = h[:live]
+                h = self.step(self.inputs(x[:live]), h @ by_gate, h, np.empty_like(h))
                 place = starts[:live] + t
                 x = ids[place]
                 states.append(h)
