@@ -334,3 +334,17 @@ def test_structure_without_products_packs_no_matrix(spark, monkeypatch):
     model = projection.ProjectionModel(4, order=0, density=0.9, quantize=False, use_attributes=False, steps=0).fit(edges, attrs)
     rows = {r["node_id"]: np.linalg.norm(r["s"]) for r in model.structure.collect()}
     assert set(rows) == set("abcd") and all(np.isclose(x, 1.0) or x == 0.0 for x in rows.values())
+
+
+def test_anchors_are_those_of_all_edges_at_the_models_width(spark, tmp_path):
+    """The last rows in time, outside the first of the windows, reach nodes that no earlier one does."""
+    from vireo.models.projection import ProjectionModel
+    from vireo.plans import catalogue
+
+    rows = ", ".join(f"({1 + i}, {1 + i % 2}, date '2020-01-{1 + i:02d}')" for i in range(12))
+    spark.sql(f"SELECT * FROM VALUES {rows} AS t(l_partkey, l_suppkey, l_shipdate)").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = catalogue.anchor_propagation(spark, str(tmp_path))
+    assert {r["node_id"] for r in out.collect()} == {f"p{i}" for i in range(1, 13)} | {"s1", "s2"}
+    assert len(out.columns) == 1 + ProjectionModel().dim
+    spark.read.parquet(f"{tmp_path}/lineitem.parquet").limit(0).write.parquet(f"{tmp_path}/none/lineitem.parquet")
+    assert catalogue.anchor_propagation(spark, f"{tmp_path}/none").isEmpty()
