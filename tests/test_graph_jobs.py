@@ -348,3 +348,16 @@ def test_anchors_are_those_of_all_edges_at_the_models_width(spark, tmp_path):
     assert len(out.columns) == 1 + ProjectionModel().dim
     spark.read.parquet(f"{tmp_path}/lineitem.parquet").limit(0).write.parquet(f"{tmp_path}/none/lineitem.parquet")
     assert catalogue.anchor_propagation(spark, f"{tmp_path}/none").isEmpty()
+
+
+def test_a_cut_carries_no_size_estimate_over(spark):
+    """Spark sizes a join by the product of its sides: estimates that outlive a cut double their digits at each join."""
+    from vireo import runtime
+    from vireo.llm import common
+
+    for cut in (runtime.cut, common.cut):
+        df = cut(spark.range(20).withColumn("n", F.col("id") % 3))
+        for _ in range(8):
+            df = cut(df.join(df.select("id", F.col("n").alias("m")), "id").select("id", (F.col("n") + F.col("m")).alias("n")))
+        assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 128
+        assert sorted(tuple(r) for r in df.collect()) == [(i, i % 3 * 2**8) for i in range(20)]
