@@ -646,3 +646,23 @@ def test_contexts_in_rows_as_one_by_one():
             b[i, width - rng.integers(0, 20) :] = 0
     want = [(i, *got) for i in range(len(a)) if (got := passages.passage(a[i], b[i]))]
     assert len(want) > 100 and sorted(map(tuple, passages.passages(a, b).tolist())) == want
+
+
+def test_pairs_left_are_compared_in_lots(spark, monkeypatch):
+    """Each lot's texts are on disk by themselves; all pairs are compared, once."""
+    from vireo.llm import stars
+
+    monkeypatch.setattr(stars, "LOT", 8)
+    sizes = []
+
+    def judged(pairs, centres):
+        return pairs.select("a", "b", F.lit(False).alias("linked"), F.lit(0).cast("long").alias("weight"), F.array(F.lit(7).cast("long")).alias("keys"), F.array(F.lit(stars.OPEN).cast("tinyint")).alias("roles"))
+
+    def verified(pairs):
+        sizes.append(pairs.count())
+        return pairs
+
+    members = spark.range(12).select(F.lit(1).cast("long").alias("bucket"), F.unhex(F.md5(F.col("id").cast("string"))).alias("node"), F.lit(1).cast("long").alias("weight"))
+    roots = stars.bucket_roots(members, None, judged, verified).collect()
+    assert sum(sizes) == 55 and len(sizes) == 7 and max(sizes) < 55
+    assert len(roots) == 11 and len({bytes(r["root"]) for r in roots}) == 1
