@@ -361,3 +361,25 @@ def test_a_cut_carries_no_size_estimate_over(spark):
             df = cut(df.join(df.select("id", F.col("n").alias("m")), "id").select("id", (F.col("n") + F.col("m")).alias("n")))
         assert df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 128
         assert sorted(tuple(r) for r in df.collect()) == [(i, i % 3 * 2**8) for i in range(20)]
+
+
+def test_a_matrix_leaves_no_tables_and_cuts_no_sent_rows(spark, monkeypatch):
+    """What a step sends to other blocks is no part of its cut; the tables a matrix is packed from go as soon as it is."""
+    import os
+
+    from vireo.runtime import checkpoint_folder
+
+    monkeypatch.setattr(blocks, "ROWS", 4)
+    folder = checkpoint_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    e = spark.createDataFrame([(i, (i * 7 + 1) % 20) for i in range(20) if i != (i * 7 + 1) % 20], "u long, v long")
+    nodes = spark.range(20).toDF("node_id")
+    matrix = blocks.SparseBlocks(normalized(e, nodes), nodes)
+    assert len([f for f in set(os.listdir(folder)) - before if f.startswith("blocks-")]) == 1
+    given = spark.range(20).select(F.col("id").alias("node_id"), F.array(F.lit(1.0), F.col("id") / 7).alias("vec"))
+    out = smoothed(matrix, given, 1, steps=1, tol=0.0)
+    kept = spark.read.parquet(matrix._kept)
+    assert {r["name"] for r in kept.select("name").distinct().collect()} == {"y", "a", "#moved"}
+    assert out.count() == 20
+    matrix.close()
+    assert not [f for f in set(os.listdir(folder)) - before if f.startswith("blocks-")]
